@@ -1,4 +1,4 @@
 """Queries over the supplied tables; importing this package fills the registry."""
 
-from fathomline.plans import graphs, inventory, ordered, texts  # noqa: F401
+from fathomline.plans import graphs, inventory, ordered, streams, texts  # noqa: F401
 from fathomline.plans.registry import ORACLES, QUERIES  # noqa: F401
