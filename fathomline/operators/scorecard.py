@@ -32,12 +32,3 @@ def review_state(reports: Column, wanted_reports: int, sessions: Column, wanted_
     """INCOMPLETE until all reports of different sessions are there, then REPAIR_REQUIRED with findings, else REVIEWED."""
     return F.when((reports < wanted_reports) | (sessions < wanted_sessions), "INCOMPLETE").when(findings > 0, "REPAIR_REQUIRED").otherwise("REVIEWED")
 
-
-def rollup_state(state: Column) -> Column:
-    """State of a run from its units' states (an aggregate): all reviewed, any blocked, any in progress, else planned."""
-    return (
-        F.when(F.bool_and(state == "REVIEWED_DRAFT"), "DRAFTS_REVIEWED")
-        .when(F.bool_or(state.startswith("BLOCKED")), "BLOCKED")
-        .when(F.bool_or(state != "PLANNED"), "IN_PROGRESS")
-        .otherwise("PLANNED")
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import intervals, scorecard, sequence
+from fathomline.operators import intervals, sequence
 from fathomline.plans.registry import query, table
 
 #: Steps that the transition query allows.
@@ -182,16 +182,6 @@ def order_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.introduced_late(units, needs, "unit", "position", "need")
 
 
-@query("""
-WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'REVIEWED_DRAFT' WHEN 'O' THEN 'PLANNED' ELSE 'BLOCKED_REVIEW' END AS state FROM orders)
-SELECT o_custkey, CASE WHEN bool_and(state = 'REVIEWED_DRAFT') THEN 'DRAFTS_REVIEWED' WHEN bool_or(state LIKE 'BLOCKED%') THEN 'BLOCKED' WHEN bool_or(state <> 'PLANNED') THEN 'IN_PROGRESS' ELSE 'PLANNED' END AS run_state FROM s GROUP BY o_custkey""")
-def run_state_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's state from its units' states."""
-    state = F.when(F.col("o_orderstatus") == "F", "REVIEWED_DRAFT").when(F.col("o_orderstatus") == "O", "PLANNED").otherwise("BLOCKED_REVIEW")
-    units = table(spark, sf_dir, "orders").select("o_custkey", state.alias("state"))
-    return units.groupBy("o_custkey").agg(scorecard.rollup_state(F.col("state")).alias("run_state"))
-
-
 @query("""
 WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS spot, count(*) OVER (PARTITION BY user_id, run) AS length FROM (
   SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) WHERE event_type <> 'purchase')
