@@ -19,10 +19,16 @@ MAX_PIECES = 400_000
 MAX_CHARS = 20_000_000
 
 
+#: Latin letters here have one composed form, and each is lowered alone.
+NOT_LATIN = re.compile("[^\x00-\u024f]")
+#: Stands between pieces in one string where spaces are dropped; a pre-token of its own.
+BAR = "\x01"
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
         self.library = Tokenizer.from_file(path)
@@ -30,11 +36,14 @@ class PieceEncoder:
         self.library.no_padding()
         self.spaced = spec["normalizer"] is None  # else white space is dropped and no piece needs its space
         special = "|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)"
-        self.odd = re.compile(rf"^\s| \s|\s$|{special}" if self.spaced else rf"[\x1c-\x1f]|{special}")
+        self.unusual = re.compile(rf" (?:\s|$)|{special}" if self.spaced else rf"[\x1c-\x1f{BAR}]|{special}")
+        self.bare = self.library
+        if not self.spaced:  # Latin text in lower case is as the normaliser leaves it
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
         vocab = self.library.get_vocab()
-        self.bar = max((x["content"] for x in spec["added_tokens"]), default="")
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")] if self.spaced else [vocab[self.bar]]] = True
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")] if self.spaced else self.library.encode(BAR, add_special_tokens=False).ids] = True
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self._clear()
@@ -44,53 +53,66 @@ class PieceEncoder:
         self.later.clear()
         self.flat, self.begin, self.size, self.chars = array("I"), array("q"), array("q"), 0
 
-    def _add(self, cache: dict[str, int], piece: str, ids) -> None:
-        cache[piece] = len(self.begin)
-        self.begin.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        self.chars += len(piece)
-
     def _learn(self, cache: dict[str, int], pieces: list[str]) -> None:
         for piece, encoding in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self._add(cache, piece, encoding.ids)
-
-    def _learn_joined(self, cache: dict[str, int], pieces: list[str]) -> None:
-        """One call for many pieces without special tokens: joined by spaces, or by a special token where spaces are dropped."""
+            cache[piece] = len(self.begin)
+            self.begin.append(len(self.flat))
+            self.size.append(len(encoding.ids))
+            self.flat.extend(encoding.ids)
+            self.chars += len(piece)
+
+    def _learn_joined(self, cache: dict[str, int], pieces: list[str], library) -> None:
+        """One call for many pieces without special tokens: each opens with the space before it, or a bar does."""
         for lo in range(0, len(pieces), 20_000):
             some = pieces[lo : lo + 20_000]
-            joined = " " + " ".join(some) if self.spaced else self.bar + self.bar.join(some)
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.opens[ids]).tolist() + [len(ids)]
-            rows = ids.tolist()
-            for piece, a, b in zip(some, at, at[1:], strict=False):
-                self._add(cache, piece, rows[a + (not self.spaced) : b])
+            joined = " " + " ".join(some) if self.spaced else f"{BAR} " + f" {BAR} ".join(some)
+            ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(at) != len(some) + 1:
+                raise ValueError("pieces and their ids do not match")
+            begin = at[:-1] + (not self.spaced)
+            cache.update(zip(some, range(len(self.begin), len(self.begin) + len(some)), strict=True))
+            self.begin.frombytes((begin + len(self.flat)).astype(np.int64).tobytes())
+            self.size.frombytes((at[1:] - begin).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        self.chars += sum(map(len, pieces))
+
+    def _odd(self, pieces: set[str]) -> set[str]:
+        """Pieces that do not encode alone: empty, with white space in front, or with a special token; one search finds out that none is."""
+        if not self.unusual.search(" " + " ".join(pieces)):
+            return set()
+        return {p for p in pieces if not p or self.unusual.search(" " + p)}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) one text after the other, and where each text begins (one more entry than texts)."""
         if len(self.begin) > MAX_PIECES or self.chars > MAX_CHARS:
             self._clear()
         if self.spaced:
-            runs = [[t] if self.odd.search(t) else t.split(" ") for t in texts]
-            later = set().union(*(r[1:] for r in runs)) if runs else set()
-            if new := list({r[0] for r in runs} - self.first.keys()):
-                self._learn(self.first, new)
-            if new := list(later - self.later.keys()):
-                self._learn_joined(self.later, new)
+            runs = [t.split(" ") for t in texts]
+            new = set().union(*(r[1:] for r in runs)) - self.later.keys()
+            if odd := self._odd(new):
+                runs = [r if odd.isdisjoint(r[1:]) else [t] for r, t in zip(runs, texts, strict=True)]
+            self._learn_joined(self.later, list(new - odd), self.library)
+            self._learn(self.first, list({r[0] for r in runs} - self.first.keys()))
             one, rest = self.first.__getitem__, self.later.__getitem__
             index = np.fromiter(chain.from_iterable(chain((one(r[0]),), map(rest, r[1:])) for r in runs), np.int64)
         else:
-            runs = [[t] if self.odd.search(t) else t.split() for t in texts]
-            if new := set().union(*runs) - self.first.keys():
-                whole = {r[0] for r in runs if len(r) == 1} & new
-                self._learn(self.first, list(whole))
-                self._learn_joined(self.first, list(new - whole))
+            latin = [not NOT_LATIN.search(t) for t in texts]
+            runs = [[t] if self.unusual.search(t) else (t.lower() if low else t).split() for t, low in zip(texts, latin, strict=True)]
+            new = set().union(*runs) - self.first.keys()
+            odd = self._odd(new)
+            self._learn(self.first, list(odd))
+            other = {p for p in new if NOT_LATIN.search(p) or p != p.lower()} if not all(latin) else set()
+            self._learn_joined(self.first, list(other - odd), self.library)
+            self._learn_joined(self.first, list(new - other - odd), self.bare)
             index = np.fromiter(map(self.first.__getitem__, chain.from_iterable(runs)), np.int64)
         pieces = np.cumsum([0, *map(len, runs)])
-        size = np.array(self.size, np.int64)[index]
+        size = np.frombuffer(self.size, np.int64)[index] if len(index) else np.zeros(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(np.array(self.begin, np.int64)[index] - ends[:-1], size) + np.arange(ends[-1])
-        return np.array(self.flat, np.uint32)[where] if len(where) else np.zeros(0, np.uint32), ends[pieces]
+        if not ends[-1]:
+            return np.zeros(0, np.uint32), ends[pieces]
+        where = np.repeat(np.frombuffer(self.begin, np.int64)[index] - ends[:-1], size) + np.arange(ends[-1])
+        return np.frombuffer(self.flat, np.uint32)[where], ends[pieces]
 
 
 _encoders: dict[str, PieceEncoder] = {}
