@@ -117,7 +117,7 @@ class Model:
         if not texts:
             return np.zeros(0)
         x, sizes, lens = line_features(texts)
-        p = marginals(((x - self.mean) / self.scale) @ self.weights, lens, self.trans)
+        p = marginals(((x - self.mean) / self.scale * self.weights).sum(1), lens, self.trans)  # row by row: a matrix product's last bits follow the batch
         doc = np.repeat(np.arange(len(lens)), lens)
         weight = sizes + 1e-3
         return np.bincount(doc, p * weight) / np.bincount(doc, weight)

@@ -104,7 +104,7 @@ class Model:
 
     def scores(self, rows: list[list[float]]) -> np.ndarray:
         x = np.column_stack(((np.array(rows).reshape(len(rows), len(self.mean)) - self.mean) / self.scale, np.ones(len(rows))))
-        return 1 / (1 + np.exp(-(x @ self.weights).clip(-30, 30)))
+        return 1 / (1 + np.exp(-(x * self.weights).sum(1).clip(-30, 30)))  # row by row: a matrix product's last bits follow the batch
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
