@@ -1,9 +1,10 @@
-"""Substring deduplication by hashing sentences and lines.
+"""Substring deduplication by hashing lines and sentences.
 
-A unit is a sentence of a line (a line without sentence ends is one unit): lower-cased, white space collapsed, at
-least ``MIN_WORDS`` words. Units are grouped by a 128-bit digest over the whole corpus. The occurrence in the document
-with the smallest doc_id, at the smallest offset there, stays; all others are removed, with the code-point offsets of
-the original text and the keeper's doc_id on record.
+A unit is a line or a sentence of one: lower-cased, white space collapsed, at least ``MIN_WORDS`` words. So a repeated
+line of short sentences goes as a whole, and a long sentence goes from a line that is otherwise new. Units are grouped
+by a 128-bit digest over the whole corpus. The occurrence in the document with the smallest doc_id, at the smallest
+offset there, stays; all others are removed, with the code-point offsets of the original text and the keeper's doc_id
+on record. A sentence that goes with its line is not recorded on its own.
 
 The group-by is a partial minimum, so a line that every document has costs a row for each map task; only digests that
 more than one document has are joined back, which adaptive execution can split by skew.
@@ -21,23 +22,26 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import spans, written
 
 MIN_WORDS = 6
-#: White space between units: after a sentence end, or a line break.
-BORDER = re.compile(r"(?<=[.!?。！？])[^\S\n]+|\n+")
+#: A line without the white space around it.
+LINE = re.compile(r"\S(?:[^\n]*\S)?")
+#: White space between the sentences of a line.
+BORDER = re.compile(r"(?<=[.!?。！？])\s+")
 UNITS = "doc_id bigint, body bigint, digest binary, begin int, end int, local boolean"
 NO_ID = (1 << 63) - 1
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, begin, end) of the units of a text in order."""
+    """(digest, begin, end) of the units of a text in order, a line before its sentences (if it has several)."""
     import xxhash
 
-    begin = 0
-    for border in (*BORDER.finditer(text), None):
-        end = border.start() if border else len(text)
-        words = text[begin:end].lower().split()
-        if len(words) >= min_words:
-            yield xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), begin, end
-        begin = border.end() if border else end
+    for line in LINE.finditer(text):
+        begin, stop = line.span()
+        borders = [m.span() for m in BORDER.finditer(text, begin, stop)]
+        sentences = list(zip([begin, *(b for _, b in borders)], [*(a for a, _ in borders), stop], strict=True))
+        for lo, hi in [(begin, stop), *sentences] if borders else sentences:
+            words = text[lo:hi].lower().split()
+            if len(words) >= min_words:
+                yield xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), lo, hi
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -72,28 +76,33 @@ def removals(found: DataFrame) -> DataFrame:
     elsewhere = once.join(firsts, "digest").filter(rank > F.col("first")).select("doc_id", "body", "begin", "end", F.col("first").alias("kept_in"))
     # a repeat within a text goes whether or not its first occurrence there stays
     here = found.filter("local").select("doc_id", "body", "begin", "end", F.col("doc_id").alias("kept_in"))
-    return elsewhere.union(here).groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "kept_in"))).alias("spans"))
+    outer_first = F.sort_array(F.collect_set(F.struct("begin", (-F.col("end")).alias("to"), "kept_in")))
+    gone = elsewhere.union(here).groupBy("doc_id", "body").agg(outer_first.alias("spans"))
+    return gone.withColumn("spans", F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), (-x["to"]).alias("end"), x["kept_in"].alias("kept_in"))))
 
 
 def _cut():
+    """A column function (text, begins, ends) -> (text without the spans, numbers of the spans that lie in no earlier one)."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def cut(texts, begins, ends):
-        out = []
+        kept_text, numbers = [], []
         for text, begin, end in zip(texts, begins, ends, strict=True):
-            if text is None or begin is None or not len(begin):
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for a, b in zip(begin, end, strict=True):
+            parts, used, at, to = [], [], 0, 0
+            for k, (a, b) in enumerate(zip(begin, end, strict=True) if text is not None and begin is not None else ()):
+                if a < to:  # a sentence of a removed line
+                    continue
                 parts.append(text[at:a])
+                used.append(k)
+                to = b
                 at = b + (b < len(text) and text[b].isspace())  # the white space that followed the unit goes with it
-            out.append("".join((*parts, text[at:])))
-        return pd.Series(out, dtype=object)
+            kept_text.append("".join((*parts, text[at:])) if used else text)
+            numbers.append(used)
+        return pd.DataFrame({"text": pd.Series(kept_text, dtype=object), "used": pd.Series(numbers, dtype=object)})
 
-    cut.__annotations__ = {"texts": pd.Series, "begins": pd.Series, "ends": pd.Series, "return": pd.Series}
-    return pandas_udf(cut, "string")
+    cut.__annotations__ = {"texts": pd.Series, "begins": pd.Series, "ends": pd.Series, "return": pd.DataFrame}
+    return pandas_udf(cut, "text string, used array<int>")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -107,7 +116,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = removals(unit_table(docs, min_words)).select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("spans").alias("_spans"))
     kept = [docs[c] for c in docs.columns if c != "removed_spans"]
     joined = docs.select(*kept, F.xxhash64("text").alias("_hash")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body")), "left")
-    text = _cut()("text", F.col("_spans.begin"), F.col("_spans.end"))
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed_spans"]
-    empty = F.array().cast("array<struct<begin:int,end:int,kept_in:bigint>>")
-    return joined.select(*columns, F.coalesce("_spans", empty).alias("removed_spans"))
+    done = joined.withColumn("_done", _cut()("text", F.col("_spans.begin"), F.col("_spans.end")))
+    columns = [F.col("_done.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed_spans"]
+    return done.select(*columns, F.expr("transform(_done.used, k -> _spans[k])").alias("removed_spans"))

@@ -156,25 +156,41 @@ def test_repetition(docs, none):
 
 
 def brute_units(text):
-    out, at = [], 0
-    for m in re.finditer(r"(?<=[.!?。！？])[^\S\n]+|\n+|$", text):
-        unit = " ".join(text[at : m.start()].lower().split())
-        if len(unit.split()) >= substring.MIN_WORDS:
-            out.append((unit, at, m.start()))
-        at = m.end()
+    """(normalised unit, begin, end), lines before their sentences."""
+    out, base = [], 0
+    for line in text.split("\n"):
+        parts, at = [], 0
+        for m in re.finditer(r"(?<=[.!?。！？])\s+|$", line):
+            parts.append((base + at, base + m.start()))
+            at = m.end()
+        parts = [(base, base + len(line)), *parts]
+        here = []
+        for a, b in parts:
+            unit = " ".join(text[a:b].lower().split())
+            if len(unit.split()) >= substring.MIN_WORDS and unit not in [u for u, _, _ in here[:1]]:
+                here.append((unit, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())))
+        out += here
+        base += len(line) + 1
     return out
 
 
-def test_substring(docs, none):
+def brute_removed(doc_id, text, first):
+    """Spans that go; ``first`` maps units to the documents that keep them and grows."""
+    here, removed = set(), []
+    for unit, a, b in brute_units(text):
+        if unit in here or first.setdefault(unit, doc_id) != doc_id:
+            if not removed or a >= removed[-1][1]:
+                removed.append((a, b))
+        here.add(unit)
+    return removed
+
+
+def test_substring(spark, docs, none):
     own = docs.dropDuplicates(["doc_id", "text"])
     got = {r.doc_id: r for r in substring.dedup(own).collect()}
     first, texts = {}, {r[0]: r[1] for r in rows()}
     for doc_id in sorted(texts, key=lambda x: (x is None, x)):
-        here, removed = set(), []
-        for unit, a, b in brute_units(texts[doc_id] or ""):
-            if unit in here or first.setdefault(unit, doc_id) != doc_id:
-                removed.append((a, b))
-            here.add(unit)
+        removed = brute_removed(doc_id, texts[doc_id] or "", first)
         r = got[doc_id]
         assert [(s.begin, s.end) for s in r.removed_spans] == removed, doc_id
         if not removed:
@@ -182,6 +198,9 @@ def test_substring(docs, none):
         else:
             kept = "".join(c for i, c in enumerate(texts[doc_id]) if not any(a <= i < b for a, b in removed))
             assert r.text.replace("\n", "").replace(" ", "") == kept.replace("\n", "").replace(" ", "")
+    short = "One two. Three four five. Six seven. Eight."
+    spans = {r.doc_id: [(s.begin, s.end, s.kept_in) for s in r.removed_spans] for r in substring.dedup(spark.createDataFrame([(1, f"{short}\nown words"), (2, f"a\n  {short} \nb"), (3, short + " And more.")], "doc_id long, text string")).collect()}
+    assert spans == {1: [], 2: [(4, 4 + len(short), 1)], 3: []}
     assert substring.dedup(none).count() == 0 and substring.dedup(none).columns == [*none.columns, "removed_spans"]
     assert substring.dedup(docs).count() == len(rows())
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
 def test_stages(spark):
     from fathomline.llm import repetition, toxicity
-    from tests.llm.test_operators import brute_fingerprint, brute_units, components
+    from tests.llm.test_operators import brute_fingerprint, brute_removed, components
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
@@ -33,13 +33,9 @@ def test_stages(spark):
         else:
             want, first = set(before), {}
             for i in sorted(before):
-                here, kept = set(), []
-                for unit, a, b in brute_units(before[i].text):
-                    if unit in here or first.setdefault(unit, i) != i:
-                        continue
-                    here.add(unit)
-                    kept.append(unit)
-                assert [u for u, _, _ in brute_units(after[i].text) if u in first] == kept
+                removed = brute_removed(i, before[i].text, first)
+                kept = "".join(c for k, c in enumerate(before[i].text) if not any(a <= k < b for a, b in removed))
+                assert "".join(after[i].text.split()) == "".join(kept.split())
                 assert after[i].n_chars == len(after[i].text)
         assert set(after) == want, name
         frame = spark.createDataFrame(list(after.values()), docs.schema)
