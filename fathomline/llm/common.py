@@ -1,4 +1,4 @@
-"""Helpers that several operators share: the shared scratch folder, text batches and hash-piece caches."""
+"""Helpers that several operators share: the shared scratch folder and text batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_CHARS = 2_000_000
@@ -29,11 +30,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spans(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` that hold about ``limit`` characters each (one text at least)."""
+def ranges(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges of a column of texts that hold about ``limit`` characters each (one text at least)."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, length in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += length or 0
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0
@@ -52,14 +53,10 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column("text")
-            lengths = [x or 0 for x in pa.compute.utf8_length(texts).to_pylist()] if len(texts) else []
-            for lo, hi in spans([range(n) for n in lengths]):
+            for lo, hi in ranges(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 made = work([x or "" for x in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=[*keep, *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    import pyarrow.compute  # noqa: F401  run() uses it
-
     return source.mapInArrow(run, full)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import spans, written
+from fathomline.llm.common import ranges, written
 
 MIN_WORDS = 6
 #: A line without the white space around it.
@@ -53,11 +53,9 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids, bodies = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()
-            for lo, hi in spans(texts):
-                out: list[tuple] = []
-                for doc_id, body, text in zip(ids[lo:hi], bodies[lo:hi], texts[lo:hi], strict=True):
+            for lo, hi in ranges(batch.column("text")):
+                part, out = batch.slice(lo, hi - lo), []
+                for doc_id, body, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "body", "text")), strict=True):
                     seen: set[bytes] = set()
                     for digest, begin, end in units(text, min_words):
                         out.append((doc_id, body, digest, begin, end, digest in seen))
