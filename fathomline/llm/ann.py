@@ -106,7 +106,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = 64) -
     bound = max(256, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     sample = np.array([r.vector for r in classes.orderBy(F.xxhash64("class"), "class").limit(bound).select("vector").collect()])
     index = fit(sample, min(lists, max(1, len(sample) // 16)))
-    n_probes = min(len(index.centroids), max(16, min(probes, len(index.centroids) // 4)))
+    n_probes = min(len(index.centroids), probes)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
