@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fathomline.llm import ann, bpe, packing, quality, rangecoder, repetition, simhash, substring, toxicity, warc
+from fathomline.llm import ann, bpe, packing, quality, rangecoder, repetition, simhash, substring, tokens, toxicity, warc
 from fathomline.llm.queries import tokenizer
 
 BYTE, WORD = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
@@ -370,3 +370,19 @@ def test_crf_marginals_equal_enumeration():
             good += weight * np.array(labels)
         assert np.allclose(got[at : at + n], good / total)
         at += n
+
+
+def test_whole_texts_have_the_library_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    own, library, rng = tokens.encoder(path), Tokenizer.from_file(path), random.Random(5)
+    assert isinstance(own, tokens.WholeEncoder)
+    alphabet = "aeiou tnrs'’.,!\n\t  ñéüßÅœ\x80\xa0\x85ȁ0123½²日"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(120))) for _ in range(3000)]
+    texts += ["", " " * 9000 + "a", "b" * 50_000, "x<|endoftext|>y", *(library.decode([i]) for i in range(0, 50256, 7))]
+    ids, edges = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode([])[0].size == 0
