@@ -10,6 +10,7 @@ encoded once, and the trie is kept between batches of a worker up to a fixed num
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import math
@@ -22,9 +23,13 @@ from pyspark.sql import DataFrame
 from fathomline.llm.common import map_texts
 
 MAX_NODES = 1_000_000
-MAX_PIECES = 250_000
-MAX_WORDS = 250_000
+MAX_PIECES = 400_000
+MAX_WORDS = 400_000
 MAX_PAIRS = 1_000_000
+#: Latin letters, of which every version of Unicode says the same.
+NOT_LATIN = re.compile("[^\x00-\u024f]")
+#: Marks that are a pre-token of their own at the end of a word.
+MARKS = ".,;:!?"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -156,36 +161,49 @@ class Codec:
         self.to_byte = {ord(c): b for c, b in alphabet.items()}
         as_bytes = {t.translate(self.to_byte).encode("latin-1"): i for t, i in vocab.items()}
         self.trie = Trie(as_bytes, Merges(vocab, spec["model"]["merges"]))
-        self.words: dict[str, tuple] = {}
+        self.words: dict[bytes, tuple] = {}
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.odd = re.compile(r"^\s| \s|\s$")
         self.bytes_of = {i: t for t, i in as_bytes.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.bytes_of}
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
 
-    def _ids(self, words: list[str]) -> None:
+    def _ids(self, words: list[bytes]) -> None:
         """Put the ids of pre-tokens into ``words``; those it lacks go through the trie."""
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         if new := list(set(words) - self.words.keys()):
-            self.words.update(zip(new, self.trie.encode([w.translate(self.to_byte).encode("latin-1") for w in new]), strict=True))
+            self.words.update(zip(new, self.trie.encode(new), strict=True))
+
+    def _pre_tokens(self, text: str) -> list[bytes]:
+        return [w.translate(self.to_byte).encode("latin-1") for w, _ in self.split(text)]
 
     def _learn_first(self, pieces: set[str]) -> None:
-        split = [[w for w, _ in self.split(p)] for p in pieces]
+        split = [self._pre_tokens(p) for p in pieces]
         self._ids([w for ws in split for w in ws])
         for piece, ws in zip(pieces, split, strict=True):
             self.first[piece] = tuple(chain.from_iterable(map(self.words.__getitem__, ws)))
 
     def _learn_later(self, pieces: set[str]) -> None:
-        """All in one string: no piece holds a space, so each begins at a pre-token with the sign for a space."""
-        order = list(pieces)
-        words = [w for w, _ in self.split(" " + " ".join(order))]
-        self._ids(words)
-        at = [i for i, w in enumerate(words) if w[0] == "\u0120"] + [len(words)]
+        """Latin letters alone, or with one mark behind, have known pre-tokens; all others go to the pattern in one string:
+        no piece holds a space, so each begins at a pre-token with a space."""
+        latin = not NOT_LATIN.search("".join(pieces))
+        plain = [p for p in pieces if p.isalpha()] if latin else []
+        ended = [p for p in pieces if p[-1] in MARKS and p[:-1].isalpha()] if latin else []
+        order = list(pieces.difference(plain, ended))
+        spaced, cores = [b" " + p.encode() for p in plain], [b" " + p[:-1].encode() for p in ended]
+        words = self._pre_tokens(" " + " ".join(order)) if order else []
+        self._ids([*spaced, *cores, *words, *(m.encode() for m in MARKS)])
+        ids = self.words.__getitem__
+        self.later.update(zip(plain, map(ids, spaced), strict=True))
+        marks = {m: ids(m.encode()) for m in MARKS}
+        self.later.update((p, ids(c) + marks[p[-1]]) for p, c in zip(ended, cores, strict=True))
+        at = [i for i, w in enumerate(words) if w[0] == 32] + [len(words)]
         for piece, lo, hi in zip(order, at, at[1:], strict=False):
-            self.later[piece] = tuple(chain.from_iterable(map(self.words.__getitem__, words[lo:hi]))) if hi > lo + 1 else self.words[words[lo]]
+            self.later[piece] = tuple(chain.from_iterable(map(ids, words[lo:hi])))
 
     def _segments(self, texts: list[str]) -> list[list]:
         """Each text as runs: an id of a special token, or a list of pieces of which all but the first follow a space.
@@ -223,6 +241,7 @@ def codec(path: str) -> Codec:
     """One codec for each worker process and file, so that later tasks find its trie filled."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        gc.freeze()  # its tables stay for good; the collector need not walk them again and again
     return _codecs[path]
 
 
@@ -241,7 +260,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             decoded = [own.decode(x) for x in ids]
             return [
                 [len(x) for x in ids],
-                [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+                [hashlib.sha256(",".join(map(own.digits.__getitem__, x)).encode()).hexdigest() for x in ids],
                 [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
                 [x == y for x, y in zip(texts, decoded, strict=True)],
             ]

@@ -16,14 +16,10 @@ from itertools import chain
 
 import numpy as np
 
-from fathomline.llm.bpe import Merges, byte_alphabet
+from fathomline.llm.bpe import NOT_LATIN, Merges, byte_alphabet
 
 MAX_PIECES = 400_000
 MAX_CHARS = 20_000_000
-
-
-#: Latin letters here have one composed form, and each is lowered alone.
-NOT_LATIN = re.compile("[^\x00-\u024f]")
 #: Stands between pieces in one string where spaces are dropped; a pre-token of its own.
 BAR = "\x01"
 
@@ -100,7 +96,7 @@ class PieceEncoder:
             one, rest = self.first.__getitem__, self.later.__getitem__
             index = np.fromiter(chain.from_iterable(chain((one(r[0]),), map(rest, r[1:])) for r in runs), np.int64)
         else:
-            latin = [not NOT_LATIN.search(t) for t in texts]
+            latin = [not NOT_LATIN.search(t) for t in texts]  # letters with one composed form, each lowered alone
             runs = [[t] if self.unusual.search(t) else (t.lower() if low else t).split() for t, low in zip(texts, latin, strict=True)]
             new = set().union(*runs) - self.first.keys()
             odd = self._odd(new)
