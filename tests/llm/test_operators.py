@@ -230,6 +230,43 @@ def test_ann(spark):
     assert {(r.query_id, r.vec_id) for r in ann.search(frame.filter("vec_id < 3")).collect()} == {(0, 1), (0, 2)}
 
 
+def check_exact_neighbours(spark, x, every):
+    """The search gives the true 20 best scores of each query, with smaller ids first among equal scores."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.search(frame, every=every).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, len(x), every))
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        want = np.sort(scores)[::-1][:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        assert np.allclose([s for _, _, s in sorted(found)], want, rtol=0, atol=1e-12), q
+        assert np.allclose([scores[v] for _, v, _ in sorted(found)], want, rtol=0, atol=1e-12), q
+
+
+def test_ann_searches_every_list_that_may_matter(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 1024)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 64))
+    check_exact_neighbours(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 40)
+
+
+def test_ann_bounds_skip_lists_of_separate_clusters():
+    rng = np.random.default_rng(5)
+    centroids = rng.normal(size=(40, 16)) * 9
+    x = np.repeat(centroids, 50, axis=0) + rng.normal(size=(2000, 16)) / 9
+    radius = np.linalg.norm(x - np.repeat(centroids, 50, axis=0), axis=1).reshape(40, 50).max(1)
+    scores = x @ x.T
+    floor = np.sort(scores, axis=1)[:, -21]
+    reached = ann.reaching(x, floor, centroids, radius)
+    holding = (scores >= floor[:, None]).reshape(2000, 40, 50).any(2)
+    assert reached[holding].all() and reached.mean() < 0.2
+    group, blocks = ann.grouped(centroids, [50] * 39 + [1000], 200)
+    assert len(group) == 40 and set(group) == set(range(len(blocks))) and blocks[group[39]] == 5
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 31, 33, 2047, 2048, 2049, 5000])
 def test_rangecoder_blocks(n):
     rng = np.random.default_rng(n)
