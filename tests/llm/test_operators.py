@@ -253,6 +253,26 @@ def test_ann_searches_every_list_that_may_matter(spark, monkeypatch):
     check_exact_neighbours(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 40)
 
 
+def test_ann_keeps_the_best_of_near_copies():
+    rng = np.random.default_rng(6)
+    center = rng.normal(size=64) / 8
+    x = np.concatenate([rng.normal(size=(3000, 64)) / 8, center + rng.normal(size=(3000, 64)) / 1600])
+    index = ann.fit(x[:3100], 50)  # few of the copies are in the sample
+    lists = index.assign(x.astype(np.float32))
+    codes = index.encode(x.astype(np.float32), lists)
+    error = np.linalg.norm(x - index.decode(codes, lists), axis=1)
+    names = rng.permutation(len(x))
+    cut = 0
+    for q in x[3000::100]:
+        near = index.scores(q[None], codes, lists)[0].astype(float)
+        want = np.sort(x @ q)[::-1][:21]
+        for floor in (-np.inf, want[-1]):
+            rows, score = ann.best_rows(q, near, (error + 1e-4) * np.linalg.norm(q), floor - 1e-12, x, names, 21)
+            assert np.allclose(score, want, rtol=0, atol=1e-12) and np.allclose(x[rows] @ q, want, rtol=0, atol=1e-12)
+        cut += len(set(rows) - set(np.argpartition(-near, 199)[:200]))
+    assert cut > 0  # 200 rows by PQ score would have lost some
+
+
 def test_ann_bounds_skip_lists_of_separate_clusters():
     rng = np.random.default_rng(5)
     centroids = rng.normal(size=(40, 16)) * 9
