@@ -44,3 +44,14 @@ def overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, r
     a = left.select(left_key, F.explode(F.array_distinct(refs)).alias("_ref"))
     b = right.select(right_key, F.explode(F.array_distinct(refs)).alias("_ref"))
     return a.join(b, "_ref").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+
+
+def overlaps_by_reference(left: DataFrame, right: DataFrame, left_key: str, right_key: str, refs: str) -> DataFrame:
+    """Per reference that both sides have: how many keys of each side have it, and the number of pairs that share it.
+
+    Both sides are counted before they meet, so no pair is made; the pairs of all references add up to the ``shared``
+    of ``overlaps``. Null keys and references and repeats do not count.
+    """
+    a = left.select(left_key, F.explode(refs).alias("ref")).groupBy("ref").agg(F.count_distinct(left_key).alias("left_keys")).filter("left_keys > 0")
+    b = right.select(right_key, F.explode(refs).alias("ref")).groupBy("ref").agg(F.count_distinct(right_key).alias("right_keys")).filter("right_keys > 0")
+    return a.join(b, "ref").withColumn("pairs", F.col("left_keys") * F.col("right_keys"))

@@ -131,13 +131,24 @@ def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH o AS (SELECT l_orderkey AS claim, unnest(list_distinct(list(l_suppkey))) AS ref FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_orderkey), u AS (SELECT l_partkey AS unit, unnest(list_distinct(list(l_suppkey))) AS ref FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY l_partkey)
 SELECT claim, unit, count(*) AS shared FROM o JOIN u USING (ref) GROUP BY claim, unit""")
 def claim_unit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims and units whose references overlap."""
+    """Claims and units whose references overlap, for a fortieth of the claims and a fiftieth of the units; all: claim_unit_references."""
     lines = table(spark, sf_dir, "lineitem")
     left = lines.filter("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("l_suppkey").alias("refs"))
     right = lines.filter("l_partkey % 50 = 0").groupBy(F.col("l_partkey").alias("unit")).agg(F.collect_set("l_suppkey").alias("refs"))
     return claims.overlaps(left, right, "claim", "unit", "refs")
 
 
+@query("""
+WITH o AS (SELECT l_suppkey AS ref, count(DISTINCT l_orderkey) AS claims FROM lineitem GROUP BY l_suppkey), u AS (SELECT l_suppkey AS ref, count(DISTINCT l_partkey) AS units FROM lineitem GROUP BY l_suppkey)
+SELECT ref, claims, units, claims * units AS pairs FROM o JOIN u USING (ref)""")
+def claim_unit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per reference, how many of all claims and all units have it, and the pairs that share it."""
+    lines = table(spark, sf_dir, "lineitem")
+    left = lines.groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("l_suppkey").alias("refs"))
+    right = lines.groupBy(F.col("l_partkey").alias("unit")).agg(F.collect_set("l_suppkey").alias("refs"))
+    return claims.overlaps_by_reference(left, right, "claim", "unit", "refs").withColumnsRenamed({"left_keys": "claims", "right_keys": "units"})
+
+
 _FILES = "SELECT doc_id, 'r/' || source || '/' || lang || '/f' || doc_id AS path, doc_id % 17 = 0 AS manifest FROM documents"
 
 

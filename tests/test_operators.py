@@ -156,3 +156,18 @@ def test_stream_keeps_state_between_runs(spark, tmp_path):
     assert step().count() == 0
     put(2, rows[2:])
     assert {(r.event_id, r.before, r.event_type) for r in step().collect()} == {(3, "purchase", "purchase"), (5, "view", "error")}
+
+
+def test_overlaps_by_reference_count_every_pair(spark):
+    from fathomline.operators import claims
+
+    left = spark.createDataFrame([(i, [i % 3, i % 3, i % 5, None]) for i in range(40)] + [(None, [1])], "claim long, refs array<long>")
+    right = spark.createDataFrame([(i, [i % 4, i % 7]) for i in range(30)] + [(99, [])], "unit long, refs array<long>")
+    got = {r.ref: (r.left_keys, r.right_keys, r.pairs) for r in claims.overlaps_by_reference(left, right, "claim", "unit", "refs").collect()}
+    want = {}
+    for ref in range(7):
+        a, b = sum(ref in (i % 3, i % 5) for i in range(40)), sum(ref in (i % 4, i % 7) for i in range(30))
+        if a and b:
+            want[ref] = (a, b, a * b)
+    assert got == want
+    assert sum(p for _, _, p in got.values()) == claims.overlaps(left.filter("claim IS NOT NULL"), right, "claim", "unit", "refs").agg({"shared": "sum"}).first()[0]
