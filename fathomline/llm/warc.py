@@ -24,10 +24,11 @@ from fathomline.llm.common import shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+SIZE = re.compile(r"\d{1,18}")
 #: An archive is closed once it holds this many bytes.
 ROLL_BYTES = 16 << 20
-#: Largest record that the reader unpacks; a longer one counts as damaged.
-MAX_RECORD = 1 << 30
+#: A member is unpacked in slices of the archive of this many bytes, so reading takes time in proportion to the bytes.
+SLICE = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -83,32 +84,35 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise ValueError("malformed header line")
         headers[key.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
+    if not SIZE.fullmatch(headers.get("content-length", "")):
         raise ValueError("no content length")
-    size = int(headers["content-length"])
-    block = raw[end + 4 : end + 4 + size]
-    if len(block) < size or raw[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+    stop = end + 4 + int(headers["content-length"])
+    if not raw.startswith(b"\r\n\r\n", stop):
         raise ValueError("block does not match its content length")
+    block = raw[end + 4 : stop]
     if (want := headers.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != digest(block):
         raise ValueError("block digest differs")
-    return headers, block, end + 8 + size
+    return headers, block, stop + 4
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """Unpacked bytes of the gzip member at ``at`` and its end; ValueError if it fails its check."""
-    unpack = zlib.decompressobj(31)
-    try:
-        raw = unpack.decompress(memoryview(data)[at:], MAX_RECORD)
-    except zlib.error as e:
-        raise ValueError("gzip member fails its check") from e
-    if not unpack.eof:
-        raise ValueError("gzip member is unfinished or too long")
-    return raw, len(data) - len(unpack.unused_data)
+    unpack, view, parts = zlib.decompressobj(31), memoryview(data), []
+    while not unpack.eof:
+        if at >= len(data):
+            raise ValueError("gzip member is unfinished")
+        piece = view[at : at + SLICE]
+        at += len(piece)
+        try:
+            parts.append(unpack.decompress(piece))
+        except zlib.error as e:
+            raise ValueError("gzip member fails its check") from e
+    return b"".join(parts), at - len(unpack.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records of an archive in order, and a gap for every stretch of bytes that belongs to none."""
-    at, bad, reason, line = 0, None, "", -1
+    at, bad, reason, line, packed_at = 0, None, "", -1, -1
     while at < len(data):
         packed = data.startswith(MAGIC, at)
         try:
@@ -125,8 +129,10 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             if line <= at:  # else the version line found before is still ahead
                 found = VERSION.search(data, at + 1)
                 line = found.start() if found else len(data)
-            packed_at = data.find(MAGIC, at + 1)
-            at = min(line, packed_at if packed_at >= 0 else len(data))
+            if packed_at <= at:
+                packed_at = data.find(MAGIC, at + 1)
+                packed_at = packed_at if packed_at >= 0 else len(data)
+            at = min(line, packed_at)
             continue
         if bad is not None:
             yield Gap(bad, at - bad, reason)
@@ -156,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         out, done = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (row for lo in range(0, batch.num_rows, 256) for row in batch.slice(lo, 256).to_pylist()):
                 if out is None:
                     name, count, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
@@ -223,11 +229,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Repeated page ids give one record each; a row with a null page_id has a record whose id is not a number and comes
-    back with a null page_id. An empty table gives no archive and no row; other columns are ignored.
+    back with a null page_id. An empty table gives no archive and no row; other columns are ignored. A gap in what was
+    just written is an error, not a missing row.
     """
     folder = shared_dir(pages.sparkSession)
     manifest = write_archives(pages, folder)
     if manifest.isEmpty():
         return pages.sparkSession.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
     rows = read_archives(pages.sparkSession, folder, manifest, payloads=False)
-    return rows.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    damaged = F.raise_error(F.concat_ws(" ", F.lit("damaged:"), "file", "offset", "gap")).cast("bigint")
+    return rows.select(F.when(F.col("gap").isNull(), F.col("page_id")).otherwise(damaged).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
