@@ -5,7 +5,8 @@ prefix and the node where that token begins. For merges learnt by BPE (each pair
 tokens is the encoding of their text exactly if every two neighbours stay apart when merged on their own, so a node's
 state follows from its ancestors' states alone: it is the one vocabulary token that ends there and may follow the
 ancestor's last token. Words are inserted in sorted order, which walks the trie depth first; every shared prefix is
-encoded once, and the trie is kept between batches of a worker up to a fixed number of nodes.
+encoded once, and the trie is kept between batches of a worker up to a fixed number of nodes. Words beyond ``LONG_WORD``
+bytes leave no nodes behind, so a long run of letters does not fill the trie.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ import re
 from array import array
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathomline.llm.common import map_texts
 
 MAX_NODES = 1_000_000
+#: Bounds of the caches of a worker: pieces and words, and the characters that they have together.
 MAX_PIECES = 400_000
 MAX_WORDS = 400_000
+MAX_CHARS = 8_000_000
 MAX_PAIRS = 1_000_000
+LONG_WORD = 256
 #: Latin letters, of which every version of Unicode says the same.
 NOT_LATIN = re.compile("[^\x00-\u024f]")
 #: Marks that are a pre-token of their own at the end of a word.
@@ -115,7 +120,7 @@ class Trie:
             while same < most and word[same] == before[same]:
                 same += 1
             del path[same + 1 :]
-            node = path[-1]
+            node, kept = path[-1], len(last)
             for i in range(same, len(word)):
                 key = node << 8 | word[i]
                 at = child.get(key)
@@ -147,6 +152,12 @@ class Trie:
                 node = begin[node]
             out[k] = tuple(tokens[::-1])
             before = word
+            if len(word) > LONG_WORD:  # its new nodes go again
+                fresh = next((i for i, x in enumerate(path) if x >= kept), len(path))
+                for i in range(fresh, len(path)):
+                    del child[path[i - 1] << 8 | word[i - 1]]
+                del last[kept:], begin[kept:], live[kept:], path[fresh:]
+                before = word[: fresh - 1]
         return out
 
 
@@ -162,10 +173,12 @@ class Codec:
         as_bytes = {t.translate(self.to_byte).encode("latin-1"): i for t, i in vocab.items()}
         self.trie = Trie(as_bytes, Merges(vocab, spec["model"]["merges"]))
         self.words: dict[bytes, tuple] = {}
+        self.word_bytes = self.piece_chars = 0
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.odd = re.compile(r"^\s| \s|\s$")
+        self.border = re.compile(r" (?=\S)")
         self.bytes_of = {i: t for t, i in as_bytes.items()} | {i: t.encode() for t, i in self.special.items()}
         self.digits = {i: str(i) for i in self.bytes_of}
         self.first: dict[str, tuple] = {}
@@ -173,27 +186,32 @@ class Codec:
 
     def _ids(self, words: list[bytes]) -> None:
         """Put the ids of pre-tokens into ``words``; those it lacks go through the trie."""
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > MAX_WORDS or self.word_bytes > MAX_CHARS:
             self.words.clear()
+            self.word_bytes = 0
         if new := list(set(words) - self.words.keys()):
             self.words.update(zip(new, self.trie.encode(new), strict=True))
+            self.word_bytes += sum(map(len, new))
 
     def _pre_tokens(self, text: str) -> list[bytes]:
         return [w.translate(self.to_byte).encode("latin-1") for w, _ in self.split(text)]
 
-    def _learn_first(self, pieces: set[str]) -> None:
-        split = [self._pre_tokens(p) for p in pieces]
+    def _learn(self, cache: dict[str, tuple], pieces: list[str], lead: str) -> None:
+        """Each piece through the pattern on its own, behind ``lead``."""
+        split = [self._pre_tokens(lead + p) for p in pieces]
         self._ids([w for ws in split for w in ws])
         for piece, ws in zip(pieces, split, strict=True):
-            self.first[piece] = tuple(chain.from_iterable(map(self.words.__getitem__, ws)))
+            cache[piece] = tuple(chain.from_iterable(map(self.words.__getitem__, ws)))
 
     def _learn_later(self, pieces: set[str]) -> None:
         """Latin letters alone, or with one mark behind, have known pre-tokens; all others go to the pattern in one string:
-        no piece holds a space, so each begins at a pre-token with a space."""
+        no piece of those holds a space, so each begins at a pre-token with a space."""
         latin = not NOT_LATIN.search("".join(pieces))
         plain = [p for p in pieces if p.isalpha()] if latin else []
         ended = [p for p in pieces if p[-1] in MARKS and p[:-1].isalpha()] if latin else []
-        order = list(pieces.difference(plain, ended))
+        spaced_out = [p for p in pieces if " " in p]
+        order = list(pieces.difference(plain, ended, spaced_out))
+        self._learn(self.later, spaced_out, " ")
         spaced, cores = [b" " + p.encode() for p in plain], [b" " + p[:-1].encode() for p in ended]
         words = self._pre_tokens(" " + " ".join(order)) if order else []
         self._ids([*spaced, *cores, *words, *(m.encode() for m in MARKS)])
@@ -208,25 +226,28 @@ class Codec:
     def _segments(self, texts: list[str]) -> list[list]:
         """Each text as runs: an id of a special token, or a list of pieces of which all but the first follow a space.
 
-        A space before a character that is no white space always begins a pre-token, so pieces encode alone. A text
-        that begins or ends with white space, or has it after a space, stays in one piece.
+        A space before a character that is no white space always begins a pre-token, whatever stands before it, so
+        pieces encode alone; other white space stays at the end of the piece before.
         """
         out = []
         for text in texts:
             parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else (text,)
-            out.append([self.special.get(p) if p in self.special else ([p] if self.odd.search(p) else p.split(" ")) for p in parts if p])
+            out.append([self.special.get(p) if p in self.special else (self.border.split(p) if self.odd.search(p) else p.split(" ")) for p in parts if p])
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.first) + len(self.later) > MAX_PIECES:
+        if len(self.first) + len(self.later) > MAX_PIECES or self.piece_chars > MAX_CHARS:
             self.first.clear()
             self.later.clear()
+            self.piece_chars = 0
         runs = self._segments(texts)
         lists = [r for rs in runs for r in rs if isinstance(r, list)]
-        if new := {r[0] for r in lists} - self.first.keys():
-            self._learn_first(new)
+        if new := list({r[0] for r in lists} - self.first.keys()):
+            self._learn(self.first, new, "")
+            self.piece_chars += sum(map(len, new))
         if new := set().union(*(r[1:] for r in lists)) - self.later.keys():
             self._learn_later(new)
+            self.piece_chars += sum(map(len, new))
         first, later = self.first.__getitem__, self.later.__getitem__
         return [list(chain.from_iterable((r,) if isinstance(r, int) else chain(first(r[0]), chain.from_iterable(map(later, r[1:]))) for r in rs)) for rs in runs]
 
@@ -271,10 +292,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, ids array<int>."""
+    """Per row: doc_id, ids array<int>; null and empty texts have no ids, other cases are as in ``encode_decode``."""
 
     def make():
         own = codec(path)
-        return lambda texts: [own.encode(texts)]
+        return lambda texts: [pa.array(own.encode(texts), pa.list_(pa.int32()))]
 
     return map_texts(docs, ["doc_id"], "ids array<int>", make)
