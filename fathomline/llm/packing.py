@@ -1,11 +1,12 @@
 """Mixture-controlled packing into fixed windows by deficit round-robin over source queues.
 
-In every round a queue's deficit grows by its quota (its target share of the window, in 1/65536 tokens) and it sends
-whole tokens up to its deficit; what is left is carried into the next round. Documents may be cut anywhere, so after
-round r queue k has sent ``min(total_k, r * quota_k >> 16)`` tokens: the deficits are a closed form, which every
-partition evaluates for its own documents without a hand-over. Rounds are laid end to end, so windows have no gaps and
-only the last one is padded; each window holds the target proportions to within a token or two a queue while all
-queues last.
+A queue holds its source's documents in order, cut into packets of at most one window. In every round a queue's deficit
+grows by its quota (its target share of the window, in 1/65536 tokens); it sends packets while they fit, and what is left
+stays for the next rounds. So packet ``p`` goes out in the round in which the quotas so far reach its end in the queue,
+``ceil(end << 16 / quota)``: deficits are carried over windows in closed form, and every partition finds the rounds of its
+own packets without a hand-over. Rounds are laid end to end (within a round by source) and windows cut from them, so none
+has a gap and only the last one is padded. After any number of rounds a queue is less than one packet from its target,
+while documents up to a window long stay whole but for the border of a window.
 """
 
 from __future__ import annotations
@@ -22,108 +23,104 @@ from fathomline.llm.common import map_texts, written
 from fathomline.llm.tokens import encoder
 
 FRACTION = 16
-#: Queues beyond this many smallest ones share one; the mixture's table then has a fixed size.
-MAX_QUEUES = 256
-BLOCK_ROWS = 4096
+#: Rows of a block that one task orders and numbers: documents of a queue, and rounds (one holds about a window).
+BLOCK_ROWS, BLOCK_ROUNDS = 4096, 1024
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit, the end id last), written to the shared folder."""
+    """row (unique), doc_id, source, n_tokens, ids (little-endian unsigned 32-bit, the end id last), check (their crc32), written to the shared folder."""
 
     def make():
         own = encoder(path)
 
         def work(texts: list[str]) -> list:
             ids, edges = own.encode(texts)
-            parts = [np.append(ids[a:b], end_id).astype("<u4") for a, b in zip(edges, edges[1:], strict=False)]
-            return [[len(p) for p in parts], pa.array([p.tobytes() for p in parts], pa.binary())]
+            parts = [np.append(ids[a:b], end_id).astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            return [[len(p) // 4 for p in parts], pa.array(parts, pa.binary()), list(map(zlib.crc32, parts))]
 
         return work
 
-    return written(map_texts(docs, ["doc_id", "source"], "n_tokens bigint, ids binary", make))
-
-
-def quotas(totals: list[int], weights: list[float], window: int) -> list[int]:
-    """Quota of each queue in 1/65536 tokens a round: in proportion to the weights, at least one, together the window."""
-    full, total = window << FRACTION, sum(weights)
-    shares = [max(1, int(full * w / total)) for w in weights]
-    shares[max(range(len(shares)), key=lambda i: shares[i])] += full - sum(shares)
-    return shares
-
-
-def _places(a: np.ndarray, b: np.ndarray, k: np.ndarray, quota: np.ndarray, totals: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For documents that take [a, b) of queue k: document number, begin in the queue, length and global place of each piece."""
-    r0 = (((a + 1) << FRACTION) - 1) // quota[k]
-    r1 = ((b << FRACTION) - 1) // quota[k]
-    n = r1 - r0 + 1
-    doc = np.repeat(np.arange(len(a)), n)
-    r = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + r0[doc]
-    q = k[doc]
-    first = (r * quota[q]) >> FRACTION
-    lo, hi = np.maximum(first, a[doc]), np.minimum(((r + 1) * quota[q]) >> FRACTION, b[doc])
-    some = hi > lo
-    doc, r, q, first, lo, hi = (x[some] for x in (doc, r, q, first, lo, hi))
-    place = lo - first
-    for j in range(len(quota)):
-        place += np.minimum(totals[j], ((r + (j < q)) * quota[j]) >> FRACTION)
-    size = hi - lo
-    head = np.minimum(size, window - place % window)
-    two = np.flatnonzero(head < size)
-    doc, lo = np.concatenate((doc, doc[two])), np.concatenate((lo, (lo + head)[two]))
-    place, size = np.concatenate((place, (place + head)[two])), np.concatenate((head, (size - head)[two]))
-    order = np.lexsort((lo, doc))
-    return doc[order], lo[order], size[order], place[order]
+    table = map_texts(docs, ["doc_id", "source"], "n_tokens bigint, ids binary, check bigint", make)
+    return written(table.select(F.monotonically_increasing_id().alias("row"), "*"))
+
+
+def bases(sums: DataFrame, keys: list[str], block: str, value: str, name: str) -> DataFrame:
+    """(``keys``, ``block``, ``name``): the sum of ``value`` over the key's smaller blocks, in two levels so that no task has all blocks."""
+    tall = sums.withColumn("_tall", F.expr(f"{block} div 1024"))
+    above = tall.groupBy(*keys, "_tall").agg(F.sum(value).alias("_sum"))
+    ahead = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = [F.lit(0).alias("_all")] if not keys else []
+    above = above.select("*", *none).withColumn("_base", F.coalesce(F.sum("_sum").over(ahead(keys or ["_all"], "_tall")), F.lit(0)))
+    near = tall.withColumn("_near", F.coalesce(F.sum(value).over(ahead([*keys, "_tall"], block)), F.lit(0)))
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [*keys, "_tall"]]
+    joined = near.alias("_a").join(above.alias("_b"), on=same)
+    return joined.select(*(F.col(f"_a.{k}") for k in [*keys, block]), (F.col("_near") + F.col("_base")).alias(name))
+
+
+def rounds(table: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
+    """Packets of the documents of ``token_table`` with their rounds: row, source, start, length, end (in the queue), round."""
+    totals = table.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    given = targets or {}
+    if given and min(given.values()) <= 0:
+        raise ValueError("targets must be positive")
+    everything = totals.agg(F.sum("tokens").alias("tokens")).first().tokens or 1
+    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in given.items() for x in p)), F.col("source")) if given else F.lit(None).cast("double"), F.col("tokens") / everything)
+    weighed = totals.withColumn("weight", weight)
+    whole = weighed.agg(F.sum("weight").alias("weight")).first().weight or 1.0
+    quota = F.greatest(F.lit(1), F.floor(F.lit(float(window << FRACTION)) * F.col("weight") / whole)).cast("long")
+    queues = weighed.select(F.col("source").alias("_queue"), "blocks", quota.alias("quota"))
+    slim = table.select("row", "doc_id", "source", "n_tokens", "check")
+    placed = slim.join(queues, F.col("source").eqNullSafe(F.col("_queue"))).withColumn("block", F.expr("pmod(xxhash64(row), blocks)")).drop("_queue", "blocks")
+    begins = bases(placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), ["source"], "block", "tokens", "base").withColumnRenamed("source", "_queue").withColumnRenamed("block", "_block")
+    order = Window.partitionBy("source", "block").orderBy(F.col("doc_id").asc_nulls_last(), "check", "row").rowsBetween(Window.unboundedPreceding, -1)
+    lined = placed.withColumn("running", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(begins, F.col("source").eqNullSafe(F.col("_queue")) & (F.col("block") == F.col("_block")))
+    cut = lined.select("row", "source", "quota", (F.col("base") + F.col("running")).alias("at"), "n_tokens", F.explode(F.expr(f"sequence(0L, n_tokens - 1, {window}L)")).alias("start"))
+    length = F.least(F.lit(window).cast("long"), F.col("n_tokens") - F.col("start"))
+    packets = cut.select("row", "source", "quota", "start", length.alias("length"), (F.col("at") + F.col("start") + length).alias("end"))
+    # ceil(end * 65536 / quota) in whole numbers, exact beyond 2**47 tokens a queue
+    number = F.expr(f"(end div quota << {FRACTION}) + ((end % quota << {FRACTION}) + quota - 1) div quota")
+    return packets.select("row", "source", "start", "length", "end", number.alias("round"))
+
+
+def places(packets: DataFrame) -> DataFrame:
+    """(row, packets): the array of (start, length, place) of each document; ``place`` counts from the first round's first token."""
+    blocked = packets.withColumn("block", F.expr(f"round div {BLOCK_ROUNDS}"))
+    begins = bases(blocked.groupBy("block").agg(F.sum("length").alias("tokens")), [], "block", "tokens", "base")
+    order = Window.partitionBy("block").orderBy("round", "source", "end").rowsBetween(Window.unboundedPreceding, -1)
+    lined = blocked.withColumn("running", F.coalesce(F.sum("length").over(order), F.lit(0))).join(begins, "block")
+    return lined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", (F.col("base") + F.col("running")).alias("place")))).alias("packets"))
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, targets: dict[str, float] | None = None, end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``targets`` weighs sources against each other (default: their share of all tokens; sources it lacks keep that
-    share). Null texts are empty and consist of the end id alone; a null source is a queue of its own; rows with null
-    or repeated doc_id are packed as they come; an empty table gives no piece; other columns are ignored.
+    share); every source has a queue of its own. Null texts are empty and consist of the end id alone; a null source is
+    a queue; rows with null or repeated doc_id are packed as they come; an empty table gives no piece; other columns are
+    ignored. Only doc_id, source, length and checksum are ordered; the ids move once, to their packets.
     """
     table = token_table(docs, path, end_id)
-    spark = table.sparkSession
-    by_source = table.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
-    top = by_source.orderBy(F.desc("tokens"), F.col("source").asc_nulls_last()).limit(MAX_QUEUES - 1).collect()
-    everything = table.agg(F.sum("n_tokens"), F.count("*")).first()
-    rest = (everything[0] or 0) - sum(r.tokens for r in top), everything[1] - sum(r.n for r in top)
-    totals = [r.tokens for r in top] + [rest[0]] * (rest[0] > 0)
-    if not totals:
-        return spark.createDataFrame([], PIECES)
-    given, whole = targets or {}, sum(totals)
-    weights = [given.get(r.source, r.tokens / whole) for r in top] + [rest[0] / whole] * (rest[0] > 0)
-    if min(weights) <= 0:
-        raise ValueError("targets must be positive")
-    share = quotas(totals, weights, window)
-    queues = [(r.source, i, -(-r.n // BLOCK_ROWS)) for i, r in enumerate(top)]
-    mixture = spark.createDataFrame(queues, "queue string, rank int, blocks bigint")
-    other = (len(top), -(-max(1, rest[1]) // BLOCK_ROWS))
-    placed = table.join(F.broadcast(mixture), table.source.eqNullSafe(mixture.queue), "left").select(
-        "doc_id", "source", "n_tokens", "ids", F.coalesce("rank", F.lit(other[0])).alias("rank"), F.expr(f"pmod(xxhash64(doc_id), coalesce(blocks, {other[1]}L))").alias("block")
-    )
-    own = Window.partitionBy("rank", "block")
-    sums = placed.groupBy("rank", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    before = F.sum("block_tokens").over(Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.select("rank", "block", F.coalesce(before, F.lit(0)).alias("base"))
-    running = F.sum("n_tokens").over(own.orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1))
-    lined = placed.withColumn("running", F.coalesce(running, F.lit(0))).join(bases, ["rank", "block"])
-    quota, total = np.array(share, np.int64), np.array(totals, np.int64)
+    sent = places(rounds(table, window, targets)).withColumnRenamed("row", "_row")
+    joined = table.join(sent.hint("shuffle_hash"), F.col("row") == F.col("_row")).select("doc_id", "source", "n_tokens", "ids", "packets")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                a, n, k = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n_tokens", "rank"))
-                doc, begin, size, place = _places(a, a + n, k, quota, total, window)
-                start = begin - a[doc]
+                held = part.column("packets")
+                of = np.repeat(np.arange(part.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+                start, size, place = (x.to_numpy(zero_copy_only=False) for x in held.flatten().flatten())
+                head = np.minimum(size, window - place % window)
+                two = np.flatnonzero(head < size)
+                of, start = np.concatenate((of, of[two])), np.concatenate((start, (start + head)[two]))
+                place, size = np.concatenate((place, (place + head)[two])), np.concatenate((head, (size - head)[two]))
                 ids = part.column("ids").to_pylist()
-                crc = [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + m)]) for d, s, m in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
-                where = pa.array(doc)
+                crc = [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + m)]) for d, s, m in zip(of.tolist(), start.tolist(), size.tolist(), strict=True)]
+                where = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(where), *map(pa.array, (start, size, crc, n[doc], place // window, place % window)), part.column("source").take(where)],
+                    [part.column("doc_id").take(where), *map(pa.array, (start, size, crc)), part.column("n_tokens").take(where), *map(pa.array, (place // window, place % window)), part.column("source").take(where)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
-    return lined.select("doc_id", "source", "n_tokens", "ids", "rank", (F.col("base") + F.col("running")).alias("at")).mapInArrow(cut, PIECES)
+    return joined.mapInArrow(cut, PIECES)

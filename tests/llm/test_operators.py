@@ -61,6 +61,31 @@ def test_bpe_pairs_and_prefixes():
     assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_bpe_caches_pieces_and_not_whole_texts(monkeypatch):
+    library, rng = Tokenizer.from_file(BYTE), np.random.default_rng(7)
+    monkeypatch.setattr(bpe, "MAX_CHARS", 20_000)
+    own = bpe.Codec(BYTE)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    most = 0
+    for lo in range(0, 5000, 250):
+        texts = [" ".join(rng.choice(words, 60)) + ("\n", " \n\n", "  ", "\t x\n")[k % 4] for k in range(250)]
+        assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        most = max(most, sum(map(len, own.first)) + sum(map(len, own.later)))
+    assert most < 20_000 + 30_000  # the bound and one batch's pieces; the texts have 1.8 million characters
+    long = ["q" * 40_000, "ab" * 20_000 + " tail", "é" * 9000 + "\n", "  \n " * 3000 + "x"]
+    nodes = len(own.trie.last)
+    assert own.encode(long) == [library.encode(t, add_special_tokens=False).ids for t in long]
+    assert len(own.trie.last) < nodes + 200 and len(own.trie.child) == len(own.trie.last) - 1
+    assert own.encode(["q" * 300, "q" * 30]) == [library.encode(t, add_special_tokens=False).ids for t in ("q" * 300, "q" * 30)]
+
+
+def test_bpe_tokenize(docs, none):
+    library = Tokenizer.from_file(BYTE)
+    want = collections.Counter((r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows())
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in bpe.tokenize(docs, BYTE).collect()) == want
+    assert bpe.tokenize(none, BYTE).count() == 0
+
+
 def test_packing(docs, none):
     library = Tokenizer.from_file(BYTE)
     got = [r for r in packing.pack(docs, BYTE, window=64).collect() if r.doc_id not in (0, None)]
@@ -78,25 +103,78 @@ def test_packing(docs, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
-def test_packing_fills_windows_to_targets(spark):
-    some = spark.createDataFrame([(i, f"word number {i} " * (i % 40 + 1), "big" if i % 3 else "small") for i in range(900)], "doc_id long, text string, source string")
-    for targets in (None, {"big": 0.5, "small": 0.5}):
-        pieces = packing.pack(some, BYTE, window=128, targets=targets).toPandas()
-        windows = pieces.sort_values("offset").groupby("sequence_id")
-        assert all((g.offset.to_numpy() == np.r_[0, np.cumsum(g.length)[:-1]]).all() for _, g in windows)
-        sizes = windows.length.sum().sort_index()
-        assert (sizes.iloc[:-1] == 128).all() and list(sizes.index) == list(range(len(sizes)))
-        share = pieces[pieces.source == "small"].groupby("sequence_id").length.sum() / 128
-        wanted = 0.5 if targets else pieces[pieces.source == "small"].length.sum() / pieces.length.sum()
-        assert (share.iloc[: len(share) // 3] - wanted).abs().max() < 0.03
+def round_robin(docs, weights, window):
+    """Sequential deficit round-robin: (doc, start, length, sequence, offset) of every piece, in order.
+
+    ``docs`` are (doc, source, tokens) in queue order, ``weights`` by source in the order in which queues are served.
+    """
+    queues = {s: collections.deque() for s in weights}
+    for doc, source, n in docs:
+        queues[source].extend((doc, lo, min(window, n - lo)) for lo in range(0, n, window))
+    whole = sum(weights.values())
+    quota = {s: max(1, int(float(window << 16) * w / whole)) for s, w in weights.items()}
+    deficit, stream = dict.fromkeys(weights, 0), []
+    while any(queues.values()):
+        for s, queue in queues.items():
+            deficit[s] += quota[s]
+            while queue and queue[0][2] << 16 <= deficit[s]:
+                deficit[s] -= queue[0][2] << 16
+                stream.append(queue.popleft())
+    out, at = [], 0
+    for doc, start, n in stream:
+        while n:
+            size = min(n, window - at % window)
+            out.append((doc, start, size, at // window, at % window))
+            start, n, at = start + size, n - size, at + size
+    return out
+
+
+def test_packing_equals_sequential_round_robin(spark):
+    library = Tokenizer.from_file(BYTE)
+    data = [(i, f"word number {i} " * (i * 37 % 61), None if i % 9 == 0 else "big" if i % 3 else "small") for i in range(700)]
+    some = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    counts = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in data}
+    total = collections.Counter()
+    for i, _, s in data:
+        total[s] += counts[i]
+    for targets in (None, {"big": 0.2, "small": 0.7}):
+        weights = {s: (targets or {}).get(s, total[s] / sum(total.values())) for s in (None, "big", "small")}
+        want = round_robin([(i, s, counts[i]) for i, _, s in data], weights, 128)
+        got = packing.pack(some, BYTE, window=128, targets=targets).collect()
+        assert sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length) for r in got) == [(q, o, d, s, n) for d, s, n, q, o in want]
+        whole = sum(weights.values())
+        sent, at = collections.Counter(), 0
+        for d, _, n, _, _ in want[: len(want) // 3]:
+            sent[data[d][2]] += n
+            at += n
+        assert all(abs(sent[s] - at * w / whole) < 3 * 128 for s, w in weights.items())
+    with pytest.raises(ValueError):
+        packing.pack(some, BYTE, targets={"big": 0.0})
+
+
+def test_packing_keeps_documents_long_and_blocks_exact(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(packing, "BLOCK_ROUNDS", 2)
+    some = spark.createDataFrame([(i if i % 5 else None, "some text " * (i % 90), f"s{i % 20}") for i in range(1500)], "doc_id long, text string, source string")
+    pieces = packing.pack(some, BYTE, window=256).toPandas()
+    windows = pieces.sort_values("offset").groupby("sequence_id")
+    assert all((g.offset.to_numpy() == np.r_[0, np.cumsum(g.length)[:-1]]).all() for _, g in windows)
+    sizes = windows.length.sum().sort_index()
+    assert (sizes.iloc[:-1] == 256).all() and list(sizes.index) == list(range(len(sizes)))
+    library = Tokenizer.from_file(BYTE)
+    tokens = [len(library.encode("some text " * n, add_special_tokens=False).ids) + 1 for n in range(90)]
+    assert pieces.length.sum() == sum(tokens[i % 90] for i in range(1500))
+    assert len(pieces) < 1.6 * 1500
 
 
-def test_packing_many_sources_share_a_queue(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
-    some = spark.createDataFrame([(i, "some text " * (i % 9), f"s{i % 11}") for i in range(300)], "doc_id long, text string, source string")
-    pieces = packing.pack(some, BYTE, window=64).toPandas()
-    assert pieces.doc_id.nunique() == 300 and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
-    assert (pieces.groupby("sequence_id").length.sum().iloc[:-1] == 64).all()
+def test_packing_gives_every_source_its_own_queue(spark):
+    some = spark.createDataFrame([(i, "some text " * (i % 9), f"s{i % 600}") for i in range(3000)], "doc_id long, text string, source string")
+    targets = {"s0": 0.4, "s599": 0.4}
+    pieces = packing.pack(some, BYTE, window=64, targets=targets).toPandas()
+    assert pieces.doc_id.nunique() == 3000 and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+    total = pieces.groupby("source").length.sum()
+    rate = {s: pieces[pieces.source == s].sequence_id.max() + 1 for s in targets}
+    assert all(rate[s] <= 2 + total[s] / 64 / 0.2 for s in targets)  # at 0.4 of about 1.8 a round
 
 
 def test_warc_round_trip(spark):
@@ -132,6 +210,30 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and isinstance(next(warc.salvage(b"junk")), warc.Gap)
 
 
+def test_warc_reads_in_proportion_to_its_bytes():
+    import time
+
+    rng = np.random.default_rng(8)
+    some = [warc.record(i, f"http://h/{i}", rng.bytes(1000), None) for i in range(2048)]
+    seconds = []
+    for times in (1, 8):
+        data = b"".join(some) * times
+        start = time.process_time()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(data)) == 2048 * times
+        seconds.append(time.process_time() - start)
+    assert len(data) > 16 << 20 and seconds[1] < 24 * seconds[0] + 0.2  # eight times the bytes; the whole rest of the file a record took 60 times as long
+
+
+def test_warc_long_payloads_and_damage(spark):
+    long = "<p>é" * 700_000
+    frame = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(frame).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == len(long.encode()) and got[2].refers_to == 1 and got[3].payload_bytes == 0
+    first = warc.record(1, "u", long.encode(), None)
+    whole, at = first + warc.record(2, "u", b"x", None), len(first) // 2
+    assert [type(x) for x in warc.salvage(whole[:at] + b"\0\0\0\0" + whole[at + 4 :])] == [warc.Gap, warc.Record]
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
