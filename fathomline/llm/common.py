@@ -1,4 +1,4 @@
-"""Helpers that several operators share: the shared scratch folder and text batches."""
+"""Helpers that several operators share: the shared scratch folder, text batches and running sums over blocks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHUNK_CHARS = 2_000_000
 
@@ -60,3 +61,16 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Ca
 
     names = [x.split()[0] for x in schema.split(", ")]
     return source.mapInArrow(run, full)
+
+
+def bases(sums: DataFrame, keys: list[str], block: str, value: str, name: str) -> DataFrame:
+    """(``keys``, ``block``, ``name``): the sum of ``value`` over the key's smaller blocks, in two levels so that no task has all blocks."""
+    tall = sums.withColumn("_tall", F.expr(f"{block} div 1024"))
+    above = tall.groupBy(*keys, "_tall").agg(F.sum(value).alias("_sum"))
+    ahead = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = [F.lit(0).alias("_all")] if not keys else []
+    above = above.select("*", *none).withColumn("_base", F.coalesce(F.sum("_sum").over(ahead(keys or ["_all"], "_tall")), F.lit(0)))
+    near = tall.withColumn("_near", F.coalesce(F.sum(value).over(ahead([*keys, "_tall"], block)), F.lit(0)))
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [*keys, "_tall"]]
+    joined = near.alias("_a").join(above.alias("_b"), on=same)
+    return joined.select(*(F.col(f"_a.{k}") for k in [*keys, block]), (F.col("_near") + F.col("_base")).alias(name))

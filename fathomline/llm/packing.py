@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import map_texts, written
+from fathomline.llm.common import bases, map_texts, written
 from fathomline.llm.tokens import encoder
 
 FRACTION = 16
@@ -45,19 +45,6 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     return written(table.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
-def bases(sums: DataFrame, keys: list[str], block: str, value: str, name: str) -> DataFrame:
-    """(``keys``, ``block``, ``name``): the sum of ``value`` over the key's smaller blocks, in two levels so that no task has all blocks."""
-    tall = sums.withColumn("_tall", F.expr(f"{block} div 1024"))
-    above = tall.groupBy(*keys, "_tall").agg(F.sum(value).alias("_sum"))
-    ahead = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    none = [F.lit(0).alias("_all")] if not keys else []
-    above = above.select("*", *none).withColumn("_base", F.coalesce(F.sum("_sum").over(ahead(keys or ["_all"], "_tall")), F.lit(0)))
-    near = tall.withColumn("_near", F.coalesce(F.sum(value).over(ahead([*keys, "_tall"], block)), F.lit(0)))
-    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in [*keys, "_tall"]]
-    joined = near.alias("_a").join(above.alias("_b"), on=same)
-    return joined.select(*(F.col(f"_a.{k}") for k in [*keys, block]), (F.col("_near") + F.col("_base")).alias(name))
-
-
 def rounds(table: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
     """Packets of the documents of ``token_table`` with their rounds: row, source, start, length, end (in the queue), round."""
     totals = table.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from itertools import chain
 
@@ -20,7 +21,7 @@ from fathomline.llm.bpe import NOT_LATIN, Merges, byte_alphabet
 
 MAX_PIECES = 400_000
 MAX_CHARS = 20_000_000
-#: Stands between pieces in one string where spaces are dropped; a pre-token of its own.
+#: Stands between pieces in one string where spaces are dropped, a pre-token of its own; in ``Ended`` for a word's end.
 BAR = "\x01"
 
 
@@ -36,10 +37,12 @@ class PieceEncoder:
         self.spaced = spec["normalizer"] is None  # else white space is dropped and no piece needs its space
         special = "|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)"
         self.unusual = re.compile(rf" (?:\s|$)|{special}" if self.spaced else rf"[\x1c-\x1f{BAR}]|{special}")
-        self.bare = self.library
+        self.bare, self.ended = self.library, None
         if not self.spaced:  # Latin text in lower case is as the normaliser leaves it
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = normalizers.Sequence([])
+            self.ended = Ended.made_of(spec)
+        self.odd_marks = [] if self.spaced else [*BAR, *"\x1c\x1d\x1e\x1f", *(x["content"] for x in spec["added_tokens"])]
         vocab = self.library.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")] if self.spaced else self.library.encode(BAR, add_special_tokens=False).ids] = True
@@ -76,6 +79,17 @@ class PieceEncoder:
             self.flat.frombytes(ids.tobytes())
         self.chars += sum(map(len, pieces))
 
+    def _learn_ended(self, cache: dict[str, int], pieces: list[str]) -> None:
+        """As ``_learn_joined``, for pieces of Latin letters in lower case."""
+        for lo in range(0, len(pieces), 20_000):
+            some = pieces[lo : lo + 20_000]
+            ids, edges = self.ended.encode(some)
+            cache.update(zip(some, range(len(self.begin), len(self.begin) + len(some)), strict=True))
+            self.begin.frombytes((edges[:-1] + len(self.flat)).astype(np.int64).tobytes())
+            self.size.frombytes(np.diff(edges).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        self.chars += sum(map(len, pieces))
+
     def _odd(self, pieces: set[str]) -> set[str]:
         """Pieces that do not encode alone: empty, with white space in front, or with a special token; one search finds out that none is."""
         if not self.unusual.search(" " + " ".join(pieces)):
@@ -96,14 +110,17 @@ class PieceEncoder:
             one, rest = self.first.__getitem__, self.later.__getitem__
             index = np.fromiter(chain.from_iterable(chain((one(r[0]),), map(rest, r[1:])) for r in runs), np.int64)
         else:
-            latin = [not NOT_LATIN.search(t) for t in texts]  # letters with one composed form, each lowered alone
-            runs = [[t] if self.unusual.search(t) else (t.lower() if low else t).split() for t, low in zip(texts, latin, strict=True)]
+            latin = [t.isascii() or not NOT_LATIN.search(t) for t in texts]  # letters with one composed form, each lowered alone
+            runs = [[t] if any(x in t for x in self.odd_marks) else (t.lower() if low else t).split() for t, low in zip(texts, latin, strict=True)]
             new = set().union(*runs) - self.first.keys()
             odd = self._odd(new)
             self._learn(self.first, list(odd))
             other = {p for p in new if NOT_LATIN.search(p) or p != p.lower()} if not all(latin) else set()
             self._learn_joined(self.first, list(other - odd), self.library)
-            self._learn_joined(self.first, list(new - other - odd), self.bare)
+            if self.ended:
+                self._learn_ended(self.first, list(new - other - odd))
+            else:
+                self._learn_joined(self.first, list(new - other - odd), self.bare)
             index = np.fromiter(map(self.first.__getitem__, chain.from_iterable(runs)), np.int64)
         pieces = np.cumsum([0, *map(len, runs)])
         size = np.frombuffer(self.size, np.int64)[index] if len(index) else np.zeros(0, np.int64)
@@ -114,6 +131,60 @@ class PieceEncoder:
         return np.frombuffer(self.flat, np.uint32)[where], ends[pieces]
 
 
+#: The pre-tokens of files whose words end in a mark, a fixed value.
+ENDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _latin(kind: str) -> str:
+    """What the lower case of Latin characters has of a general category (L or N), for a class of a pattern."""
+    return "".join(re.escape(c) for c in sorted(set("".join(map(chr, range(0x250))).lower())) if unicodedata.category(c)[0] == kind)
+
+
+class Ended:
+    """Words that end in a mark (``</w>``) by tiktoken: the mark is a byte behind each word that joins its last byte first.
+
+    For Latin pieces in lower case without white space and without that byte. As with ``WholeEncoder``, the file must
+    make each token by one pair and encode its text as itself.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], ids: list[int]):
+        import tiktoken
+
+        self.ids = np.array(ids, np.uint32)
+        self.ends = np.zeros(len(ids), bool)
+        self.ends[[r for t, r in ranks.items() if t.endswith(BAR.encode())]] = True
+        self.fast = tiktoken.Encoding("ended", pat_str=f"[^{BAR}]+{BAR}", mergeable_ranks=ranks, special_tokens={})
+        letters, numbers = _latin("L"), _latin("N")
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
+
+    @classmethod
+    def made_of(cls, spec: dict):
+        """None if the file is not of that kind."""
+        model, split = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix")) or (split[0].get("pattern") or {}).get("Regex") != ENDED:
+            return None
+        vocab, alphabet = model["vocab"], byte_alphabet()
+        merges = Merges(vocab, model["merges"])
+        base = [*alphabet, *(c + "</w>" for c in alphabet)]
+        order = [*base, *("".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"])]
+        memo: dict[int, bool] = {}
+        if len(set(order)) < len(order) or not all(t in vocab and merges.whole(vocab[t], memo) for t in order):
+            return None
+        to_byte = {ord(c): b for c, b in alphabet.items()}
+        raw = [t.removesuffix("</w>").translate(to_byte).encode("latin-1") + BAR.encode() * t.endswith("</w>") for t in order]
+        return cls({t: r for r, t in enumerate(raw)}, [vocab[t] for t in order]) if len(set(raw)) == len(raw) else None
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one piece after the other, and where each piece begins (one more entry than pieces)."""
+        words = [[p] if p.isalpha() else self.words(p) for p in pieces]
+        ranks = self.fast.encode_to_numpy("".join(f"{w}{BAR}" for ws in words for w in ws), disallowed_special=())
+        ends = np.append(0, np.flatnonzero(self.ends[ranks]) + 1)
+        edges = ends[np.cumsum([0, *map(len, words)])]
+        if edges[-1] != len(ranks):
+            raise ValueError("pieces and their ids do not match")
+        return self.ids[ranks], edges
+
+
 #: The pre-tokens of byte-level files (their default pattern), a fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer runs of white space go to the tokenizers library; the other one's pattern matcher gives up on very long ones.

@@ -3,10 +3,12 @@
 import base64
 import collections
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -229,7 +231,7 @@ def test_warc_long_payloads_and_damage(spark):
     frame = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r for r in warc.round_trip(frame).collect()}
     assert got[1].payload_bytes == got[2].payload_bytes == len(long.encode()) and got[2].refers_to == 1 and got[3].payload_bytes == 0
-    first = warc.record(1, "u", long.encode(), None)
+    first = warc.record(1, "u", np.random.default_rng(1).bytes(3_000_000), None)
     whole, at = first + warc.record(2, "u", b"x", None), len(first) // 2
     assert [type(x) for x in warc.salvage(whole[:at] + b"\0\0\0\0" + whole[at + 4 :])] == [warc.Gap, warc.Record]
 
@@ -389,16 +391,16 @@ def test_ann_bounds_skip_lists_of_separate_clusters():
     assert len(group) == 40 and set(group) == set(range(len(blocks))) and blocks[group[39]] == 5
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 31, 33, 2047, 2048, 2049, 5000])
+@pytest.mark.parametrize("n", [0, 1, 33, 4096, 9000])
 def test_rangecoder_blocks(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 65536, n), np.full(n, 65535), rng.zipf(1.3, n) % 5000, np.arange(n) % 7):
+    for ids in (np.full(n, 65535), rng.zipf(1.3, n) % 5000, rng.integers(0, 1 << 32, n), np.arange(n) * 70_001 % 90_001):
         ids = ids.astype(np.uint32)
         data = rangecoder.pack_file([3, None], [n, 0], ids)
         names, lengths, back = rangecoder.unpack_file(data)
         assert names == [3, None] and lengths.tolist() == [n, 0] and (back == ids).all()
-    assert len(rangecoder.encode_blocks(np.zeros(2048, np.uint32))[0]) < 100
-    if n > 2048:
+    assert len(rangecoder.encode_blocks(np.zeros(4096, np.int32), 1)[0]) < 100
+    if n > 4096:
         for at in (5, len(data) - 3):
             broken = bytearray(data)
             broken[at] ^= 1
@@ -406,6 +408,15 @@ def test_rangecoder_blocks(n):
                 rangecoder.unpack_file(bytes(broken))
 
 
+def test_rangecoder_beats_order_0_and_zlib():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet") if os.path.isdir("/root/testdata/sf0.01") else pytest.skip("tables are not here")
+    encoded = Tokenizer.from_file(WORD).encode_batch_fast(table.column("text").to_pylist()[:300], add_special_tokens=False)
+    ids = np.concatenate([e.ids for e in encoded]).astype(np.uint32)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    bits = 8 * len(rangecoder.pack_file([1], [len(ids)], ids)) / len(ids)
+    assert bits < -(share * np.log2(share)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
+
+
 def test_rangecoder(docs, none):
     library = Tokenizer.from_file(WORD)
     got = sorted(rangecoder.round_trip(docs, WORD).collect(), key=lambda r: r.start)
@@ -531,6 +542,18 @@ def test_crf_marginals_equal_enumeration():
         at += n
 
 
+def test_pieces_of_word_files_have_the_library_ids():
+    import random
+
+    own, library, rng = tokens.encoder(WORD), Tokenizer.from_file(WORD), random.Random(2)
+    assert own.ended is not None
+    for alphabet in ("aeiou tnrs'’.,!\n\t  ñéüßÅœ\x80\xa0\x85ȁ0123½²ªºŉǅİıſ日_-\x01\x1cĲABCZ'sS", "".join(map(chr, range(1, 0x250)))):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(4000)]
+        texts += ["it's we'll they've I'd can't 's'S 'Ll", "", "a" * 3000, "<|startoftext|> hi <|endoftext|>"]
+        ids, edges = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_whole_texts_have_the_library_ids():
     import random
 
