@@ -10,75 +10,125 @@ from fathomline.functions.ids import stable_id, tuple_sha256
 from fathomline.operators import classify, reconcile
 from fathomline.plans.registry import query, table
 
-#: Paths that the classification query deals out to the documents.
-SAMPLE_PATHS = [
-    ".github/workflows/ci.yml", "Dockerfile", "src/test/java/acme/AppTest.java", "src/main/resources/db/migration/V1__init.sql", "frontend/src/pages/Home.tsx", "backend/routes/users.py", "api/openapi.yml", "domain/order.py", "agent/tools/search.py", "db/schema.sql",
-    "tests/fixtures/user.json", "config/settings.yml", "scripts/release.py", "cli/main.py", "mcp/server.py", "docs/overview.md", "assets/logo.svg", ".pre-commit-config.yaml", "lombok.config", "mvnw", "mvnw.cmd", "deer.code-workspace", "resources/checksums.sha256", "vendor/lib/source.c", "dist/assets/app.js", ".env", ".env.example", "mystery.odd",
-]
+#: Paths that the classification queries deal out to the documents, each with what must come out, written by hand:
+#: path, rule, surface, classification, other surfaces, media type, content kind.
+CASES = [
+    ("vendor/zlib/inflate.c", "path:vendor", "vendor", "VENDOR", "", "text/x-c", "text"),
+    ("Vendor/lib.c", "extension:known", "other", "CLASSIFIED", "", "text/x-c", "text"),
+    ("vendor/.env", "safety:tracked-env", "environment", "IGNORED_WITH_REASON", "", "text/plain", "text"),
+    ("web/dist/static/bundle.css", "path:generated", "generated", "GENERATED", "asset", "text/css", "text"),
+    (".github/workflows/release.yaml", "name:ci", "ci", "CLASSIFIED", "tooling", "application/x-yaml", "text"),
+    ("pkg/.github/workflows/x.yaml", "path:tooling", "tooling", "CLASSIFIED", "", "application/x-yaml", "text"),
+    (".circleci/run.sh", "name:ci", "ci", "CLASSIFIED", "", "text/x-shellscript", "text"),
+    ("Jenkinsfile", "name:ci", "ci", "CLASSIFIED", "", "text/x-groovy", "text"),
+    ("deploy/Dockerfile.worker", "name:infrastructure", "infrastructure", "CLASSIFIED", "", "text/plain", "text"),
+    ("images/base.dockerfile", "name:infrastructure", "infrastructure", "CLASSIFIED", "asset", "text/plain", "text"),
+    ("charts/web/values.yaml", "name:infrastructure", "infrastructure", "CLASSIFIED", "", "application/x-yaml", "text"),
+    ("k8s/db/seed/job.yaml", "name:infrastructure", "infrastructure", "CLASSIFIED", "database", "application/x-yaml", "text"),
+    ("requirements-dev.txt", "name:lockfile", "lockfile", "CLASSIFIED", "", "text/plain", "text"),
+    ("requirements.in", "fallback:unknown", "other", "UNKNOWN", "", "text/plain", "text"),
+    ("conda/environment.lock", "name:lockfile", "lockfile", "CLASSIFIED", "", "text/plain", "text"),
+    ("tools/mvnw", "name:build-wrapper", "build", "CLASSIFIED", "tooling", "text/plain", "text"),
+    ("native/CMakeLists.txt", "name:build", "build", "CLASSIFIED", "", "text/x-cmake", "text"),
+    ("lib/App.csproj", "name:build", "build", "CLASSIFIED", "", "text/plain", "text"),
+    ("src/main/resources/application-dev.yml", "name:configuration", "configuration", "CLASSIFIED", "", "application/x-yaml", "text"),
+    ("application-notes.md", "extension:known", "documentation", "CLASSIFIED", "", "text/markdown", "text"),
+    ("config/logging.yaml", "name:configuration", "configuration", "CLASSIFIED", "", "application/x-yaml", "text"),
+    ("settings/base.ini", "path:configuration", "configuration", "CLASSIFIED", "", "text/x-ini", "text"),
+    (".env.sample", "name:environment", "environment", "CLASSIFIED", "", "text/plain", "text"),
+    (".env.production", "safety:tracked-env", "environment", "IGNORED_WITH_REASON", "", "text/plain", "text"),
+    (".envrc", "safety:tracked-env", "environment", "IGNORED_WITH_REASON", "", "text/plain", "text"),
+    ("web/vite.config.mts", "name:tooling", "tooling", "CLASSIFIED", "", "text/typescript", "text"),
+    ("acme.code-workspace", "name:tooling", "tooling", "CLASSIFIED", "", "text/plain", "text"),
+    (".husky/pre-commit", "path:tooling", "tooling", "CLASSIFIED", "", "text/plain", "text"),
+    ("release/app.tar.sha256", "extension:checksum", "asset", "CLASSIFIED", "", "text/plain", "text"),
+    ("spec/fixtures/users.yml", "path:fixture", "fixture", "CLASSIFIED", "test", "application/x-yaml", "text"),
+    ("db/migrations/0001_init.sql", "path:migration", "migration", "CLASSIFIED", "database", "text/x-sql", "text"),
+    ("sql/V12__add_index.sql", "path:migration", "migration", "CLASSIFIED", "database", "text/x-sql", "text"),
+    ("sql/v1_2__x.sql", "path:database", "database", "CLASSIFIED", "", "text/x-sql", "text"),
+    ("src/test/java/org/acme/OrderIT.java", "path:test", "test", "CLASSIFIED", "", "text/x-java", "text"),
+    ("api/handler_test.go", "path:test", "test", "CLASSIFIED", "api", "text/x-go", "text"),
+    ("web/src/cart.spec.ts", "path:test", "test", "CLASSIFIED", "", "text/typescript", "text"),
+    ("it_smoke.py", "path:test", "test", "CLASSIFIED", "", "text/x-python", "text"),
+    ("src/latest.py", "path:test", "test", "CLASSIFIED", "", "text/x-python", "text"),
+    ("src/Tests.cs", "path:test", "test", "CLASSIFIED", "", "text/x-csharp", "text"),
+    ("docs/api/index.html", "path:documentation", "documentation", "CLASSIFIED", "api", "text/html", "text"),
+    ("LICENSE", "path:documentation", "documentation", "CLASSIFIED", "", "text/plain", "text"),
+    ("README", "path:documentation", "documentation", "CLASSIFIED", "", "text/plain", "text"),
+    ("security.py", "extension:known", "other", "CLASSIFIED", "", "text/x-python", "text"),
+    ("NOTICE.dat", "fallback:unknown", "other", "UNKNOWN", "", "text/plain", "text"),
+    ("scripts/deploy.sh", "path:script", "script", "CLASSIFIED", "", "text/x-shellscript", "text"),
+    ("cmd/server/main.go", "path:cli", "cli", "CLASSIFIED", "backend", "text/x-go", "text"),
+    ("mcp-server/index.ts", "path:mcp", "mcp", "CLASSIFIED", "", "text/typescript", "text"),
+    ("schemas/order.json", "path:database", "database", "CLASSIFIED", "", "application/json", "text"),
+    ("public/favicon.ico", "path:asset", "asset", "CLASSIFIED", "", "image/vnd.microsoft.icon", "binary"),
+    ("ui/views/logo.svg", "path:frontend", "frontend", "CLASSIFIED", "", "image/svg+xml", "text"),
+    ("agents/pages/service/model.py", "path:frontend", "frontend", "CLASSIFIED", "agent,backend", "text/x-python", "text"),
+    ("services/billing/app.rb", "path:backend", "backend", "CLASSIFIED", "", "text/x-ruby", "text"),
+    ("shop/src/main/java/org/acme/Order.java", "path:backend", "backend", "CLASSIFIED", "", "text/x-java", "text"),
+    ("shop/main/src/kotlin/Order.kt", "extension:known", "other", "CLASSIFIED", "", "text/x-kotlin", "text"),
+    ("rest/routes.py", "path:api", "api", "CLASSIFIED", "", "text/x-python", "text"),
+    ("core/entity/user.rs", "path:domain", "domain", "CLASSIFIED", "", "text/x-rust", "text"),
+    ("rag/index.wasm", "path:agent", "agent", "CLASSIFIED", "", "application/wasm", "binary"),
+    ("a.ts", "extension:known", "other", "CLASSIFIED", "", "text/typescript", "text"),
+    ("notes.adoc", "extension:known", "documentation", "CLASSIFIED", "", "text/x-asciidoc", "text"),
+    ("data.odd", "fallback:unknown", "other", "UNKNOWN", "", "text/plain", "text"),
+]
 
 
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def _rule_sql(rule: classify.Rule) -> str:
-    tests = []
-    if rule.dirs:
-        tests.append(f"list_has_any(dirs, [{_quoted(rule.dirs)}])")
-    if rule.names:
-        tests.append(f"name IN ({_quoted(rule.names)})")
-    tests += [f"suffix(name, '{s}')" for s in rule.suffixes]
-    if rule.extensions:
-        tests.append(f"ext IN ({_quoted(rule.extensions)})")
-    if rule.pattern:
-        tests.append(f"regexp_matches(path, '{rule.pattern}')")
-    return f"CASE WHEN {' OR '.join(tests)} THEN {{'rule_id': '{rule.rule_id}', 'surface': '{rule.surface}', 'classification': '{rule.classification}'}} END"
-
-
-_PATHS_SQL = f"""
-  SELECT doc_id, path, string_split(path, '/')[1:-2] AS dirs, lower(string_split(path, '/')[-1]) AS name,
-         regexp_extract(lower(string_split(path, '/')[-1]), '^.+\\.([a-z0-9]+)$', 1) AS ext
-  FROM (SELECT doc_id, [{_quoted(SAMPLE_PATHS)}][1 + doc_id % {len(SAMPLE_PATHS)}] AS path FROM documents)
-"""
+_CASES_SQL = f"""
+  SELECT doc_id, c.* EXCLUDE (spot) FROM documents JOIN (VALUES {", ".join(f"({i}, {_quoted(c)})" for i, c in enumerate(CASES))}) AS c(spot, path, rule_id, surface, classification, secondary, media, kind) ON spot = doc_id % {len(CASES)}"""
+_PATHS_SQL = f"SELECT doc_id, path, string_split(path, '/')[1:-2] AS dirs FROM ({_CASES_SQL})"
 
 
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.array(*map(F.lit, SAMPLE_PATHS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(listed, (F.col("doc_id") % len(SAMPLE_PATHS) + 1).cast("int")).alias("path"))
+    listed = F.array(*(F.lit(c[0]) for c in CASES))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(listed, (F.col("doc_id") % len(CASES) + 1).cast("int")).alias("path"))
 
 
-@query(f"""
-WITH files AS ({_PATHS_SQL}),
-hit AS (SELECT *, list_filter([{", ".join(map(_rule_sql, classify.RULES))}], lambda x: x IS NOT NULL) AS hits FROM files),
-first AS (
-  SELECT *, CASE WHEN regexp_matches(name, '^\\.env($|\\.)') AND name NOT IN ({_quoted(f".env.{x}" for x in classify.ENVIRONMENT_EXAMPLES)})
-    THEN {{'rule_id': 'safety:tracked-env', 'surface': 'environment', 'classification': 'IGNORED_WITH_REASON'}}
-    ELSE coalesce(hits[1], {{'rule_id': 'fallback:unknown', 'surface': 'other', 'classification': 'UNKNOWN'}}) END AS f FROM hit)
-SELECT doc_id, path, f.rule_id AS rule_id, f.surface AS surface, f.classification AS classification,
-       array_to_string(list_sort(list_distinct(list_transform(list_filter(hits, lambda x: x.rule_id <> 'extension:known' AND x.surface <> f.surface), lambda x: x.surface))), ',') AS secondary
-FROM first""")
+@query(f"SELECT doc_id, path, rule_id, surface, classification, secondary, CASE WHEN classification IN ('CLASSIFIED', 'UNKNOWN') THEN 'LOCATED' ELSE 'NOT_APPLICABLE' END AS teaching FROM ({_CASES_SQL})")
 def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules over file paths: first match, classification and secondary surfaces."""
-    return classify.classified(sample_files(spark, sf_dir)).withColumn("secondary", F.array_join("secondary", ","))
+    """Ordered rules over file paths: first match, classification, other surfaces and teaching status."""
+    done = classify.classified(sample_files(spark, sf_dir)).withColumn("secondary", F.array_join("secondary", ","))
+    return done.withColumn("teaching", classify.teaching_status(F.col("classification")))
 
 
 @query(f"""
-SELECT surface, count(*) AS files, count(*) FILTER (classification = 'UNKNOWN') AS unknown FROM (
-  SELECT CASE WHEN doc_id % 5 = 0 THEN 'tooling' ELSE 'other' END AS surface, CASE WHEN doc_id % 5 = 0 THEN 'CLASSIFIED' ELSE 'UNKNOWN' END AS classification
-  FROM ({_PATHS_SQL}) WHERE path = 'mystery.odd') GROUP BY surface""")
+SELECT rule_id, surface, secondary, count(*) AS files, count(*) FILTER (classification = 'UNKNOWN') AS unknown FROM (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN 'override:exact-path' ELSE rule_id END AS rule_id, CASE WHEN doc_id % 5 = 0 THEN 'tooling' ELSE surface END AS surface,
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE secondary END AS secondary, CASE WHEN doc_id % 5 = 0 THEN 'CLASSIFIED' ELSE classification END AS classification FROM ({_CASES_SQL})) GROUP BY ALL""")
 def classify_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact-path override wins over all rules."""
-    files = sample_files(spark, sf_dir).filter("path = 'mystery.odd'")
+    """An exact-path override wins over all rules and leaves no other surface."""
+    files = sample_files(spark, sf_dir)
     given = files.filter("doc_id % 5 = 0").select("doc_id", F.struct(F.lit("tooling").alias("surface"), F.lit("CLASSIFIED").alias("classification")).alias("given"))
     done = classify.classified(files.join(given, "doc_id", "left"), override="given")
-    return done.groupBy("surface").agg(F.count("*").alias("files"), F.count_if(F.col("classification") == "UNKNOWN").alias("unknown"))
-
-
-@query(f"""
-SELECT media, kind, count(*) AS files FROM (
-  SELECT media, CASE WHEN media LIKE 'text/%' OR media = 'image/svg+xml' OR media IN ({_quoted(classify.TEXT_APPLICATION_TYPES)}) THEN 'text' ELSE 'binary' END AS kind FROM (
-    SELECT CASE WHEN name IN ('dockerfile', 'containerfile') THEN 'text/x-dockerfile' ELSE coalesce(map {{{", ".join(f"'{k}': '{v}'" for k, v in classify.MEDIA_TYPES.items())}}}[ext], 'text/plain') END AS media FROM ({_PATHS_SQL})))
-GROUP BY media, kind""")
+    return done.groupBy("rule_id", "surface", F.array_join("secondary", ",").alias("secondary")).agg(F.count("*").alias("files"), F.count_if(F.col("classification") == "UNKNOWN").alias("unknown"))
+
+
+@query(r"""
+WITH o AS (SELECT CASE WHEN doc_id % 41 = 0 THEN '../d' || doc_id WHEN doc_id % 37 = 0 THEN './d/1' ELSE 'd/' || doc_id END AS raw,
+    CASE WHEN quality = 0 THEN 'kernel' ELSE 'test' END AS surface, CASE WHEN toxic = 1 THEN 'UNKNOWN' ELSE 'VENDOR' END AS classification, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'seen' END AS reason FROM labels),
+p AS (SELECT *, CASE WHEN raw LIKE '../%' THEN '' ELSE regexp_replace(raw, '^\./', '') END AS path FROM o)
+SELECT path, CASE WHEN path = '' THEN 'PATH_UNSAFE' WHEN surface = 'kernel' THEN 'SURFACE_UNKNOWN' WHEN classification = 'UNKNOWN' THEN 'CLASSIFICATION_NOT_ALLOWED' ELSE 'REASON_EMPTY' END AS code FROM p
+  WHERE path = '' OR surface = 'kernel' OR classification = 'UNKNOWN' OR reason = ' '
+UNION ALL SELECT path, 'PATH_REPEATED' FROM p WHERE path <> '' GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT DISTINCT path, 'PATH_NOT_TRACKED' FROM p WHERE path <> '' AND path NOT IN (SELECT 'd/' || doc_id FROM documents WHERE doc_id % 13 <> 0)""")
+def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides that cannot be used: values, reasons, unsafe, repeated and untracked paths."""
+    key = F.col("doc_id")
+    raw = F.when(key % 41 == 0, F.concat(F.lit("../d"), key)).when(key % 37 == 0, F.lit("./d/1")).otherwise(F.concat(F.lit("d/"), key))
+    given = table(spark, sf_dir, "labels").select(
+        raw.alias("path"), F.when(F.col("quality") == 0, "kernel").otherwise("test").alias("surface"), F.when(F.col("toxic") == 1, "UNKNOWN").otherwise("VENDOR").alias("classification"), F.when(key % 11 == 0, " ").otherwise("seen").alias("reason")
+    )
+    tracked = table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0").select(F.concat(F.lit("d/"), "doc_id").alias("path"))
+    return classify.override_findings(given, tracked)
+
+
+@query(f"SELECT media, kind, count(*) AS files FROM ({_CASES_SQL}) GROUP BY media, kind")
 def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media type by name and extension, and the content kind that follows."""
     media = sample_files(spark, sf_dir).select(classify.media_type(F.col("path")).alias("media"))
@@ -86,7 +136,7 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, substr(full_path, length('repo/src') + 1) AS below, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module, len(string_split(path, '/')) AS parents
+SELECT doc_id, substr(full_path, length('repo/src') + 1) AS below, regexp_replace(replace(regexp_replace(path, '\\.py$', ''), '/', '.'), '(^|\\.)__init__$', '') AS module, len(string_split(path, '/')) AS parents
 FROM (SELECT doc_id, path, 'repo/' || source || '/' || path AS full_path FROM ({_PATHS_SQL}) JOIN documents USING (doc_id)) WHERE full_path LIKE 'repo/src1/%'""")
 def paths_under_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix filter on whole components, rebased paths, module names and the number of directories above."""

@@ -43,4 +43,4 @@ def test_entry_has_stable_schema(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).columns == ["doc_id", "path", "rule_id", "surface", "classification", "secondary"]
+    assert __spark_entry__.entry(spark).columns == ["doc_id", "path", "rule_id", "surface", "classification", "secondary", "teaching"]
