@@ -31,6 +31,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made of ``names``."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"_{n}{tail}" in taken for n in names):
+        tail += "_"
+    return [f"_{n}{tail}" for n in names]
+
+
 def ranges(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of a column of texts that hold about ``limit`` characters each (one text at least)."""
     start, size = 0, 0
@@ -63,6 +71,22 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Ca
     return source.mapInArrow(run, full)
 
 
+def text_column(make: Callable[[], Callable[[list[str]], list]], kind: str):
+    """A column function of a text for filters; ``make()`` runs once a task, texts come in lists of bounded size. Null counts as empty."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def run(batches):
+        work = make()
+        for texts in batches:
+            held = pa.array(texts, pa.string())
+            made = [y for lo, hi in ranges(held) for y in work([x or "" for x in held.slice(lo, hi - lo).to_pylist()])]
+            yield pd.Series(made, dtype={"double": float, "boolean": bool}[kind])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(run, kind)
+
+
 def bases(sums: DataFrame, keys: list[str], block: str, value: str, name: str) -> DataFrame:
     """(``keys``, ``block``, ``name``): the sum of ``value`` over the key's smaller blocks, in two levels so that no task has all blocks."""
     tall = sums.withColumn("_tall", F.expr(f"{block} div 1024"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from fathomline.llm.common import map_texts
+from fathomline.llm.common import map_texts, text_column
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -25,16 +25,29 @@ class Rules:
     lines: float = 0.25
 
 
-def repeated(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(ids: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes modulo 2**64 (one more than words), from which each window's hash rolls out.
+
+    The ids are spread over 64 bits first. Prefix ``i`` is the sum of ``spread[j] * M**j``; ``M`` is odd.
+    """
+    with np.errstate(over="ignore"):
+        spread = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        spread ^= spread >> np.uint64(32)
+        powers = np.full(len(ids), MULTIPLIER)
+        powers[:1] = 1
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread * np.cumprod(powers))))
+
+
+def repeated(ids: np.ndarray, n: int, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marks of the words in an n-word window that occurs twice or more, with and without its first occurrence."""
     count = len(ids) - n + 1
     every, later = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1, np.int64)
     if count > 1:
-        rolled = np.zeros(count, np.uint64)
+        prefix = prefixes(ids) if prefix is None else prefix
         with np.errstate(over="ignore"):
-            for k in range(n):
-                rolled = rolled * MULTIPLIER + (ids[k : k + count].astype(np.uint64) + np.uint64(1))
-                rolled ^= rolled >> np.uint64(29)
+            back = np.full(count, pow(int(MULTIPLIER), -1, 1 << 64), np.uint64)
+            back[0] = 1
+            rolled = (prefix[n:] - prefix[:-n]) * np.cumprod(back)
         order = np.argsort(rolled, kind="stable")
         a, b = order[:-1], order[1:]
         same = rolled[a] == rolled[b]
@@ -73,11 +86,13 @@ def measure(text: str, rules: Rules = Rules()) -> tuple:
             dup_chars += len(b"".join(line.split()).decode("utf-8", "surrogatepass"))
         elif line and not line.isspace():
             seen.add(line)
-    n_repeat = int(repeated(ids, 8)[0].sum())
+    prefix = prefixes(ids)
+    marks = {n: repeated(ids, n, prefix) for n in {8, *(n for n, _ in rules.grams)}}
+    n_repeat = int(marks[8][0].sum())
     failed = n_words < 20 or 100 * n_repeat > 30 * n_words
     excess = 0.0
     for n, share in rules.grams:
-        covered = int(chars[repeated(ids, n)[1]].sum())
+        covered = int(chars[marks[n][1]].sum())
         if word_chars:
             excess = max(excess, covered / word_chars - share)
     line_share = dup_chars / word_chars if word_chars else 0.0
@@ -97,12 +112,5 @@ def repetition(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keeps(rules: Rules = Rules()):
-    """A column function text -> boolean for filters: whether the rules keep the text."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
-        return pd.Series([measure(t or "", rules)[6] for t in texts], dtype=bool)
-
-    return kept
+    """A column function text -> boolean for filters: whether the rules keep the text. Null counts as empty, which they reject."""
+    return text_column(lambda: lambda texts: [measure(t, rules)[6] for t in texts], "boolean")

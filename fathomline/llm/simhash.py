@@ -5,8 +5,8 @@ fingerprint is cut into ``distance + 2`` blocks, so that two within ``distance``
 each pair of blocks is one blocking key. Classes that share a key are compared by Hamming distance. A key that more
 than ``GROUP`` classes share is not paired: there every class also takes the keys of its one-bit neighbours in the
 free bits, and classes that meet on such a key are at most two bits apart, so each links to the smallest one there
-and no link between different groups is lost (exact for distances up to two; larger distances recurse on longer
-block keys instead). Components come from alternating star contraction, all in DataFrames.
+and no link between different groups is lost. Distances over two are refused, since this would not hold for them.
+Components come from alternating star contraction, all in DataFrames.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import map_texts, written
+from fathomline.llm.common import map_texts, private, written
 
 GROUP = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -47,9 +47,9 @@ def fingerprint(text: str, words_each: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """Per row: doc_id, bits (the fingerprint as a signed long)."""
-    return map_texts(docs, ["doc_id"], "bits bigint", lambda: lambda texts: [[fingerprint(t, words_each) for t in texts]])
+def fingerprints(docs: DataFrame, words_each: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: the columns ``keep`` and bits (the fingerprint as a signed long; zero for null texts and those without a word)."""
+    return map_texts(docs, list(keep), "bits bigint", lambda: lambda texts: [[fingerprint(t, words_each) for t in texts]])
 
 
 def _blocks(count: int) -> list[tuple[int, int]]:
@@ -107,6 +107,12 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def groups(classes: DataFrame, distance: int) -> DataFrame:
+    """The distinct fingerprints ``classes.bits`` with their other columns and ``root``, the same for all that links join."""
+    roots = components(links(classes.select("bits"), distance))
+    return classes.join(roots, classes.bits == roots.node, "left").withColumn("root", F.coalesce("root", "bits")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 3, distance: int = 2) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links, itself included).
 
@@ -114,9 +120,23 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, distance: int = 2) ->
     link, but never name a component unless no row of it has an id. Repeated rows are returned as often as they occur.
     """
     rows = written(fingerprints(docs, words_each))
-    classes = written(rows.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    roots = components(links(classes.select("bits"), distance))
-    homes = classes.join(roots, classes.bits == roots.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
+    homes = groups(written(rows.groupBy("bits").agg(F.min("doc_id").alias("first"))), distance)
     least = homes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = homes.join(least, "root").select("bits", "component_id")
     return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words_each: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of near-duplicates.
+
+    It is the row with the smallest doc_id (null last); among rows that share it, the one with the smallest hash of all
+    columns, whichever order they come in. Rows equal in every column are one row. Null and empty texts form one group.
+    """
+    keys = private(docs, "row_hash_a", "row_hash_b")
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *hashed) for k in keys})
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)
+    rows = written(fingerprints(keyed, words_each, ("doc_id", *keys)))
+    homes = groups(written(rows.groupBy("bits").agg(F.min(rank).alias("best"))), distance)
+    stay = homes.groupBy("root").agg(F.min("best").alias("best")).select(*(F.col(f"best.{k}").alias(k) for k in keys))
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import ranges, written
+from fathomline.llm.common import private, ranges, written
 
 MIN_WORDS = 6
 #: A line without the white space around it.
@@ -111,9 +111,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same text). Rows that share a doc_id count as one document: a unit that both have stays in both. A column
     of ``docs`` named ``removed_spans`` is replaced.
     """
-    gone = removals(unit_table(docs, min_words)).select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("spans").alias("_spans"))
+    doc, body, spans, own, done = private(docs, "doc", "body", "spans", "hash", "done")
+    gone = removals(unit_table(docs, min_words)).select(F.col("doc_id").alias(doc), F.col("body").alias(body), F.col("spans").alias(spans))
     kept = [docs[c] for c in docs.columns if c != "removed_spans"]
-    joined = docs.select(*kept, F.xxhash64("text").alias("_hash")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body")), "left")
-    done = joined.withColumn("_done", _cut()("text", F.col("_spans.begin"), F.col("_spans.end")))
-    columns = [F.col("_done.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed_spans"]
-    return done.select(*columns, F.expr("transform(_done.used, k -> _spans[k])").alias("removed_spans"))
+    joined = docs.select(*kept, F.xxhash64("text").alias(own)).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(body)), "left")
+    cut = joined.withColumn(done, _cut()("text", F.col(f"{spans}.begin"), F.col(f"{spans}.end")))
+    columns = [F.col(f"{done}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed_spans"]
+    return cut.select(*columns, F.expr(f"transform({done}.used, k -> {spans}[k])").alias("removed_spans"))

@@ -1,13 +1,15 @@
 """Toxicity by compression distance: two zstandard dictionaries, window lengths under each, calibrated thresholds.
 
-The ordinary dictionary is the frequent words of ordinary documents. The toxic one has, before the same text, the
-words of toxic documents with a fragment that stands in many more different contexts there than in ordinary documents
-(contexts, not occurrences, so that copies of one document count once). A window whose compressed length drops under
-the toxic dictionary holds such words. A document's largest drops go through a logistic curve fitted on the half of
+The ordinary dictionary is the ``ORDINARY_WORDS`` most frequent words of ordinary documents. The toxic one has, before the
+same text, all words of toxic documents with a fragment that stands in many more different contexts there than in ordinary
+documents (contexts, not occurrences, so that copies of one document count once). A window whose compressed length drops
+under the toxic dictionary holds such words. A document's largest drops go through a logistic curve fitted on the half of
 the sample that the dictionaries have not seen.
 
-``zstandard.train_dictionary`` chooses segments by their plain frequency and, measured on the labelled rows, leaves
-out most rare toxic words (29 to 72 of 101); the dictionaries are therefore raw-content ones, trained as said.
+Dictionaries made of the two kinds of text without that choice do not tell them apart: toxic documents differ by a few
+words, whose gain drowns in chance matches of all others. Of the held-out toxic documents of check_s they find 8 to 14 %
+(``zstandard.train_dictionary`` on each kind, 32 to 110 KB), 11 to 12 % (256 KB and 1 MB of raw text of each kind) or 12
+to 37 % (the toxic text before the ordinary one), with 0.5 to 2.4 % of the others flagged; with the choice 95.6 % and none.
 """
 
 from collections import Counter
@@ -18,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import map_texts
+from fathomline.llm.common import map_texts, text_column
 from fathomline.llm.labelled import remainder, sample
 
 FRAGMENTS = (5, 6, 7, 8)
@@ -28,7 +30,7 @@ FILLER = 40
 LEVEL = 9
 TOP = 3
 PER_CLASS, MAX_CHARS = 3000, 20_000
-ORDINARY_WORDS, TOXIC_BYTES = 1500, 16_384
+ORDINARY_WORDS = 1500
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,7 +70,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], least: int = 20, r
             chosen.append((n, word))
     common = sorted(good.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]
     plain = b" " + b" ".join(w for w, _ in reversed(common)) + b" "
-    return plain, (b" " + b" ".join(w for _, w in sorted(chosen)))[-TOXIC_BYTES:] + plain
+    return plain, b" " + b" ".join(w for _, w in sorted(chosen)) + plain
 
 
 class Scorer:
@@ -168,12 +170,5 @@ def score(docs: DataFrame, model: Model, divisor: int = 5, held: int = 0) -> Dat
 
 
 def score_column(model: Model):
-    """A column function text -> score."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_work(model)([t or "" for t in texts]))
-
-    return scored
+    """A column function text -> score; null counts as empty."""
+    return text_column(lambda: _work(model), "double")

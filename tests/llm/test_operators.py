@@ -255,6 +255,19 @@ def test_repetition(docs, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(marked))
         assert r.base_failed == (len(words) < 20 or 100 * len(marked) > 30 * len(words)) and (not r.kept or not r.base_failed)
     assert repetition.repetition(none).count() == 0
+    rng = np.random.default_rng(2)
+    for text in (" ".join(rng.choice(list("abcd"), 120)), " ".join(f"w{i % 31}" for i in range(100)), "one two\n" * 30, "x " * 40, *TEXTS):
+        words, rules = words_of(text), repetition.Rules()
+        excess = 0.0
+        for n, share in rules.grams:
+            first, marked = set(), set()
+            for i in range(len(words) - n + 1):
+                window = tuple(words[i : i + n])
+                marked |= set(range(i, i + n)) if window in first else set()
+                first.add(window)
+            excess = max(excess, sum(len(words[i]) for i in marked) / max(1, sum(map(len, words))) - share)
+        measured = repetition.measure(text or "")
+        assert abs(measured[8] - excess) < 1e-12 and measured[6] == (not measured[5] and excess <= 0 and measured[7] <= rules.lines)
     fresh = " ".join(f"w{i}" for i in range(100))
     assert repetition.measure(fresh)[6] and not repetition.measure(" ".join([fresh[:200]] * 3 + [fresh]))[6]
 
@@ -464,6 +477,24 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_representatives(spark, docs, none):
+    extra = spark.createDataFrame([(None, "Some other text that has no id.", None, None, None, "x", "y", "z", "w"), (None, None, None, None, None, "a", "b", "c", "d"), (1, "A text that shares its id with a null one.", "en", "s", 3, "", "", "", "")], SCHEMA)
+    both = docs.union(extra)
+    got = sorted(map(tuple, simhash.representatives(both).collect()), key=str)
+    everything = [tuple(r) for r in both.collect()]
+    bits = {r[1]: brute_fingerprint(r[1]) for r in everything}
+    linked = components(bits.values())
+    roots = collections.defaultdict(list)
+    for r in everything:
+        roots[min(linked[bits[r[1]]])].append(r)
+    assert len(got) == len(roots) and {min(linked[bits[r[1]]]) for r in got} == set(roots)
+    for r in got:
+        ids = [x[0] for x in roots[min(linked[bits[r[1]]])]]
+        assert r in everything and r[0] == min((i for i in ids if i is not None), default=None)
+    assert sorted(map(tuple, simhash.representatives(both.repartition(7)).collect()), key=str) == got
+    assert simhash.representatives(none).count() == 0 and simhash.representatives(none).columns == none.columns
+
+
 @pytest.mark.parametrize("group", [2, 64])
 @pytest.mark.parametrize("distance", [0, 1, 2])
 def test_simhash_links_large_groups_exactly(spark, monkeypatch, group, distance):
@@ -525,6 +556,44 @@ def test_classifiers_on_held_out_rows(spark):
         assert {r.predicted for r in module.score(docs, one).collect()} == {1}
 
 
+def test_classifiers_on_long_and_repeated_texts(spark):
+    docs, table, labels = labelled(spark)
+    some = "A wretchling spoke of vermin at length. " + LONG
+    extra = spark.createDataFrame([(9000, some, "y"), (9000, some, "y"), (9001, "x\n" * 50_000, None), (None, some, None)], "doc_id long, text string, score string")
+    for module in (quality, toxicity):
+        model = module.train(docs, table)
+        got = module.score(docs.limit(50).union(extra), model).collect()
+        assert len(got) == 54 and len({r.score for r in got if r.doc_id == 9000 or r.doc_id is None and r.score != got[0].score} - {r.score for r in got[:50]}) <= 2
+        alone = {r.score for r in module.score(extra.filter("doc_id = 9000"), model).collect()}
+        assert len(alone) == 1 and alone == {r.score for r in got if r.doc_id == 9000}  # the same in any batch
+        assert all(r.held_out is False for r in got if r.doc_id is None)
+
+
+def test_toxicity_drops_equal_plain_compression():
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(400)]
+    say = lambda n: [str(w) for w in rng.choice(words, n)]
+    ordinary = [" ".join(say(60)) for _ in range(300)]
+    bad = [" ".join([*say(30), "wretchling", *say(15), "dimwit", *say(10)]) for _ in range(300)]
+    plain, toxic = toxicity.train_dictionaries(bad, ordinary)
+    assert b" wretchling " in toxic and b" dimwit " in toxic and b"wretchling" not in plain and toxic.endswith(plain)
+    own = toxicity.Scorer(plain, toxic)
+    settings = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda content, data: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress(data))
+    for text in (*bad[:4], *ordinary[:4], "", "one"):
+        want, ws = [], text.lower().encode().split()
+        for n, step, filled in toxicity.WINDOWS:
+            windows = [(plain[-toxicity.FILLER :] if filled else b" ") + b" ".join(ws[i : i + n]) + b" " for i in range(0, max(1, len(ws) - n + step), step)] if ws else []
+            drops = sorted((size(plain, w) - size(toxic, w) for w in windows), reverse=True)
+            want += [*(drops + [0] * toxicity.TOP)[: toxicity.TOP], sum(d > 3 for d in drops) / (1 + len(drops))]
+        assert own.features(text)[:-1] == want
+    many = [" ".join([f"slur{i:05d}x", *say(20)]) for i in range(3000)] * 3  # all chosen words are kept, whole
+    chosen = toxicity.train_dictionaries([t + " " + " ".join(say(1)) + " " + t.split()[0] for t in many], ordinary, least=0)[1]
+    assert all(f" slur{i:05d}x ".encode() in chosen for i in range(3000))
+
+
 def test_crf_marginals_equal_enumeration():
     from itertools import product
 

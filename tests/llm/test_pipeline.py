@@ -43,3 +43,32 @@ def test_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, frame, SF).toPandas()
     assert set(pieces.doc_id) == set(before) and (pieces.groupby("sequence_id").length.sum().iloc[:-1] == 1024).all()
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing names, no rows at all."""
+    from tests.llm.test_operators import LONG
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, bits string, _doc string, score string, tags array<string>"
+    plain = "One plain sentence of words that nobody else has written here, number {}; it goes on for a while so that no rule finds it short."
+    row = lambda i, text, source="s": (i, text, "en", source, 1, "b", "d", None, ["t"])
+    rows = [row(1, plain.format("one")), row(1, plain.format("one")), row(1, LONG), row(2, None), row(3, ""), row(None, plain.format("seven hundred and two, quite another one"), None), row(None, None), (None,) * 9, row(4, "dup " * 100), row(5, LONG + " end")]
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema), spark.createDataFrame(rows, schema).drop("n_chars", "tags")):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, SF)
+            assert kept.columns == frame.columns and kept.dtypes == frame.dtypes
+            after = kept.collect()
+            if name == "toxicity":
+                assert len(after) == docs.count()  # nothing here is toxic
+            elif name == "quality_rules":
+                assert all(r.text for r in after)
+            elif name == "near_dedup":
+                assert len(after) == len({(r.doc_id, r.text) for r in after})
+                if after:
+                    assert [r.doc_id for r in after].count(None) == 1 and {r.text for r in after if r.doc_id == 1} == {plain.format("one"), LONG}
+            docs = spark.createDataFrame(after, frame.schema)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+        assert pieces.select("doc_id").distinct().count() == frame.select("doc_id").distinct().count()
+        assert pieces.filter("start = 0").count() == frame.count()
