@@ -441,6 +441,18 @@ def test_rangecoder(docs, none):
     assert rangecoder.round_trip(none, WORD).count() == 0
 
 
+def test_rangecoder_files_of_lost_attempts(docs, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    manifest = rangecoder.write_files(docs, WORD, folder)
+    good = sorted(map(str, rangecoder.read_files(docs.sparkSession, folder, manifest).collect()))
+    files = sorted((tmp_path / "ids").glob("*.ids"))
+    (tmp_path / "ids" / "left-behind.ids").write_bytes(files[0].read_bytes()[:40])
+    assert sorted(map(str, rangecoder.read_files(docs.sparkSession, folder, manifest).collect())) == good
+    files[0].write_bytes(files[0].read_bytes()[:-1])
+    with pytest.raises(Exception, match="checksum"):
+        rangecoder.read_files(docs.sparkSession, folder, manifest).collect()
+
+
 def brute_fingerprint(text):
     import xxhash
 
