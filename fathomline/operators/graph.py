@@ -1,84 +1,137 @@
 """Graph operators over edge tables (src, dst): containment, closure, levels, cycles and propagation.
 
-Iterations write their frontier through ``DataFrame.checkpoint`` into the folder that ``spark.checkpoint.dir`` names
-and carry only counts to the driver.
+Iterations write what is new in each round through ``DataFrame.checkpoint`` into the folder that ``spark.checkpoint.dir``
+names, join it to the edges, and carry only counts to the driver. Only ``closure`` makes all pairs; reachability
+questions walk a frontier instead, whose rounds follow the longest way walked and whose rows are nodes.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.ids import stable_id
+from fathomline.functions.storage import shared_root
+
+#: Rounds after which the frames of a walk are written as one.
+COMPACT = 32
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """One frame of all; a long list becomes one checkpoint, so that plans stay short."""
+    if len(frames) > COMPACT:
+        frames[:] = [_kept(reduce(DataFrame.unionByName, frames))]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def containment(parents: DataFrame, source: Column, target: Column, member: Column) -> DataFrame:
     """CONTAINS edges with content-addressed ids."""
     return parents.select(stable_id("EDGE", F.lit("CONTAINS"), source, target, member).alias("id"), F.lit("CONTAINS").alias("type"), source.alias("src"), target.alias("dst"), F.lit("VERIFIED").alias("certainty")).distinct()
 
 
-def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst, depth) with the smallest depth, by doubling: after n rounds paths of up to 2**n edges are known."""
     known = _kept(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1).cast("long")))
-    size = known.count()
-    for _ in range(limit):
+    size, before = known.count(), -1
+    while size != before:
         left = known.select("src", F.col("dst").alias("mid"), F.col("depth").alias("d1"))
         right = known.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("d2"))
         longer = left.join(right, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("depth"))
         known = _kept(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
-        now = known.count()
-        if now == size:
-            break
-        size = now
+        size, before = known.count(), size
     return known
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges that are left when nodes without incoming or without outgoing edges are taken away again and again."""
+    now = _kept(edges.select("src", "dst").distinct())
+    size, before = now.count(), -1
+    while size and size != before:
+        ahead = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        now = _kept(ahead.join(ahead.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        size, before = now.count(), size
+    return now
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).filter("src = dst").select(F.col("src").alias("node")).distinct()
+    """Nodes that reach themselves.
+
+    Nodes outside all cycles are peeled off first; pairs are made only of what is then left, cycles and ways between
+    them, which in a valid graph is nothing.
+    """
+    return closure(_core(edges)).filter("src = dst").select(F.col("src").alias("node")).distinct()
 
 
-def levels(nodes: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): length of the longest path that ends in the node, by peeling nodes without open prerequisites.
 
-    ``edges`` go from a prerequisite (src) to what needs it (dst). Nodes on or behind a cycle get a null level.
+    ``edges`` go from a prerequisite (src) to what needs it (dst). Nodes on or behind a cycle get a null level. A round
+    writes its new nodes and the edges that are still open, nothing that is finished.
     """
-    done = _kept(nodes.select("node").distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    left = _kept(edges.select("src", "dst").distinct())
-    for level in range(1, limit):
-        fresh = done.filter(F.col("level") == level - 1).select(F.col("node").alias("src"))
-        rest = _kept(left.join(fresh, "src", "left_anti"))
-        ready = left.join(fresh, "src").select(F.col("dst").alias("node")).distinct().join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        more = _kept(ready.withColumn("level", F.lit(level).cast("long")))
+    fresh = _kept(nodes.select("node").distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done, left, level = [fresh], _kept(edges.select("src", "dst").distinct()), 0
+    while not fresh.isEmpty():
+        level += 1
+        gone = fresh.select(F.col("node").alias("src"))
+        rest = _kept(left.join(gone, "src", "left_anti"))
+        met = left.join(gone, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        fresh = _kept(met.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level).cast("long")))
+        done.append(fresh)
         left = rest
-        if more.isEmpty():
-            break
-        done = _kept(done.unionByName(more))
-    return nodes.select("node").distinct().join(done, "node", "left")
+        _union(done)
+    return nodes.select("node").distinct().join(_union(done), "node", "left")
+
+
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): the nodes of ``start`` and all that edges lead to from them, by a frontier."""
+    fresh = _kept(start.select("node").distinct())
+    seen = [fresh]
+    while not fresh.isEmpty():
+        ahead = edges.join(fresh.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        fresh = _kept(ahead.join(_union(seen), "node", "left_anti"))
+        seen.append(fresh)
+    return _union(seen)
 
 
 def blocked(nodes: DataFrame, edges: DataFrame, root: Column) -> DataFrame:
     """(node, blocked): whether the node or anything it depends on is blocked at its root."""
-    roots = nodes.filter(root).select("node")
-    reached = closure(edges).join(roots, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))
-    hit = roots.union(reached).distinct().withColumn("_hit", F.lit(True))
+    hit = reached(edges, nodes.filter(root)).withColumn("_hit", F.lit(True))
     return nodes.select("node").distinct().join(hit, "node", "left").select("node", F.coalesce("_hit", F.lit(False)).alias("blocked"))
 
 
 def primers(units: DataFrame, needs: DataFrame, edges: DataFrame) -> DataFrame:
     """(position, concept): concepts to introduce before a unit: its needs with all prerequisites, first needed there.
 
-    ``units`` (unit, position), ``needs`` (unit, concept), ``edges`` from prerequisite to concept.
+    ``units`` (unit, position), ``needs`` (unit, concept), ``edges`` from prerequisite to concept. The smallest position
+    is handed down the edges; only concepts whose position became smaller go on.
     """
-    deep = closure(edges).select(F.col("dst").alias("concept"), F.col("src").alias("wanted"))
-    wanted = needs.join(deep, "concept").select("unit", F.col("wanted").alias("concept")).union(needs.select("unit", "concept"))
-    return wanted.join(units, "unit").groupBy("concept").agg(F.min("position").alias("position")).select("position", "concept")
+    least = lambda df: df.groupBy("concept").agg(F.min("position").alias("position"))
+    fresh = _kept(least(needs.join(units, "unit")))
+    known = [fresh]
+    while not fresh.isEmpty():
+        handed = least(edges.join(fresh.withColumnRenamed("concept", "dst"), "dst").select(F.col("src").alias("concept"), "position"))
+        so_far = least(_union(known)).withColumnRenamed("position", "_now")
+        fresh = _kept(handed.join(so_far, "concept", "left").filter(F.col("_now").isNull() | (F.col("position") < F.col("_now"))).select("concept", "position"))
+        known.append(fresh)
+    return least(_union(known)).select("position", "concept")
+
+
+def ordered(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
+    """(node, level, position): a total order in which every node stands behind its prerequisites: by level, then key.
+
+    Positions come from counts of the levels before and a window within a level. Nodes on or behind a cycle have none.
+    """
+    from pyspark.sql import Window
+
+    own = levels(nodes, edges).filter("level IS NOT NULL")
+    sizes = own.groupBy("level").agg(F.count("*").alias("n"))  # one row a level
+    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    placed = own.join(before, "level").withColumn("position", F.col("_before") + F.row_number().over(Window.partitionBy("level").orderBy(key)))
+    return placed.select("node", "level", "position")

@@ -73,20 +73,35 @@ def blocked_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE e AS ({_NEEDS}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst)
-SELECT min(unit) AS position, concept FROM (SELECT p_partkey AS unit, p_partkey AS concept FROM part WHERE p_partkey % 9 = 4 UNION SELECT p_partkey, c.src FROM part JOIN c ON c.dst = p_partkey WHERE p_partkey % 9 = 4) GROUP BY concept""")
+WITH RECURSIVE e AS ({_NEEDS}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
+w AS (SELECT p_partkey AS unit, p_size * 1000000 + p_partkey AS position FROM part)
+SELECT min(position) AS position, concept FROM (SELECT unit, unit AS concept FROM w UNION SELECT w.unit, c.src FROM w JOIN c ON c.dst = w.unit) JOIN w USING (unit) GROUP BY concept""")
 def primers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts to introduce just before the first unit that needs them."""
-    chosen = table(spark, sf_dir, "part").filter("p_partkey % 9 = 4")
-    units = chosen.select(F.col("p_partkey").alias("unit"), F.col("p_partkey").alias("position"))
-    return graph.primers(units, chosen.select(F.col("p_partkey").alias("unit"), F.col("p_partkey").alias("concept")), part_needs(spark, sf_dir))
+    """Concepts to introduce just before the first unit that needs them; units stand in order of size."""
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), F.expr("p_size * 1000000 + p_partkey").alias("position"))
+    return graph.primers(units, units.select("unit", F.col("unit").alias("concept")), part_needs(spark, sf_dir))
 
 
-@query("WITH e AS (SELECT c_nationkey AS src, c_custkey % 25 AS dst FROM customer WHERE c_nationkey < c_custkey % 25 OR c_custkey % 97 = 0) SELECT src AS node FROM e WHERE src = dst AND false")
+@query(f"""
+WITH RECURSIVE e AS ({_NEEDS}), l AS (SELECT p_partkey AS node, 0 AS level FROM part UNION ALL SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node),
+m AS (SELECT node, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY node)
+SELECT node, level, row_number() OVER (ORDER BY level, node) AS position FROM m""")
+def dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A total order of the nodes behind their prerequisites: by level, then key."""
+    return graph.ordered(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), part_needs(spark, sf_dir))
+
+
+#: The prerequisites, and for some parts an edge back to an ancestor.
+_LOOPED = f"{_NEEDS} UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 97 = 0"
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_LOOPED}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst)
+SELECT DISTINCT src AS node FROM c WHERE src = dst""")
 def acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on a cycle: none where every edge goes up."""
-    edges = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS src", "int(c_custkey % 25) AS dst").filter("src < dst").distinct()
-    return graph.cyclic(edges)
+    """Nodes on a cycle; a valid graph has none, this one has some."""
+    back = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").selectExpr("p_partkey AS src", "p_partkey div 4 AS dst")
+    return graph.cyclic(part_needs(spark, sf_dir).union(back))
 
 
 _CITED = "SELECT l_orderkey AS claim, l_suppkey AS ref FROM lineitem"

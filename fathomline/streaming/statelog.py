@@ -6,7 +6,6 @@ run goes on where the last one ended.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fathomline.functions.storage import shared_root
+
 STEPS = "event_id bigint, user_id bigint, before string, event_type string"
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='fathomline-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
