@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,17 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.storage import shared_root
+
 CHUNK_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; only where that is unset (tests) a temp folder is set."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="fathomline-")
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/fathomline-{uuid.uuid4().hex}"
+    """A fresh folder name below the folder that driver and executors share."""
+    return f"{shared_root(spark)}/fathomline-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
