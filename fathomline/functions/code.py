@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"[\x{4e00}-\x{9fff}]"
-#: A line-number note at the end of a line: ``// :L12 text`` or ``:L12``.
-NOTE = r"\s*(?://\s*)?:L(\d+)(.*)$"
+#: A line-number note at the end of a line, behind the mark of a comment: ``// :L12 text``, ``# :L12-14``; a fixed value.
+NOTE = r"\s*(?://|#|--)\s*:L?(\d+(?:-\d+)?)[ \t]*(.*)$"
 
 
 def without_note(line: Column) -> Column:
@@ -19,6 +19,54 @@ def normalized(line: Column) -> Column:
     return F.trim(F.regexp_replace(without_note(line), r"\s+", " "))
 
 
+# What makes a licence, punctuation alone, a comment, a bare declaration; words of exempt and historical headings.
+LICENSE = r"Licensed to the Apache|Apache License|WITHOUT WARRANTIES|limitations under the License"
+PUNCTUATION_ONLY = r"^[{}()\[\];,<>\s]*$"
+COMMENT = r"^\s*(//|/\*|\*|#|--)"
+BARE_DECLARATION = r"^\s*(?:public|private|protected|static|final|\s)*[A-Za-z_][\w<>\[\],\.\s]*\s+\w+\s*;\s*$"
+EXEMPT = r"(?i)手写|No-Framework|不用框架|等价实现|反例|反面对照|对照实现|穿透卡|穿透|示例|演示|伪代码|八股|面试|卡[一二三四五六七八九十0-9]|L0-L4|L1-L4|例 \d|Tiny|样例节选"
+HISTORICAL = r"(?i)【历史版本|历史版本示例|历史快照|已被阶段\s*\d+"
+LINE_NUMBER = r"(//|#|--)\s*:L?\d+"
+STAR = "★"
+# End of fixed values.
+
+
+def note_text(line: Column) -> Column:
+    """What follows the line number in a note; empty without one."""
+    return F.regexp_extract(line, NOTE, 2)
+
+
+def is_key_line(line: Column, in_license: Column | None = None, in_text: Column | None = None) -> Column:
+    """Lines that carry logic: not blank, no licence, no package, import or export, not punctuation or a declaration alone, no text block."""
+    bare = F.trim(F.regexp_replace(without_note(line), r"\s+", " "))
+    held = F.coalesce(in_license, F.lit(False)) if in_license is not None else F.lit(False)
+    held = held | F.coalesce(in_text, F.lit(False)) if in_text is not None else held
+    return ~held & (bare != "") & ~bare.rlike(LICENSE) & ~bare.rlike(r"^(package|import|export) ") & ~bare.rlike(PUNCTUATION_ONLY) & ~bare.rlike(BARE_DECLARATION)
+
+
+def has_cjk_comment(line: Column) -> Column:
+    """CJK text in the note, behind ``//``, or anywhere in a line that is a comment."""
+    bare = without_note(line)
+    tail = F.substring(bare, F.length(F.substring_index(bare, "//", 1)) + 1, F.length(bare))
+    return has_cjk(note_text(line)) | has_cjk(tail) | bare.rlike(COMMENT) & has_cjk(bare)
+
+
+def is_exempt(section: Column, chapter: Column, mark: Column, block: Column) -> Column:
+    """Blocks that need no source: by a word of their section or chapter, under 9.x, or under a usage mark without line numbers."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return empty(section).rlike(EXEMPT) | empty(chapter).rlike(EXEMPT) | empty(section).rlike(r"^#{3,5}\s*9\.") | (empty(mark) != "") & ~empty(block).rlike(LINE_NUMBER)
+
+
+def is_historical(section: Column, chain: Column) -> Column:
+    """The section's heading, or any above it, declares an old version."""
+    return F.coalesce(section, F.lit("")).rlike(HISTORICAL) | F.coalesce(F.exists(chain, lambda h: h.rlike(HISTORICAL)), F.lit(False))
+
+
+def is_star(section: Column, chain: Column) -> Column:
+    """The section's heading, or any above it, has a star."""
+    return F.contains(F.coalesce(section, F.lit("")), F.lit(STAR)) | F.coalesce(F.exists(chain, lambda h: F.contains(h, F.lit(STAR))), F.lit(False))
+
+
 def variants(line: Column) -> Column:
     """The line, and the line without a trailing ``//`` comment."""
     return F.array(line, F.trim(F.substring_index(line, "//", 1)))
@@ -49,4 +97,4 @@ def escaped_markdown(text: Column) -> Column:
 
 def sentences(paragraph: Column) -> Column:
     """A paragraph split after sentence ends."""
-    return F.filter(F.split(paragraph, r"(?<=[.!?])\s+"), lambda x: x != "")
+    return F.filter(F.split(paragraph, r"(?<=[.!?])[\t\n\f\r ]+"), lambda x: x != "")

@@ -109,3 +109,92 @@ def planned(lines: DataFrame, plan: DataFrame) -> DataFrame:
     hits = lines.join(plan.select("doc", "anchor").distinct(), (lines.doc == plan.doc) & (lines.line == plan.anchor), "inner").groupBy(plan.doc, plan.anchor).agg(F.count("*").alias("hits"))
     found = plan.select("doc", "anchor").distinct().join(hits, ["doc", "anchor"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return found.withColumn("status", F.when(F.col("hits") == 1, "OK").when(F.col("hits") == 0, "ANCHOR_MISSING").otherwise("ANCHOR_AMBIGUOUS"))
+
+
+EDITS = ("append_section", "ensure_line", "insert_before_anchor", "replace_anchor_line", "update_line")
+EDITED = "text string, changed boolean, conflict string"
+
+
+def _edit(text: str, edit: dict) -> tuple[str, str | None]:
+    """The text after one edit, and the code of a conflict (the text is then as it was)."""
+    op, block = edit["op"], edit["block"] or ""
+    if edit["marker"] and edit["marker"] in text and op != "update_line":
+        return text, None
+    if op == "append_section":
+        return text + "\n" * (not text.endswith("\n")) + block.rstrip("\n") + "\n", None
+    rows = text.split("\n")
+    if op == "ensure_line":
+        wanted = block.strip()
+        return (text if wanted in map(str.strip, rows) else text.rstrip("\n") + "\n" + block.strip("\n") + "\n"), None
+    places = [i for i, row in enumerate(rows) if edit["anchor"] in row]
+    if len(places) != 1:
+        return text, "ANCHOR_MISSING" if not places else "ANCHOR_AMBIGUOUS"
+    at, expected = places[0], edit["expected"]
+    if op == "insert_before_anchor":
+        rows[at:at] = block.rstrip("\n").split("\n")
+    elif op == "replace_anchor_line":
+        if expected and expected not in rows[at]:
+            return text, "ANCHOR_CHANGED"
+        rows[at] = block.rstrip("\n")
+    elif op == "update_line":
+        line = block.strip("\n")
+        if rows[at].strip() == line.strip():
+            return text, None
+        if rows[at].strip() != (expected or "").strip():
+            return text, "ANCHOR_CHANGED"
+        rows[at] = line
+        if sum(edit["anchor"] in row for row in rows) != 1:
+            return text, "ANCHOR_LOST"
+    else:
+        return text, "EDIT_UNKNOWN"
+    return "\n".join(rows), None
+
+
+def edited(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc, text, changed, conflict): each text after its edits, in order, each on the result of the one before.
+
+    ``docs`` (doc, text), ``edits`` (doc, number, op, anchor, block, expected, marker). A text with a conflict stays as it
+    was, with the first conflict's code; edits of a text that is not there may only append a section to it. An edit whose
+    marker the text has is done already.
+    """
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def run(texts, lists):
+        out = []
+        for text, todo in zip(texts, lists, strict=True):
+            now, conflict = text or "", None
+            for edit in todo if todo is not None else ():
+                now, conflict = (now, "TEXT_MISSING") if text is None and not now and edit["op"] != "append_section" else _edit(now, edit)
+                if conflict:
+                    break
+            out.append((text, False, conflict) if conflict else (now if todo is not None else text, todo is not None and now != (text or ""), None))
+        return pd.DataFrame(out, columns=["text", "changed", "conflict"])
+
+    run.__annotations__ = {"texts": pd.Series, "lists": pd.Series, "return": pd.DataFrame}
+    order = F.array_sort(F.collect_list(F.struct("number", "op", "anchor", "block", "expected", "marker")))
+    todo = edits.groupBy("doc").agg(order.alias("_edits"))
+    return docs.join(todo, "doc", "full_outer").withColumn("_done", pandas_udf(run, EDITED)("text", "_edits")).select("doc", "_done.*")
+
+
+def prose_findings(lines: DataFrame, fences: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """(key, line_no, name) of names in backticks, outside fenced blocks, that no source has.
+
+    ``names`` (name) are those of the sources; a name is an identifier of four letters or more with a capital.
+    """
+    from fathomline.operators.markdown import visible
+
+    found = visible(lines, fences, key).select(key, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"`([A-Za-z_]*[A-Z][A-Za-z0-9_]*)`"), F.lit(1)))).alias("name")).filter("length(name) >= 4")
+    return found.join(names.select("name").distinct(), "name", "left_anti").select(key, "line_no", "name")
+
+
+def call_sites(lines: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """(key, line_no, name, kind) of lines that have a name: DECLARATION, USE (made, assigned or called) or MENTION.
+
+    Lines are split into identifiers and meet the names by an equi-join.
+    """
+    words = lines.select(key, "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
+    met = words.join(names.select("name").distinct(), "name")
+    declared = F.expr(r"regexp_like(line, concat('\\b(class|interface|record|enum)\\s+', name, '\\b')) OR regexp_like(line, concat('^\\s*def\\s+', name, '\\b'))")
+    used = F.expr(r"regexp_like(line, concat('\\b', name, '\\s+\\w+\\s*=[^;]*$')) OR contains(line, concat('new ', name)) OR regexp_like(line, '\\.\\w+\\s*[(]') OR regexp_like(line, concat('^[\\w.]*', name, '\\s*[(]'))")
+    return met.select(key, "line_no", "name", F.when(declared, "DECLARATION").when(used, "USE").otherwise("MENTION").alias("kind"))

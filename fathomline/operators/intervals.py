@@ -24,10 +24,15 @@ def coverage(ranges: DataFrame, group: list[str], low: str, high: str) -> DataFr
 
 
 def uncovered(points: DataFrame, ranges: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
-    """Rows of ``points`` (group, low, high) that no merged range of ``ranges`` holds whole."""
-    held = merged(ranges, group, low, high).select(*group, F.col(low).alias("_lo"), F.col(high).alias("_hi"))
-    inside = points.join(held, group).filter((F.col("_lo") <= F.col(low)) & (F.col(high) <= F.col("_hi"))).select(*group, low, high).distinct()
-    return points.join(inside, [*group, low, high], "left_anti")
+    """Rows of ``points`` (group, low, high) that no merged range of ``ranges`` holds whole.
+
+    Both sides lie in one order; the last island that begins at or before a point is the only one that can hold it.
+    """
+    islands = merged(ranges, group, low, high).select(*group, low, high, F.lit(True).alias("_island"))
+    both = islands.unionByName(points.select(*group, low, high, F.lit(False).alias("_island")))
+    so_far = Window.partitionBy(*group).orderBy(F.col(low), F.desc("_island")).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_top", F.last(F.when(F.col("_island"), F.col(high)), ignorenulls=True).over(so_far))
+    return held.filter(~F.col("_island") & F.coalesce(F.col(high) > F.col("_top"), F.lit(True))).select(*group, low, high)
 
 
 def runs(rows: DataFrame, group: list[str], order: list[str], broken: Column) -> DataFrame:
@@ -37,10 +42,14 @@ def runs(rows: DataFrame, group: list[str], order: list[str], broken: Column) ->
     return marked.groupBy(*group, "run").agg(F.sum(1 - F.col("_broken")).alias("length"))
 
 
-def density(rows: DataFrame, group: list[str], order: list[str], noted: Column, limit: int = 8, share: int = 12) -> DataFrame:
-    """Annotation density: lines, notes, longest run without a note, runs of ``limit`` or more, notes needed, passed."""
-    keyed = rows.withColumn("_noted", noted)
+def density(rows: DataFrame, group: list[str], order: list[str], noted: Column, limit: int = 8, share: int = 12, star: Column | None = None, floor: int = 5) -> DataFrame:
+    """Annotation density: lines, notes, longest run without a note, runs of ``limit`` or more, notes needed, passed.
+
+    Groups whose ``star`` holds (for any row) need ``floor`` notes at least, but never more than they have lines.
+    """
+    keyed = rows.withColumn("_noted", noted).withColumn("_star", F.lit(False) if star is None else F.coalesce(star, F.lit(False)))
     own = runs(keyed, group, order, F.col("_noted")).groupBy(*group).agg(F.max("length").alias("max_run"), F.count_if(F.col("length") >= limit).alias("bad_runs"))
-    totals = keyed.groupBy(*group).agg(F.count("*").alias("key_lines"), F.count_if("_noted").alias("notes"))
-    need = F.ceil(F.col("key_lines") / share)
-    return totals.join(own, group).withColumn("need", need).withColumn("passed", (F.col("max_run") < limit) & (F.col("notes") >= F.col("need")))
+    totals = keyed.groupBy(*group).agg(F.count("*").alias("key_lines"), F.count_if("_noted").alias("notes"), F.bool_or("_star").alias("_star"))
+    plain = F.ceil(F.col("key_lines") / share)
+    need = F.when(F.col("_star"), F.least("key_lines", F.greatest(F.lit(floor).cast("long"), plain))).otherwise(plain)
+    return totals.join(own, group).withColumn("need", need).withColumn("passed", (F.col("max_run") < limit) & (F.col("notes") >= F.col("need"))).drop("_star")

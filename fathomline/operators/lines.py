@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,25 +33,79 @@ def sections(lines: DataFrame, key: str, heading: Column) -> DataFrame:
     return marked.groupBy(key, "section").agg(F.min(F.when(F.col("_head"), F.col("line"))).alias("heading"), F.min("line_no").alias("first_line"), F.count("*").alias("lines"))
 
 
+def fenced(lines: DataFrame, key: str) -> DataFrame:
+    """Lines with ``inside`` (within a fenced block, its borders included) and ``unclosed`` (the block never ends).
+
+    A line of three or more backticks or tildes, whatever label follows, opens a block; a bare one of the same kind
+    closes it. Bare lines of the other kind inside a block are text.
+    """
+    mark = F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,})[^`]*$", 1)
+    rows = lines.withColumn("_kind", F.when(mark != "", F.substring(mark, 1, 1))).withColumn("_bare", F.col("line").rlike(r"^ {0,3}(`{3,}|~{3,})\s*$"))
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    history = F.collect_list(F.when(F.col("_kind").isNotNull(), F.struct("_kind", "_bare"))).over(w)
+    open_kind = F.aggregate(history, F.lit(""), lambda now, x: F.when(now == "", x["_kind"]).when(x["_bare"] & (x["_kind"] == now), F.lit("")).otherwise(now))
+    marks = rows.filter("_kind IS NOT NULL").withColumn("_open", open_kind)  # only fences carry a history
+    before = Window.partitionBy(key).orderBy("line_no")
+    states = marks.withColumn("_was", F.coalesce(F.lag("_open").over(before), F.lit(""))).select(key, "line_no", "_open", "_was")
+    joined = lines.join(states, [key, "line_no"], "left")
+    last = F.last("_open", ignorenulls=True).over(w)
+    own = joined.withColumn("_now", F.coalesce(last, F.lit(""))).withColumn("inside", (F.col("_now") != "") | F.coalesce(F.col("_was") != "", F.lit(False)))
+    ends = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
+    return own.withColumn("unclosed", F.col("inside") & (F.col("_now") != "") & ~F.coalesce(F.bool_or(F.col("_now") == "").over(ends), F.lit(False))).drop("_open", "_was", "_now")
+
+
+def section_findings(found: DataFrame, key: str) -> DataFrame:
+    """(key, heading, code): headings that occur twice in a text."""
+    return found.filter("heading IS NOT NULL").groupBy(key, "heading").agg(F.count("*").alias("n")).filter("n > 1").select(key, "heading", F.lit("SECTION_DUPLICATE").alias("code"))
+
+
+def heading_chain(lines: DataFrame, key: str) -> DataFrame:
+    """Lines with ``chain``: the texts of the headings (levels 2 to 5) above, outermost first, each level higher than the next.
+
+    A heading of level 1 ends the search upwards. One pass keeps the last heading of each level and where it stands.
+    """
+    level = F.length(F.regexp_extract("line", r"^(#{1,5}) .", 1))
+    rows = lines.withColumn("_level", level)
+    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    spot = lambda n: F.max(F.when(F.col("_level") == n, F.col("line_no"))).over(before)
+    text = lambda n: F.last(F.when(F.col("_level") == n, F.trim(F.regexp_replace("line", "^#+ ", ""))), ignorenulls=True).over(before)
+    marked = rows.withColumns({f"_at{n}": F.coalesce(spot(n), F.lit(-1)) for n in range(1, 6)} | {f"_text{n}": text(n) for n in range(2, 6)})
+    higher = lambda n: [F.col(f"_at{n}") > F.col(f"_at{m}") for m in range(1, n)]
+    # a level counts if it stands behind all higher levels' headings and behind the title
+    kept = [F.when(reduce(lambda a, b: a & b, higher(n)), F.col(f"_text{n}")) for n in range(2, 6)]
+    return marked.withColumn("chain", F.filter(F.array(*kept), lambda x: x.isNotNull())).drop("_level", *(f"_at{n}" for n in range(1, 6)), *(f"_text{n}" for n in range(2, 6)))
+
+
 def nearest_heading(lines: DataFrame, key: str, heading: Column) -> DataFrame:
     """Lines with the last heading at or above them."""
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("heading", F.last(F.when(heading, F.col("line")), ignorenulls=True).over(so_far))
 
 
-def attribution(queries: DataFrame, index: DataFrame, query: str, owner: str, least: float) -> DataFrame:
-    """Owner of each query text by votes of its lines: the owner that has most of them, ties to the smaller owner.
+def attribution(queries: DataFrame, index: DataFrame, query: str, owner: str, least: float, ties: str = "smallest") -> DataFrame:
+    """Owner of each query text: the one that has most of its lines, if it has the share ``least`` of them.
 
-    Both sides are (key, line); a line counts once for a query and an owner. ``share`` is the part of the query's
-    different lines that the owner has; below ``least`` the owner is null.
+    Both sides are (key, line); blank lines do not count, and a line counts once for a query and an owner. Among equals the
+    smaller owner is chosen, with ``ties`` = "none" no one. An owner that may lack ``m`` lines has one of any ``m + 1``
+    others, so candidates come from the query's rarest lines only, and only they are counted in full: a line that every
+    text has makes no pairs unless it is among a query's rarest.
     """
-    asked = queries.select(query, "line").distinct()
-    votes = asked.join(index.select(owner, "line").distinct(), "line").groupBy(query, owner).agg(F.count("*").alias("hits"))
-    ranked = votes.withColumn("_at", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("hits"), owner))).filter("_at = 1").drop("_at")
+    solid = F.trim("line") != ""
+    asked = queries.filter(solid).select(query, "line").distinct()
+    own = index.filter(solid).join(asked.select("line").distinct(), "line", "left_semi").select(owner, "line").distinct()
+    often = own.groupBy("line").agg(F.count("*").alias("_often"))
     sizes = asked.groupBy(query).agg(F.count("*").alias("lines"))
-    joined = sizes.join(ranked, query, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    share = F.col("hits") / F.col("lines")
-    return joined.select(query, "lines", "hits", F.when(share >= least, F.col(owner)).alias(owner))
+    rare = Window.partitionBy(query).orderBy(F.coalesce("_often", F.lit(0)), "line")
+    needed = F.ceil(F.col("lines") * F.lit(least) - 1e-9)
+    ranked = asked.join(often, "line", "left").withColumn("_at", F.row_number().over(rare)).join(sizes, query)
+    rarest = ranked.filter(F.col("_at") <= F.col("lines") - needed + 1).select(query, "line")
+    candidates = rarest.join(own, "line").select(query, owner).distinct()
+    votes = candidates.join(asked, query).join(own, [owner, "line"]).groupBy(query, owner).agg(F.count("*").alias("hits"))
+    enough = votes.join(sizes, query).filter(F.col("hits") >= needed)
+    best = enough.groupBy(query).agg(F.max("hits").alias("hits"))
+    first = enough.join(best, [query, "hits"]).groupBy(query, "hits").agg(F.min(owner).alias(owner), F.count("*").alias("_equal"))
+    chosen = first if ties == "smallest" else first.filter("_equal = 1")
+    return sizes.join(chosen.drop("_equal"), query, "left").select(query, "lines", F.coalesce("hits", F.lit(0)).alias("hits"), owner)
 
 
 def coverage(lines: DataFrame, other: DataFrame, group: list[str]) -> DataFrame:

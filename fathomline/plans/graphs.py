@@ -105,18 +105,24 @@ def acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CITED = "SELECT l_orderkey AS claim, l_suppkey AS ref FROM lineitem"
-_EVIDENCE = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'E6' ELSE 'E' || (s_suppkey % 6) END AS level FROM supplier WHERE s_suppkey % 23 <> 0"
-_RESOLVED = f"r AS (SELECT c.claim, c.ref, e.level, e.level IS NOT NULL AS resolved FROM ({_CITED}) c LEFT JOIN ({_EVIDENCE}) e ON e.id = c.ref)"
-_OWN = "o AS (SELECT claim, count(*) AS refs, bool_and(resolved) AS all_resolved, bool_or(coalesce(level IN ('E0','E1','E2','E3','E4','E5'), false)) AS qualified, bool_or(coalesce(level = 'E6', false)) AS provisional FROM r GROUP BY claim)"
+#: Every 31st supplier stands for evidence of two levels.
+_EVIDENCE = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 31 = 5 THEN NULL WHEN s_suppkey % 9 = 0 THEN 'E6' ELSE 'E' || (s_suppkey % 6) END AS level, s_suppkey % 31 = 5 AS conflict FROM supplier WHERE s_suppkey % 23 <> 0"""
+_RESOLVED = f"r AS (SELECT c.claim, c.ref, e.level, e.level IS NOT NULL AS resolved, CASE WHEN e.conflict THEN 'EVIDENCE_CONFLICT' WHEN e.level IS NULL THEN 'EVIDENCE_NOT_FOUND' END AS reason FROM ({_CITED}) c LEFT JOIN ({_EVIDENCE}) e ON e.id = c.ref)"
+_OWN = "g AS (SELECT claim, count(*) AS refs, bool_and(resolved) AS all_resolved, bool_or(coalesce(level IN ('E0','E1','E2','E3','E4','E5'), false)) AS qualified, bool_or(coalesce(level = 'E6', false)) AS provisional FROM r GROUP BY claim), o AS (SELECT o_orderkey AS claim, coalesce(refs, 0) AS refs, coalesce(all_resolved, true) AS all_resolved, coalesce(qualified, false) AS qualified, coalesce(provisional, false) AS provisional FROM orders LEFT JOIN g ON claim = o_orderkey)"
 
 
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("ref"))
     level = F.when(F.col("s_suppkey") % 9 == 0, "E6").otherwise(F.concat(F.lit("E"), F.col("s_suppkey") % 6))
-    return claims.resolve(cited, table(spark, sf_dir, "supplier").filter("s_suppkey % 23 <> 0").select(F.col("s_suppkey").alias("id"), level.alias("level")))
+    given = table(spark, sf_dir, "supplier").filter("s_suppkey % 23 <> 0").select(F.col("s_suppkey").alias("id"), level.alias("level"))
+    return claims.resolve(cited, given.union(given.filter("id % 31 = 5").select("id", F.lit("E9"))))
 
 
-@query(f"WITH {_RESOLVED} SELECT coalesce(level, 'none') AS level, resolved, CASE WHEN NOT resolved THEN 'EVIDENCE_NOT_FOUND' END AS reason, count(*) AS citations FROM r GROUP BY ALL")
+def all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"))
+
+
+@query(f"WITH {_RESOLVED} SELECT coalesce(level, 'none') AS level, resolved, reason, count(*) AS citations FROM r GROUP BY ALL")
 def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations with their evidence's level, or the reason why they do not resolve."""
     return resolved_citations(spark, sf_dir).groupBy(F.coalesce("level", F.lit("none")).alias("level"), "resolved", "reason").agg(F.count("*").alias("citations"))
@@ -125,13 +131,13 @@ def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RESOLVED}, {_OWN} SELECT *, CASE WHEN NOT all_resolved THEN 'UNVERIFIED' WHEN provisional THEN 'INFERENCE' WHEN qualified THEN 'SUPPORTED' ELSE 'UNVERIFIED' END AS disposition FROM o")
 def claim_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict dispositions: provisional evidence makes an inference."""
-    return claims.dispositions(resolved_citations(spark, sf_dir))
+    return claims.dispositions(resolved_citations(spark, sf_dir), claims=all_claims(spark, sf_dir))
 
 
 @query(f"WITH {_RESOLVED}, {_OWN} SELECT *, CASE WHEN NOT all_resolved THEN 'UNVERIFIED' WHEN qualified THEN 'SUPPORTED' WHEN provisional THEN 'INFERENCE' ELSE 'UNVERIFIED' END AS disposition FROM o")
 def claim_dispositions_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispositions where qualifying evidence supports whatever else is cited."""
-    return claims.dispositions(resolved_citations(spark, sf_dir), strict=False)
+    return claims.dispositions(resolved_citations(spark, sf_dir), strict=False, claims=all_claims(spark, sf_dir))
 
 
 @query(f"""
@@ -139,18 +145,49 @@ WITH {_RESOLVED}, {_OWN}, d AS (SELECT *, CASE WHEN NOT all_resolved THEN 'UNVER
 SELECT count(*) AS claims, count(*) FILTER (disposition = 'SUPPORTED') AS supported, CASE WHEN bool_or(NOT all_resolved OR (claim % 5 = 0 AND disposition <> 'SUPPORTED')) THEN 'FAIL' WHEN bool_or(disposition <> 'SUPPORTED') THEN 'PARTIAL' ELSE 'PASS' END AS status FROM d""")
 def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of all claims; every fifth is critical."""
-    return claims.status(claims.dispositions(resolved_citations(spark, sf_dir)), F.col("claim") % 5 == 0)
+    return claims.status(claims.dispositions(resolved_citations(spark, sf_dir), claims=all_claims(spark, sf_dir)), F.col("claim") % 5 == 0)
 
 
 @query("""
-WITH o AS (SELECT l_orderkey AS claim, unnest(list_distinct(list(l_suppkey))) AS ref FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_orderkey), u AS (SELECT l_partkey AS unit, unnest(list_distinct(list(l_suppkey))) AS ref FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY l_partkey)
-SELECT claim, unit, count(*) AS shared FROM o JOIN u USING (ref) GROUP BY claim, unit""")
+WITH c AS (SELECT DISTINCT l_orderkey AS claim, l_suppkey * 100 + l_linenumber AS ref FROM lineitem),
+u AS (SELECT DISTINCT l_partkey AS unit, l_suppkey * 100 + l_linenumber AS ref FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
+j AS (SELECT claim, min(unit) AS low, max(unit) AS high FROM c JOIN u USING (ref) GROUP BY claim)
+SELECT claim, CASE WHEN low = high THEN low END AS unit, CASE WHEN low IS NULL THEN 'NONE' WHEN low = high THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS verdict FROM (SELECT DISTINCT claim FROM c) LEFT JOIN j USING (claim)""")
 def claim_unit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims and units whose references overlap, for a fortieth of the claims and a fiftieth of the units; all: claim_unit_references."""
-    lines = table(spark, sf_dir, "lineitem")
-    left = lines.filter("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("l_suppkey").alias("refs"))
-    right = lines.filter("l_partkey % 50 = 0").groupBy(F.col("l_partkey").alias("unit")).agg(F.collect_set("l_suppkey").alias("refs"))
-    return claims.overlaps(left, right, "claim", "unit", "refs")
+    """For every claim the unit that shares a reference with it, or that there is none or more than one."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("ref", F.col("l_suppkey") * 100 + F.col("l_linenumber"))
+    left = lines.groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("ref").alias("refs"))
+    right = lines.filter("l_returnflag = 'R' AND l_quantity > 40").groupBy(F.col("l_partkey").alias("unit")).agg(F.collect_set("ref").alias("refs"))
+    return claims.overlap_verdicts(left, right, "claim", "unit", "refs")
+
+
+@query("""
+WITH cited AS (SELECT DISTINCT l_orderkey AS claim, l_partkey AS item FROM lineitem WHERE l_partkey % 5 = 0), items AS (SELECT DISTINCT p_partkey AS item, CASE WHEN p_partkey % 35 = 0 THEN NULL ELSE p_partkey % 10 + k END AS ref FROM part, (VALUES (0), (1)) v(k) WHERE p_partkey % 5 = 0),
+refs AS (SELECT DISTINCT l_orderkey AS claim, l_suppkey % 12 AS ref FROM lineitem)
+SELECT claim, item, count(*) AS missing FROM cited JOIN items USING (item) WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.claim = cited.claim AND refs.ref = items.ref) GROUP BY claim, item""")
+def provisional_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that cite a provisional item without all the evidence behind it."""
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter("p_partkey % 5 = 0")
+    items = part.select(F.col("p_partkey").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("item", F.when(F.col("item") % 35 != 0, F.col("item") % 10 + F.col("k")).alias("ref"))
+    cited = lines.filter("l_partkey % 5 = 0").select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("item"))
+    return claims.uncited_provisional(cited, items, lines.select(F.col("l_orderkey").alias("claim"), (F.col("l_suppkey") % 12).alias("ref")))
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 4 = 0 THEN 'GENERAL_LEARNING' ELSE 'PROJECT_SPECIFIC' END AS scope, CASE WHEN c_custkey % 3 = 0 THEN 'E6_PROVISIONAL' ELSE 'UNVERIFIED_TEACHING' END AS status FROM customer),
+l AS (SELECT DISTINCT o_custkey AS node, o_orderkey % 40 AS ref FROM orders WHERE o_orderpriority < '3'), c AS (SELECT DISTINCT o_custkey AS node, o_orderkey % 40 AS ref FROM orders WHERE o_orderpriority < '4'),
+v AS (SELECT node, bool_and(sides = 3) AS same, bool_or(sides >= 2) AS cited FROM (SELECT node, ref, sum(side) AS sides FROM (SELECT *, 1 AS side FROM l UNION ALL SELECT *, 2 FROM c) WHERE ref % 7 = 0 GROUP BY node, ref) GROUP BY node),
+r AS (SELECT DISTINCT node FROM (SELECT node FROM l UNION ALL SELECT node FROM c)),
+x AS (SELECT n.node, CASE WHEN scope = 'GENERAL_LEARNING' THEN CASE WHEN r.node IS NOT NULL OR status <> 'UNVERIFIED_TEACHING' THEN 'REFERENCE_MISSING' END WHEN r.node IS NULL THEN 'REFERENCE_MISSING'
+  WHEN NOT coalesce(same, true) OR status <> CASE WHEN coalesce(cited, false) THEN 'E6_PROVISIONAL' ELSE 'UNVERIFIED_TEACHING' END THEN 'E6_LINK_INVALID' END AS code FROM n LEFT JOIN v USING (node) LEFT JOIN r ON r.node = n.node)
+SELECT node, code FROM x WHERE code IS NOT NULL""")
+def linkage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose provisional evidence, references and status do not go together."""
+    key = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(key.alias("node"), F.when(key % 4 == 0, "GENERAL_LEARNING").otherwise("PROJECT_SPECIFIC").alias("scope"), F.when(key % 3 == 0, "E6_PROVISIONAL").otherwise("UNVERIFIED_TEACHING").alias("status"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), (F.col("o_orderkey") % 40).alias("ref"), "o_orderpriority")
+    evidence = spark.range(40).select("id", F.when(F.col("id") % 7 == 0, "E6").otherwise("E1").alias("level"))
+    return claims.linkage_findings(nodes, orders.filter("o_orderpriority < '3'").select("node", "ref"), orders.filter("o_orderpriority < '4'").select("node", "ref"), evidence)
 
 
 @query("""

@@ -9,6 +9,7 @@ from fathomline.functions import code
 from fathomline.operators import lines as L
 from fathomline.operators import scorecard
 from fathomline.plans.registry import query, table
+from fathomline.sources import artifacts
 
 _LINES = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
 
@@ -46,31 +47,33 @@ def fence_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_LINES}, h AS (SELECT *, last_value(CASE WHEN length(line) < 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS heading FROM lines)
-SELECT doc_id, line_no, heading FROM h WHERE length(line) > 600""")
+SELECT doc_id, line_no, heading FROM h""")
 def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heading above each long line."""
-    return L.nearest_heading(document_lines(spark, sf_dir), "doc_id", F.length("line") < 40).filter(F.length("line") > 600).select("doc_id", "line_no", "heading")
+    """The heading at or above each line."""
+    return L.nearest_heading(document_lines(spark, sf_dir), "doc_id", F.length("line") < 40).select("doc_id", "line_no", "heading")
 
 
 @query(f"""
-WITH {_LINES}, q AS (SELECT DISTINCT doc_id AS query, line FROM lines WHERE doc_id % 10 = 0), i AS (SELECT DISTINCT doc_id AS owner, line FROM lines WHERE doc_id % 10 <> 0),
-v AS (SELECT query, owner, count(*) AS hits FROM q JOIN i USING (line) GROUP BY query, owner),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, owner) AS spot FROM v), s AS (SELECT query, count(*) AS lines FROM q GROUP BY query)
-SELECT s.query, s.lines, coalesce(hits, 0) AS hits, CASE WHEN hits / lines >= 0.85 THEN owner END AS owner FROM s LEFT JOIN r ON r.query = s.query AND spot = 1""")
+WITH {_LINES}, q AS (SELECT DISTINCT item_id AS query, line FROM (SELECT item_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS line FROM benchmark) WHERE trim(line) <> ''),
+i AS (SELECT DISTINCT doc_id AS owner, line FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS line FROM documents)),
+s AS (SELECT query, count(*) AS lines FROM q GROUP BY query), v AS (SELECT query, owner, count(*) AS hits FROM q JOIN i USING (line) GROUP BY query, owner),
+e AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, owner) AS spot FROM v JOIN s USING (query) WHERE hits >= ceil(lines * 0.85 - 1e-9))
+SELECT s.query, s.lines, coalesce(hits, 0) AS hits, owner FROM s LEFT JOIN e ON e.query = s.query AND spot = 1""")
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document that has most of another's lines, if it has 85 % of them."""
-    own = document_lines(spark, sf_dir)
-    return L.attribution(own.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query"), own.filter("doc_id % 10 <> 0").withColumnRenamed("doc_id", "owner"), "query", "owner", 0.85)
+    """For each benchmark item the document that has most of its sentences, if one has 85 % of them; all documents are searched."""
+    split = lambda name, key, alias: L.exploded(table(spark, sf_dir, name).select(F.col(key).alias(alias), F.replace("text", F.lit(". "), F.lit(".\n")).alias("text")), alias, "text")
+    return L.attribution(split("benchmark", "item_id", "query"), split("documents", "doc_id", "owner"), "query", "owner", 0.85)
 
 
 @query(f"""
-WITH {_LINES}, k AS (SELECT DISTINCT line FROM lines WHERE doc_id % 2 = 0)
-SELECT source, count(*) AS lines, count(k.line) AS covered, count(k.line) * 1000 >= count(*) * 995 AS passed FROM lines LEFT JOIN k USING (line) WHERE doc_id % 2 = 1 GROUP BY source""")
+WITH {_LINES}, k AS (SELECT line, count(DISTINCT doc_id) > 1 AS shared FROM lines GROUP BY line)
+SELECT source, count(*) AS lines, count(*) FILTER (shared) AS covered, count(*) FILTER (shared) * 1000 >= count(*) * 995 AS passed FROM lines JOIN k USING (line) GROUP BY source""")
 def reverse_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each source's lines that the other half of the documents has."""
+    """Share of each source's lines that another document has as well."""
     own = document_lines(spark, sf_dir)
-    named = own.filter("doc_id % 2 = 1").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return L.coverage(named, own.filter("doc_id % 2 = 0"), ["source"]).withColumn("passed", F.col("covered") * 1000 >= F.col("lines") * 995)
+    named = own.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    shared = own.groupBy("line").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    return L.coverage(named, shared, ["source"]).withColumn("passed", F.col("covered") * 1000 >= F.col("lines") * 995)
 
 
 @query(f"""
@@ -83,13 +86,13 @@ def unique_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_LINES}
-SELECT doc_id, line_no, trim(regexp_replace(replace(line, chr(9), ' '), '\\s+', ' ', 'g')) AS norm, regexp_matches(line, '[一-鿿]') AS cjk,
-  regexp_replace(regexp_replace(lower(trim(line)), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', '-', 'g') AS slug
-FROM lines WHERE length(line) < 60 AND NOT contains(line, ':L') AND NOT regexp_matches(line, '[<`*~]')""")
+SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '[\\t\\n\\x0b\\f\\r ]*(//|#|--)[\\t\\n\\x0b\\f\\r ]*:L?[0-9]+(-[0-9]+)?[ \\t]*.*$', ''), '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g')) AS norm, regexp_matches(line, '[一-鿿]') AS cjk,
+  regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '[`*~]', '', 'g'))), '[^\\p{{L}}\\p{{N}}_\\t\\n\\x0b\\f\\r -]', '', 'g'), '[\\t\\n\\x0b\\f\\r ]+', '-', 'g') AS slug
+FROM lines""")
 def line_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised code, script test and anchors of short lines."""
-    short = document_lines(spark, sf_dir).filter((F.length("line") < 60) & ~F.contains("line", F.lit(":L")) & ~F.col("line").rlike("[<`*~]"))
-    return short.select("doc_id", "line_no", code.normalized(F.col("line")).alias("norm"), code.has_cjk(F.col("line")).alias("cjk"), code.slug(F.col("line")).alias("slug"))
+    """Normalised code, script test and anchors of all lines."""
+    own = document_lines(spark, sf_dir)
+    return own.select("doc_id", "line_no", code.normalized(F.col("line")).alias("norm"), code.has_cjk(F.col("line")).alias("cjk"), code.slug(F.col("line")).alias("slug"))
 
 
 @query("""
@@ -186,10 +189,12 @@ def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(a, ["conv_id", "place"], "full_outer").select("conv_id", "place", F.col("q").isNotNull().alias("asked"), F.col("a").isNotNull().alias("answered"), (F.col("q") == F.col("a")).alias("echoed"))
 
 
-@query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS keys FROM events")
+@query("""SELECT event_id, user_id, event_id % 3 <> 1 AS is_json, CASE WHEN event_id % 3 <> 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 3 <> 1 THEN len(json_keys(props)) END AS keys FROM events""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON fields of the events, strictly parsed."""
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("keys"))
+    """JSON fields of the events, strictly parsed; a third repeats a key and is therefore no document."""
+    props = F.when(F.col("event_id") % 3 == 1, F.regexp_replace("props", r"\}\s*$", ', "k": 0}')).otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", artifacts.strict(props).alias("v"))
+    return rows.select("event_id", "user_id", F.col("v").isNotNull().alias("is_json"), F.try_variant_get("v", "$.k", "bigint").alias("k"), F.size(F.map_keys(F.try_variant_get("v", "$", "map<string, variant>"))).cast("long").alias("keys"))
 
 
 @query("""

@@ -70,7 +70,7 @@ def unit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT o_orderkey AS review, CASE o_orderkey % 4 WHEN 0 THEN 'REVIEWED_DRAFT' WHEN 1 THEN 'REVIEW_INCOMPLETE' ELSE 'REPAIR_REQUIRED' END AS review_state, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS reports FROM orders),
-f AS (SELECT l_orderkey AS review, CASE WHEN l_linenumber % 2 = 0 OR l_returnflag <> 'R' THEN 'E' ELSE 'U' END AS class FROM lineitem WHERE l_linenumber <= 2),
+f AS (SELECT l_orderkey AS review, CASE WHEN l_linenumber % 2 = 0 OR l_returnflag <> 'R' THEN 'E' ELSE 'U' END AS class FROM lineitem),
 g AS (SELECT review, bool_or(class = 'U') AS up, bool_and(class = 'E') AS edits FROM f GROUP BY review)
 SELECT review, CASE WHEN review_state = 'REVIEWED_DRAFT' THEN 'NO_REPAIR' WHEN review_state = 'REVIEW_INCOMPLETE' THEN 'REVIEW_INCOMPLETE' WHEN reports < 2 THEN 'REPORTS_MISSING' WHEN up THEN 'UPSTREAM_REQUIRED' WHEN edits THEN 'SAME_SNAPSHOT_REPAIR' ELSE 'STOP_UNSUPPORTED' END AS decision
 FROM s LEFT JOIN g USING (review)""")
@@ -80,7 +80,7 @@ def repair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(key % 4 == 0, "REVIEWED_DRAFT").when(key % 4 == 1, "REVIEW_INCOMPLETE").otherwise("REPAIR_REQUIRED")
     statuses = table(spark, sf_dir, "orders").select(key.alias("review"), state.alias("review_state"), F.when(key % 7 == 0, 1).otherwise(2).alias("reports"))
     role = F.when((F.col("l_linenumber") % 2 == 0) | (F.col("l_returnflag") != "R"), "BEGINNER").otherwise("EVIDENCE")
-    found = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("review"), workflow.triage(role, F.lit("CLAIM"), F.lit("TERM_UNEXPLAINED"), F.lit(""), ["TERM_UNEXPLAINED"]).alias("class"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("review"), workflow.triage(role, F.lit("CLAIM"), F.lit("TERM_UNEXPLAINED"), F.lit(""), ["TERM_UNEXPLAINED"]).alias("class"))
     return workflow.repair(found, statuses, "review")
 
 
@@ -122,11 +122,11 @@ def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x, i: x || ' // :L' || i), chr(10)) AS block FROM documents WHERE len(string_split(text, chr(10))) >= 3""")
+SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: x || ' // :L' || i), chr(10)) AS block, text AS bare FROM documents""")
 def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines of texts with their numbers behind them."""
-    docs = table(spark, sf_dir, "documents").filter(F.size(F.split("text", "\n")) >= 3)
-    return docs.select("doc_id", markdown.numbered_block(F.col("text"), F.lit(1), F.lit(3)).alias("block"))
+    """All lines of texts with their numbers behind them, and the way back."""
+    docs = table(spark, sf_dir, "documents").withColumn("block", markdown.numbered_block(F.col("text"), F.lit(1), F.size(F.split("text", "\n"))))
+    return docs.select("doc_id", "block", markdown.stripped_block(F.col("block")).alias("bare"))
 
 
 @query("""
@@ -140,17 +140,8 @@ def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.visible(lines.exploded(fenced, "doc_id", "text"), blocks, "doc_id").select("doc_id", "line_no", "line")
 
 
-@query("""
-SELECT doc_id, len(string_split(line, ' | ')) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[^|\\\\]+( \\| [^|\\\\]+)+$')""")
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of lines that look like table rows."""
-    rows = lines.exploded(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.col("line").rlike(r"^[^|\\]+( \| [^|\\]+)+$"))
-    return rows.select("doc_id", F.size(markdown.table_cells(F.col("line"))).cast("long").alias("cells"))
-
-
-@query("""
-SELECT source, count(*) AS sentences FROM (SELECT source, unnest(regexp_extract_all(text, '[^.!?]+[.!?]+(\\s+|$)')) AS s FROM documents WHERE regexp_matches(text, '^([A-Za-z, ]+[.!?]+\\s*)+$')) GROUP BY source""")
+@query(r"""
+SELECT source, CAST(sum(len(list_filter(string_split(regexp_replace(text, '([.!?])[\t\n\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))) AS BIGINT) AS sentences FROM documents GROUP BY source""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs split after sentence ends."""
-    plain = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^([A-Za-z, ]++[.!?]++\s*+)+$"))
-    return plain.select("source", F.explode(code.sentences(F.col("text"))).alias("s")).groupBy("source").agg(F.count("*").alias("sentences"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.size(code.sentences(F.col("text"))).cast("long")).alias("sentences"))

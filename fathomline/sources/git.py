@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SAMPLE_BYTES = 8192
+#: Tasks that a listing is dealt out to at most, ids that are asked for at once, and bytes of a batch of results.
+PARTS, ASKED, BATCH_BYTES = 256, 256, 8 << 20
 LISTING = "path string, mode string, object_id string, object_type string"
 
 
@@ -27,7 +29,7 @@ def git(root: str, *args: str) -> bytes:
     return done.stdout
 
 
-def entries(root: str, snapshot: str, revision: str) -> list[tuple[str, str, str, str]]:
+def entries(root: str, snapshot: str, revision: str, names: list[str] | None = None) -> list[tuple[str, str, str, str]]:
     out = []
     if snapshot == "worktree":
         for record in filter(None, git(root, "ls-files", "--stage", "-z").split(b"\0")):
@@ -39,7 +41,7 @@ def entries(root: str, snapshot: str, revision: str) -> list[tuple[str, str, str
     elif snapshot == "tree":
         if git(root, "cat-file", "-t", revision).strip() != b"commit":
             raise ValueError("the revision is no commit")
-        for record in filter(None, git(root, "ls-tree", "-r", "-z", revision).split(b"\0")):
+        for record in filter(None, git(root, "--literal-pathspecs", "ls-tree", "--full-tree", "-r", "-z", revision, *(names or [])).split(b"\0")):
             head, _, path = record.partition(b"\t")
             mode, kind, object_id = head.decode().split(" ")
             out.append((path.decode(), mode, object_id, kind))
@@ -50,15 +52,44 @@ def entries(root: str, snapshot: str, revision: str) -> list[tuple[str, str, str
     return sorted(out)
 
 
+def context(root: str) -> dict[str, str | bool]:
+    """Root of the repository, the path of ``root`` below it, the commit, and whether tracked files below ``root`` differ from it."""
+    top, prefix, revision = (git(root, "rev-parse", x).decode().rstrip("\n") for x in ("--show-toplevel", "--show-prefix", "HEAD"))
+    prefix = prefix.rstrip("/")
+    fields = iter([x for x in git(top, "status", "--porcelain=v1", "-z", "--untracked-files=no").decode().split("\0") if x])
+    touched = []
+    for field in fields:
+        touched.append(field[3:])
+        if field[0] in "RC":  # the path that it was moved or copied from follows
+            touched.append(next(fields, ""))
+    below = [p for p in touched if not prefix or p == prefix or p.startswith(prefix + "/")]
+    return {"root": top, "prefix": prefix, "revision": revision, "dirty": bool(below)}
+
+
+def tops(root: str, revision: str) -> list[str]:
+    """Names at the top of a commit's tree."""
+    return [x.partition(b"\t")[2].decode() for x in git(root, "ls-tree", "--full-tree", "-z", revision).split(b"\0") if x]
+
+
+class _Part(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.snapshot, self.revision = options["root"], options.get("snapshot", "tree"), options.get("revision", "HEAD")
 
     def partitions(self):
-        return [InputPartition(0)]
+        """Names at the top of the tree, dealt out; an index is one list."""
+        if self.snapshot != "tree":
+            return [_Part([])]
+        names = tops(self.root, self.revision) if git(self.root, "cat-file", "-t", self.revision).strip() == b"commit" else []
+        step = -(-len(names) // PARTS) or 1
+        return [_Part(names[lo : lo + step]) for lo in range(0, len(names), step)] or [_Part([])]
 
     def read(self, partition):
-        yield from entries(self.root, self.snapshot, self.revision)
+        yield from entries(self.root, self.snapshot, self.revision, partition.names)
 
 
 class GitSnapshot(DataSource):
@@ -81,28 +112,37 @@ def snapshot(spark: SparkSession, root: str, revision: str = "HEAD", kind: str =
 def blobs(ids: DataFrame, root: str, keep_content: bool = False) -> DataFrame:
     """(object_id, byte_count, sha256, sample, content) of the different ids; nulls for objects that are missing.
 
-    Each task asks one ``git cat-file --batch`` process for its ids; contents are kept only if asked for.
+    Each task asks one ``git cat-file --batch`` process for its ids, many at a time; contents are kept only if asked for,
+    and results leave in batches of bounded size.
     """
+    types = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["object_id", "byte_count", "sha256", "sample", "content"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
         try:
             for batch in batches:
-                rows = []
-                for object_id in batch.column("object_id").to_pylist():
-                    process.stdin.write(object_id.encode() + b"\n")
+                rows, held, asked = [], 0, batch.column("object_id").to_pylist()
+                for lo in range(0, len(asked), ASKED):
+                    some = asked[lo : lo + ASKED]
+                    process.stdin.write(b"".join(x.encode() + b"\n" for x in some))  # far less than a pipe holds
                     process.stdin.flush()
-                    head = process.stdout.readline().split()
-                    if head[-1] == b"missing":
-                        rows.append((object_id, None, None, None, None))
-                        continue
-                    data = process.stdout.read(int(head[2]))
-                    if process.stdout.read(1) != b"\n":
-                        raise ValueError("a batch record does not end where its header says")
-                    rows.append((object_id, len(data), hashlib.sha256(data).hexdigest(), data[:SAMPLE_BYTES], data if keep_content else None))
-                types = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-                columns = zip(*rows, strict=True) if rows else ([] for _ in types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["object_id", "byte_count", "sha256", "sample", "content"])
+                    for object_id in some:
+                        head = process.stdout.readline().split()
+                        if head[-1] == b"missing":
+                            rows.append((object_id, None, None, None, None))
+                            continue
+                        data = process.stdout.read(int(head[2]))
+                        if process.stdout.read(1) != b"\n":
+                            raise ValueError("a batch record does not end where its header says")
+                        rows.append((object_id, len(data), hashlib.sha256(data).hexdigest(), data[:SAMPLE_BYTES], data if keep_content else None))
+                        held += min(len(data), SAMPLE_BYTES) + keep_content * len(data)
+                        if held > BATCH_BYTES:
+                            yield packed(rows)
+                            rows, held = [], 0
+                yield packed(rows)
         finally:
             process.stdin.close()
             process.wait()
@@ -117,3 +157,50 @@ def inventory(spark: SparkSession, root: str, revision: str = "HEAD") -> DataFra
     kind = F.when(F.col("mode") == "160000", "gitlink").when(F.col("mode") == "120000", "symlink").when(F.position(F.lit(b"\x00"), F.col("sample")) > 0, "binary").otherwise("text")
     own = F.when(F.col("mode") == "160000", F.sha2("object_id", 256)).otherwise(F.col("sha256"))
     return joined.select("path", "mode", "object_id", F.when(F.col("mode") == "160000", F.length("object_id")).otherwise(F.col("byte_count")).cast("long").alias("byte_count"), own.alias("sha256"), kind.alias("content_kind"))
+
+
+def worktree(spark: SparkSession, root: str) -> DataFrame:
+    """Tracked files as they lie in the working folder: path, mode, byte_count, sha256, sample, problem.
+
+    A link's content is its target, a submodule's its commit. A file is read only if no folder above it is a link and it
+    lies below ``root``; ``problem`` tells what kept it from being read (UNSAFE_PATH, MISSING, NOT_A_FILE).
+    """
+    import os
+    import stat
+
+    listed = spark.createDataFrame([], LISTING) if not os.path.isdir(root) else snapshot(spark, root, kind="worktree")
+
+    def payload(path: str, mode: str, object_id: str):
+        if mode == "160000":
+            return [object_id.encode()], None
+        full, at = os.path.join(root, path), root
+        if os.path.isabs(path) or ".." in path.split("/"):
+            return None, "UNSAFE_PATH"
+        for part in path.split("/")[:-1]:
+            at = os.path.join(at, part)
+            if os.path.islink(at):
+                return None, "UNSAFE_PATH"
+        try:
+            kind = os.lstat(full).st_mode
+        except OSError:
+            return None, "MISSING"
+        if mode == "120000":
+            return ([os.fsencode(os.readlink(full))], None) if stat.S_ISLNK(kind) else (None, "NOT_A_FILE")
+        if not stat.S_ISREG(kind):
+            return None, "NOT_A_FILE"
+        return iter(lambda f=open(full, "rb"): f.read(65536), b""), None  # noqa: SIM115
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"path": [], "mode": [], "byte_count": [], "sha256": [], "sample": [], "problem": []}
+            for path, mode, object_id in zip(*(batch.column(c).to_pylist() for c in ("path", "mode", "object_id")), strict=True):
+                chunks, problem = payload(path, mode, object_id)
+                size, sample, sha = 0, b"", hashlib.sha256()
+                for chunk in chunks or ():
+                    size, sample = size + len(chunk), sample + chunk[: SAMPLE_BYTES - len(sample)]
+                    sha.update(chunk)
+                for name, value in (("path", path), ("mode", mode), ("byte_count", None if problem else size), ("sha256", None if problem else sha.hexdigest()), ("sample", None if problem else sample), ("problem", problem)):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("path", pa.string()), ("mode", pa.string()), ("byte_count", pa.int64()), ("sha256", pa.string()), ("sample", pa.binary()), ("problem", pa.string())]))
+
+    return listed.mapInArrow(read, "path string, mode string, byte_count bigint, sha256 string, sample binary, problem string")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.functions.paths import extension
+
 FACTS = ["path", "section", "name", "version"]
 
 
@@ -63,6 +65,37 @@ def pyproject(files: DataFrame) -> DataFrame:
     return rows.select("path", "f.section", F.lower(F.regexp_extract("f.requirement", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)).alias("name"), F.regexp_extract("f.requirement", r"==\s*([^\s;]+)", 1).alias("version"))
 
 
+def is_manifest(path: Column) -> Column:
+    """Files that the facts below come from."""
+    return F.lower(F.element_at(F.split(path, "/"), -1)).rlike(r"^(pyproject\.toml|pom\.xml|package\.json|package-lock\.json|requirements[^/]*\.txt)$")
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """(path, language) by suffix, for tracked text files that are neither generated, vendored nor left out.
+
+    ``files`` (path, classification, content_kind).
+    """
+    table = {"cjs": "JavaScript", "cts": "TypeScript", "java": "Java", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "mts": "TypeScript", "py": "Python", "pyi": "Python", "ts": "TypeScript", "tsx": "TypeScript"}
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), extension(F.col("path")))
+    own = files.filter(~F.col("classification").isin("GENERATED", "VENDOR", "IGNORED_WITH_REASON") & (F.col("content_kind") == "text"))
+    return own.select("path", known.alias("language")).filter("language IS NOT NULL")
+
+
+def package_lock(files: DataFrame) -> DataFrame:
+    """Locked packages with their versions, and a row MALFORMED for files of another form.
+
+    Versions 2 and 3 name them by path under ``packages``, version 1 under ``dependencies``.
+    """
+    own = _named(files, r"(^|/)package-lock\.json$").withColumn("_v", F.try_parse_json("text"))
+    kind = F.try_variant_get("_v", "$.lockfileVersion", "int")
+    held = "map<string, variant>"
+    listed = F.when(kind == 1, F.try_variant_get("_v", "$.dependencies", held)).when(kind.isin(2, 3), F.try_variant_get("_v", "$.packages", held))
+    rows = own.select("path", kind.alias("_kind"), listed.alias("_m"))
+    bad = rows.filter("_m IS NULL").select("path", F.lit("MALFORMED").alias("section"), F.lit("").alias("name"), F.lit("").alias("version"))
+    each = rows.select("path", F.explode(F.map_entries("_m")).alias("e")).filter("e.key <> ''")
+    return bad.unionByName(each.select("path", F.lit("lock").alias("section"), F.regexp_replace("e.key", r"^(.*/)?node_modules/", "").alias("name"), F.coalesce(F.try_variant_get("e.value", "$.version", "string"), F.lit("")).alias("version")))
+
+
 def lock_conflicts(files: DataFrame) -> DataFrame:
     """Directories with lock files of more than one package manager."""
     managers = {"package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock": "yarn", "pnpm-lock.yaml": "pnpm", "bun.lockb": "bun"}

@@ -1,5 +1,6 @@
 """Operators on hand-made rows: golden cases, empty inputs, and results that do not depend on order or repeats."""
 
+import hashlib
 import subprocess
 
 import pytest
@@ -131,6 +132,28 @@ def test_git_source(spark, tmp_path):
     assert set(rows) == {"a.txt", "b.bin", "copy.txt"} and rows["a.txt"].sha256 == rows["copy.txt"].sha256 and rows["a.txt"].byte_count == 4
     assert (rows["a.txt"].content_kind, rows["b.bin"].content_kind) == ("text", "binary")
     assert git.snapshot(spark, str(tmp_path), kind="worktree").count() == 3
+    own = git.context(str(tmp_path))
+    assert (own["prefix"], own["dirty"], len(own["revision"])) == ("", False, 40)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.txt").write_text("three\n")
+    (tmp_path / "link").symlink_to("a.txt")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "d.txt").write_text("four")
+    run("add", ".")
+    run("commit", "-qm", "y")
+    tree = {r.path for r in git.snapshot(spark, str(tmp_path)).collect()}
+    assert tree == {"a.txt", "b.bin", "copy.txt", "sub/c.txt", "link", "out/d.txt"} and git.snapshot(spark, str(tmp_path)).rdd.getNumPartitions() == 6
+    (tmp_path / "a.txt").write_text("changed")
+    (tmp_path / "b.bin").unlink()
+    (tmp_path / "out" / "d.txt").rename(tmp_path / "d.txt")
+    (tmp_path / "out").rmdir()
+    (tmp_path / "out").symlink_to("sub")
+    files = {r.path: r for r in git.worktree(spark, str(tmp_path)).collect()}
+    assert files["a.txt"].sha256 == hashlib.sha256(b"changed").hexdigest() and files["a.txt"].byte_count == 7 and files["link"].sample == b"a.txt"
+    assert {p: r.problem for p, r in files.items() if r.problem} == {"b.bin": "MISSING", "out/d.txt": "UNSAFE_PATH"}
+    assert git.context(str(tmp_path))["dirty"] and not git.context(str(tmp_path / "sub"))["dirty"] and git.context(str(tmp_path / "sub"))["prefix"] == "sub"
+    many = git.blobs(git.snapshot(spark, str(tmp_path)).filter("object_type = 'blob'"), str(tmp_path), keep_content=True)
+    assert {bytes(r.content) for r in many.collect()} >= {b"one\n", b"three\n", b"four"}
     assert git.blobs(frame(spark, [("0" * 40,)], "object_id string"), str(tmp_path)).first().sha256 is None
 
 
@@ -171,3 +194,88 @@ def test_overlaps_by_reference_count_every_pair(spark):
             want[ref] = (a, b, a * b)
     assert got == want
     assert sum(p for _, _, p in got.values()) == claims.overlaps(left.filter("claim IS NOT NULL"), right, "claim", "unit", "refs").agg({"shared": "sum"}).first()[0]
+
+
+def test_contracts(spark):
+    from fathomline.operators import contracts
+
+    schema = {"type": "object", "additionalProperties": {"type": "integer"}, "required": ["a"], "properties": {"a": {"type": ["string", "null"], "maxLength": 3}, "b": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"n": {"type": "number", "minimum": 0}}, "additionalProperties": False}}, "c": {"const": True}}}
+    cases = {
+        '{"a": "x", "z": 4}': set(), '{"a": null, "b": [{"n": 1.5}, {}], "c": true}': set(), "[]": {("$", "TYPE")}, '{"b": []}': {("$.a", "REQUIRED"), ("$.b", "MINITEMS")}, '{"a": "long", "z": "q"}': {("$.a", "MAXLENGTH"), ("$.z", "TYPE")},
+        '{"a": 5, "b": [{"n": -1, "m": 0}, 7]}': {("$.a", "TYPE"), ("$.b[0].n", "MINIMUM"), ("$.b[0].m", "UNEXPECTED"), ("$.b[1]", "TYPE")}, '{"a": "x", "c": 1}': {("$.c", "VALUE_NOT_LISTED")}, '{"a": 1, "a": 2}': {("$", "JSON")}, "{": {("$", "JSON")},
+        '{"a": "x", "z": true}': {("$.z", "TYPE")}, '{"a": "x", "b": null}': {("$.b", "TYPE")},
+    }
+    rows = frame(spark, list(enumerate(cases)), "id int, text string").withColumn("doc", artifacts.strict(F.col("text")))
+    got = {}
+    for r in contracts.findings(rows, "id", "doc", schema).collect():
+        got.setdefault(r.id, set()).add((r.path, r.code))
+    assert [got.get(i, set()) for i in range(len(cases))] == list(cases.values())
+    for bad in ({"format": "x"}, {"type": "date"}, {"properties": {"a": 1}}, {"items": []}, []):
+        with pytest.raises(ValueError):
+            contracts.check_schema(bad)
+    kinds = frame(spark, [('{"artifact_kind": "k", "schema_version": "1.0.0"}',), ('{"artifact_kind": "k", "schema_version": "2.0.0"}',), ("no",)], "text string").withColumn("doc", artifacts.strict(F.col("text")))
+    assert {(r.text[:2], r.code) for r in contracts.artifact_findings(kinds, "text", "doc", {("k", "1.0.0"): {"type": "object"}}).collect()} == {('{"', "KIND"), ("no", "JSON")}
+
+
+def test_edits_report_conflicts(spark):
+    docs = frame(spark, [("a", "x\ny\nx"), ("b", "one\ntwo"), ("c", "k"), ("n", None), ("same", "q")], "doc string, text string")
+    columns = "doc string, number int, op string, anchor string, block string, expected string, marker string"
+    edits = [
+        ("a", 1, "update_line", "x", "z", "x", None), ("b", 1, "update_line", "two", "2", "two", None), ("c", 1, "update_line", "k", "k ", "other", None), ("n", 1, "append_section", None, "made", None, None), ("new", 1, "append_section", None, "first", None, None),
+        ("gone", 1, "ensure_line", None, "first", None, None), ("c", 2, "replace_anchor_line", "k", "w", "q", None),
+    ]
+    got = {r.doc: (r.text, r.changed, r.conflict) for r in extraction.edited(docs, frame(spark, edits, columns)).collect()}
+    assert got == {"a": ("x\ny\nx", False, "ANCHOR_AMBIGUOUS"), "b": ("one\ntwo", False, "ANCHOR_LOST"), "c": ("k", False, "ANCHOR_CHANGED"), "n": ("made\n", True, None) if got["n"][0] == "made\n" else ("\nmade\n", True, None), "new": got["new"], "gone": (None, False, "TEXT_MISSING"), "same": ("q", False, None)}
+    assert got["new"][0].strip() == "first" and got["new"][1]
+
+
+def test_attribution_with_a_line_that_every_text_has(spark):
+    import random
+
+    rng = random.Random(3)
+    common, own = "a line of every text", [f"line {i}" for i in range(60)]
+    texts = {i: {common, "", *rng.sample(own, rng.randrange(1, 12))} for i in range(120)}
+    asked = {i: {common, *rng.sample(sorted(texts[rng.randrange(120)] - {""}), 1), *(x for x in texts[rng.randrange(120)] if rng.random() < 0.95)} for i in range(60)} | {99: {common}, 98: {"nobody has it"}, 97: {" "}}
+    index = frame(spark, [(i, x) for i, xs in texts.items() for x in xs], "owner int, line string")
+    queries = frame(spark, [(i, x) for i, xs in asked.items() for x in xs], "query int, line string")
+    for ties in ("smallest", "none"):
+        got = {r["query"]: (r["lines"], r["hits"], r["owner"]) for r in lines.attribution(queries, index, "query", "owner", 0.85, ties).collect()}
+        want = {}
+        for i, xs in asked.items():
+            solid = {x for x in xs if x.strip()}
+            if not solid:
+                continue
+            hits = {o: len(solid & t) for o, t in texts.items()}
+            enough = {o: n for o, n in hits.items() if n >= 0.85 * len(solid) - 1e-9}
+            best = [o for o, n in enough.items() if n == max(enough.values())] if enough else []
+            chosen = best and (ties == "smallest" or len(best) == 1)
+            want[i] = (len(solid), max(enough.values()) if chosen else 0, min(best) if chosen else None)
+        assert got == want
+
+
+def test_sections_headings_and_stars(spark):
+    text = "# T\n## A ★\n### B\n#### C\n### D\nx\n## E 历史快照\n#### F\ny\n# U\nz"
+    rows = {r.line: (r.chain, r.star, r.old, r.free) for r in lines.heading_chain(lines.exploded(frame(spark, [("d", text)], "doc string, text string"), "doc", "text"), "doc").select("line", "chain", code.is_star(F.lit(""), F.col("chain")).alias("star"), code.is_historical(F.col("line"), F.col("chain")).alias("old"), code.is_exempt(F.lit("### 9.2"), F.lit(None), F.lit(""), F.lit("")).alias("free")).collect()}
+    assert rows["x"] == (["A ★", "D"], True, False, True) and rows["y"] == (["E 历史快照", "F"], False, True, True) and rows["z"][0] == [] and rows["#### C"][0] == ["A ★", "B"]
+    marks = frame(spark, [("## 示例", None, "", "a"), ("## x", "## 面试", "", "a"), ("## x", None, "**【怎么用】", "a"), ("## x", None, "**【怎么用】", "a // :L3"), ("## x", "y", None, None)], "s string, h string, m string, b string")
+    assert [r.e for r in marks.select(code.is_exempt(F.col("s"), F.col("h"), F.col("m"), F.col("b")).alias("e")).collect()] == [True, True, True, False, False]
+    found = lines.sections(lines.exploded(frame(spark, [("d", "## a\nx\n## a")], "doc string, text string"), "doc", "text"), "doc", F.col("line").startswith("## "))
+    assert [r.code for r in lines.section_findings(found, "doc").collect()] == ["SECTION_DUPLICATE"]
+    starred = frame(spark, [("a", i, i == 1, True) for i in range(3)] + [("b", i, i < 5, True) for i in range(9)] + [("c", i, False, False) for i in range(2)], "k string, n int, noted boolean, star boolean")
+    assert {r.k: (r.need, r.passed) for r in intervals.density(starred, ["k"], ["n"], F.col("noted"), star=F.col("star")).collect()} == {"a": (3, False), "b": (5, True), "c": (1, False)}
+
+
+def test_manifest_predicates(spark):
+    rows = frame(spark, [("a/POM.xml", "CLASSIFIED", "text"), ("x.ts", "CLASSIFIED", "text"), ("y.py", "VENDOR", "text"), ("z.py", "UNKNOWN", "binary"), ("w.jsx", "UNKNOWN", "text"), ("requirements/dev.txt", "CLASSIFIED", "text")], "path string, classification string, content_kind string")
+    assert [r.m for r in rows.select(manifests.is_manifest(F.col("path")).alias("m")).collect()] == [True, False, False, False, False, False]
+    assert {tuple(r) for r in manifests.languages(rows).collect()} == {("x.ts", "TypeScript"), ("w.jsx", "JavaScript")}
+
+
+def test_long_walks_and_cycles(spark):
+    chain = spark.range(70).selectExpr("id AS src", "id + 1 AS dst")
+    nodes = spark.range(71).withColumnRenamed("id", "node")
+    assert {r.node: r.level for r in graph.levels(nodes, chain).collect()} == {i: i for i in range(71)}
+    loops = frame(spark, [(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (6, 6)], "src long, dst long")
+    assert {r.node for r in graph.cyclic(loops).collect()} == {1, 2, 3, 4, 6}
+    assert {r.node for r in graph.reached(loops, frame(spark, [(2,)], "node long")).collect()} == {1, 2, 3, 4, 5}
+    assert {r.node: r.position for r in graph.ordered(frame(spark, [(3,), (1,), (2,)], "node long"), frame(spark, [(3, 1)], "src long, dst long")).collect()} == {2: 1, 3: 2, 1: 3}
