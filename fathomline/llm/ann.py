@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import written
 
+#: The index is fitted on so many vectors at most, of so many bytes; a list for every 16 of them at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 40_960, 32 << 20
-MAX_LISTS = 1024
+MAX_LISTS = SAMPLE_ROWS // 16
 CODES = 256
 CELL_ROWS, CELL_QUERIES, CELL_BYTES = 8192, 4096, 32 << 20
 #: Relative to the lengths of both vectors: more than rounding to 32 bits and in sums takes from a bound.
@@ -135,8 +136,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` its ``k`` nearest rows.
 
     Vectors null, zero, holding null or non-finite components, or of another length than most take no part, nor do
-    rows with a null vec_id. Rows that repeat a vec_id with the same vector count once; ties go to the smaller vec_id.
-    With no vector at all the result is empty. Other columns are ignored.
+    rows with a null vec_id. Rows that repeat a vec_id count once; if their vectors differ, the one with the smallest
+    hash does. Ties go to the smaller vec_id. Components beyond 32 bits only make the search slower. With no vector at
+    all the result is empty. Other columns are ignored.
     """
     spark = vectors.sparkSession
     usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).filter(
@@ -148,6 +150,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], empty)
     dim = sizes[0].dim
     rows = usable.filter(F.size("vector") == dim)
+    hashes = rows.select("vec_id", F.xxhash64("vector").alias("hash")).groupBy("vec_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    twice = written(hashes.filter("least < most").select(F.col("vec_id").alias("id"), "least"))
+    if not twice.isEmpty():  # seldom; else the vectors need not meet their ids
+        rows = rows.join(twice, (F.col("vec_id") == F.col("id")) & (F.xxhash64("vector") > F.col("least")), "left_anti")
     classes = written(rows.groupBy("vector").agg(F.min("vec_id").alias("class")))
     members = written(rows.join(classes, "vector").select("class", "vec_id").distinct())
     count = classes.count()

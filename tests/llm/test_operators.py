@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fathomline.llm import ann, bpe, packing, quality, rangecoder, repetition, simhash, substring, tokens, toxicity, warc
@@ -347,6 +348,24 @@ def test_ann(spark):
     assert {(r.query_id, r.vec_id) for r in ann.search(frame.filter("vec_id < 3")).collect()} == {(0, 1), (0, 2)}
 
 
+def test_ann_ids_with_several_vectors_and_large_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    x[5] *= 1e39
+    x[6] *= 1e120
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[50].tolist()), (20, x[51].tolist()), (20, x[52].tolist()), (7, x[7].tolist())]
+    for shuffled in (rows, rows[::-1]):
+        frame = spark.createDataFrame(shuffled, "vec_id long, embedding array<double>").repartition(3)
+        got = collections.defaultdict(list)
+        for r in ann.search(frame, every=20).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        own = {r.vec_id: np.array(r.v) for r in frame.selectExpr("vec_id", "struct(xxhash64(embedding) AS h, embedding) AS s").groupBy("vec_id").agg(F.min("s.h").alias("h"), F.min_by("s.embedding", "s.h").alias("v")).collect()}
+        assert set(got) == set(range(0, 300, 20))
+        for q, found in got.items():
+            want = sorted(((-float(sum(own[q][d] * own[i][d] for d in range(8))), i) for i in own if i != q))[:20]
+            assert [v for _, v, _ in sorted(found)] == [i for _, i in want]
+
+
 def check_exact_neighbours(spark, x, every):
     """The search gives the true 20 best scores of each query, with smaller ids first among equal scores."""
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
