@@ -98,3 +98,52 @@ def escaped_markdown(text: Column) -> Column:
 def sentences(paragraph: Column) -> Column:
     """A paragraph split after sentence ends."""
     return F.filter(F.split(paragraph, r"(?<=[.!?])[\t\n\f\r ]+"), lambda x: x != "")
+
+
+#: Numbers that name a section whatever its wording, and how a list within a sentence counts.
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯"
+ENUMERATED = r"(?=\*\*其[一二三四五六]，)"
+
+
+def section_key(heading: Column) -> Column:
+    """What a section goes by: its circled number, or ``索引``, or else its text."""
+    body = F.trim(F.regexp_replace(heading, "^## ", ""))
+    mark = F.regexp_extract(body, f"^([{CIRCLED}]|索引)", 1)
+    return F.when(mark != "", mark).otherwise(body)
+
+
+def enumeration(paragraph: Column) -> Column:
+    """The lead and the items of a list within a paragraph, items with a dash; null with fewer than two items."""
+    parts = F.filter(F.transform(F.split(paragraph, ENUMERATED), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) >= 3, F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("- "), x))))
+
+
+def declared_classes(text: Column) -> Column:
+    """Names of the types that a text declares, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?:\b(?:class|interface|enum|record)|@interface)\s+([A-Z][A-Za-z0-9_]*)"), F.lit(1))
+
+
+def decoded(payload: Column) -> Column:
+    """(text, skipped) of a source's bytes: UTF-8 with or without a mark, or Latin-1 where a coding line says so."""
+    import io
+    import tokenize
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def read(payloads):
+        out = []
+        for raw in payloads:
+            try:
+                if raw is None or b"\0" in raw:
+                    out.append((None, "BINARY_SOURCE" if raw is not None else None))
+                    continue
+                name, _ = tokenize.detect_encoding(io.BytesIO(raw).readline)
+                known = name.lower().replace("_", "-") in ("utf-8", "utf-8-sig", "latin-1", "iso-8859-1")
+                out.append((raw.decode(name), None) if known else (None, "UNSUPPORTED_ENCODING"))
+            except (SyntaxError, UnicodeError, LookupError):
+                out.append((None, "UNSUPPORTED_ENCODING"))
+        return pd.DataFrame(out, columns=["text", "skipped"])
+
+    read.__annotations__ = {"payloads": pd.Series, "return": pd.DataFrame}
+    return pandas_udf(read, "text string, skipped string")(payload)

@@ -33,25 +33,21 @@ def sections(lines: DataFrame, key: str, heading: Column) -> DataFrame:
     return marked.groupBy(key, "section").agg(F.min(F.when(F.col("_head"), F.col("line"))).alias("heading"), F.min("line_no").alias("first_line"), F.count("*").alias("lines"))
 
 
-def fenced(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with ``inside`` (within a fenced block, its borders included) and ``unclosed`` (the block never ends).
+def spans(docs: DataFrame, key: str, text: str, first: str, last: str) -> DataFrame:
+    """``docs`` with ``span``, the lines ``first`` to ``last`` (from 1, inclusive); null where there are no such lines."""
+    rows = F.split(text, "\n")
+    valid = (F.col(first) >= 1) & (F.col(last) >= F.col(first)) & (F.col(last) <= F.size(rows))
+    return docs.withColumn("span", F.when(valid, F.array_join(F.slice(rows, F.col(first), F.col(last) - F.col(first) + 1), "\n")))
 
-    A line of three or more backticks or tildes, whatever label follows, opens a block; a bare one of the same kind
-    closes it. Bare lines of the other kind inside a block are text.
-    """
-    mark = F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,})[^`]*$", 1)
-    rows = lines.withColumn("_kind", F.when(mark != "", F.substring(mark, 1, 1))).withColumn("_bare", F.col("line").rlike(r"^ {0,3}(`{3,}|~{3,})\s*$"))
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    history = F.collect_list(F.when(F.col("_kind").isNotNull(), F.struct("_kind", "_bare"))).over(w)
-    open_kind = F.aggregate(history, F.lit(""), lambda now, x: F.when(now == "", x["_kind"]).when(x["_bare"] & (x["_kind"] == now), F.lit("")).otherwise(now))
-    marks = rows.filter("_kind IS NOT NULL").withColumn("_open", open_kind)  # only fences carry a history
-    before = Window.partitionBy(key).orderBy("line_no")
-    states = marks.withColumn("_was", F.coalesce(F.lag("_open").over(before), F.lit(""))).select(key, "line_no", "_open", "_was")
-    joined = lines.join(states, [key, "line_no"], "left")
-    last = F.last("_open", ignorenulls=True).over(w)
-    own = joined.withColumn("_now", F.coalesce(last, F.lit(""))).withColumn("inside", (F.col("_now") != "") | F.coalesce(F.col("_was") != "", F.lit(False)))
-    ends = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    return own.withColumn("unclosed", F.col("inside") & (F.col("_now") != "") & ~F.coalesce(F.bool_or(F.col("_now") == "").over(ends), F.lit(False))).drop("_open", "_was", "_now")
+
+def protected(lines: DataFrame, key: str) -> DataFrame:
+    """Lines (key, line_no, reason) that take no note: within a text block of three quotes, or continued by a backslash."""
+    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.regexp_count("line", F.lit('"""'))
+    inside = F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1
+    marked = lines.withColumn("_in", inside)
+    reason = F.when(F.rtrim("line").endswith("\\"), "CONTINUED").when(F.col("_in"), "TEXT_BLOCK")
+    return marked.select(key, "line_no", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def section_findings(found: DataFrame, key: str) -> DataFrame:

@@ -20,7 +20,7 @@ def visible(lines: DataFrame, fences: DataFrame, key: str) -> DataFrame:
 def table_cells(line: Column) -> Column:
     """Cells of a pipe table's row; a pipe after an odd number of backslashes belongs to its cell."""
     bare = F.regexp_replace(F.trim(line), r"^\||(?<!\\)((?:\\\\)*)\|$", "$1")
-    return F.transform(F.split(bare, r"(?<=(?<!\\)(?:\\\\){0,20})\|"), F.trim)
+    return F.transform(F.split(bare, r"(?<=(?<!\\)(?:\\\\){0,20})\|"), lambda x: F.trim(x))
 
 
 def tables(lines: DataFrame, key: str) -> DataFrame:

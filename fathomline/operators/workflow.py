@@ -143,3 +143,12 @@ def open_attempt(units: DataFrame, limit: int = 3) -> DataFrame:
     """Units blocked in review with attempts left: the next attempt's number and the digest it links back to."""
     ready = units.filter((F.col("state") == "BLOCKED_REVIEW") & F.col("attempts").between(1, limit - 1))
     return ready.select("unit", (F.col("attempts") + 1).alias("attempt"), F.try_element_at("digests", F.lit(-1)).alias("predecessor"), F.lit("REPAIR_READY").alias("state"))
+
+
+def upgraded(units: DataFrame) -> DataFrame:
+    """Units of a first-version state in the form of the next one: no repair disposition yet, and a list of attempts that
+    holds the original one if there is an attempt. ``finding`` is STATE_BINDING_INVALID where that is not the first."""
+    first = F.col("attempt_id") == "attempt-0001"
+    attempt = F.struct(F.col("attempt_id"), F.col("state").alias("execution_state"), F.lit("ORIGINAL").alias("disposition"), F.lit(None).cast("string").alias("predecessor"))
+    none = F.array().cast("array<struct<attempt_id: string, execution_state: string, disposition: string, predecessor: string>>")
+    return units.withColumn("repair_disposition", F.lit(None).cast("string")).withColumn("attempts", F.when(first, F.array(attempt)).otherwise(none)).withColumn("finding", F.when(F.col("attempt_id").isNotNull() & ~first, "STATE_BINDING_INVALID"))

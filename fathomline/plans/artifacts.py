@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import code
 from fathomline.functions.ids import canonical_tuple, concept_label
-from fathomline.operators import contracts, extraction, lines, markdown
+from fathomline.operators import contracts, extraction, lines, markdown, project, workflow
 from fathomline.plans.registry import query, table
 from fathomline.sources import artifacts, manifests
 
@@ -103,16 +103,16 @@ def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("line", line).select("doc_id", code.normalized(F.col("line")).alias("norm"), code.is_key_line(F.col("line")).alias("is_key"), code.has_cjk_comment(F.col("line")).alias("cjk"))
 
 
-#: Table rows and their number of cells, with backslashes and pipes; written by hand.
-ROWS = [(r"| a | b |", 2), (r"| a \| b | c |", 2), (r"a | b | c", 3), (r"| x \\| y |", 2), (r"| only |", 1), (r"| a | b \|", 2), (r"|  | z |", 2), (r"a \\\| b", 1), ("no pipe", 1)]
+#: Table rows and their cells, with backslashes and pipes; written by hand.
+ROWS = [(r"| a | b |", "a;b"), (r"| a \| b | c |", r"a \| b;c"), (r"a |  b |c", "a;b;c"), (r"| x \\| y |", r"x \\;y"), (r"| only |", "only"), (r"| a | b \|", r"a;b \|"), (r"|  | z |", ";z"), (r"a \\\| b", r"a \\\| b"), ("no pipe", "no pipe")]
 
 
 @query(f"""
-SELECT doc_id, CAST(cells AS BIGINT) AS cells FROM documents JOIN (VALUES {", ".join(f"({i}, {n})" for i, (_, n) in enumerate(ROWS))}) AS v(spot, cells) ON spot = doc_id % {len(ROWS)}""")
+SELECT doc_id, cells FROM documents JOIN (VALUES {", ".join(f"({i}, '{c}')" for i, (_, c) in enumerate(ROWS))}) AS v(spot, cells) ON spot = doc_id % {len(ROWS)}""")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of table rows; a pipe behind an odd number of backslashes belongs to its cell."""
     row = F.element_at(F.array(*(F.lit(x[0]) for x in ROWS)), (F.col("doc_id") % len(ROWS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(markdown.table_cells(row)).cast("long").alias("cells"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(markdown.table_cells(row), ";").alias("cells"))
 
 
 @query("""
@@ -214,3 +214,74 @@ def concept_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels in composed form without white space around; nothing left is null."""
     value = F.element_at(F.array(*map(F.lit, (" Cafe\u0301 ", "plain\n", " \t", "A\u030a\u0301 b"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", concept_label(value).alias("label"))
+
+
+@query("""
+SELECT c_custkey AS unit, CASE WHEN c_custkey % 7 = 0 THEN 'PROJECT_REFERENCES_PRESENT'
+  WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 OR c_custkey % 5 = 0 THEN 'UNIT_ORIGIN_SCOPE_INVALID' WHEN c_custkey % 4 > 0 THEN 'UNIT_METADATA_INVALID' END
+  WHEN c_custkey % 3 = 1 THEN CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 4 < 3 THEN 'UNIT_METADATA_INVALID' END ELSE 'UNIT_ORIGIN_SCOPE_INVALID' END AS error FROM customer""")
+def general_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which units the general teaching path takes, and why it refuses the others."""
+    k = F.col("c_custkey")
+    origin = F.when(k % 3 == 0, "CANDIDATE").when(k % 3 == 1, "PREREQUISITE_PRIMER").otherwise("OTHER")
+    key = F.when(k % 5 != 0, F.concat(F.lit("k"), k))
+    error = project.general_unit_error(origin, F.when(k % 2 == 0, "PROJECT_SPECIFIC").otherwise("GENERAL_LEARNING"), key, k % 7 == 0, k % 4)
+    return table(spark, sf_dir, "customer").select(k.alias("unit"), error.alias("error"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KEY_UNKNOWN' WHEN regexp_matches(text, '(?i)sk-[A-Za-z0-9]|api[_-]?key|secret|passwd|password|BEGIN [A-Z ]*PRIVATE KEY|ghp_') THEN 'SECRET' END AS refused FROM documents""")
+def guarded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that may not be written: unknown keys, values that look like secrets."""
+    key = F.when(F.col("doc_id") % 3 == 0, "colour").otherwise("model")
+    return table(spark, sf_dir, "documents").select("doc_id", project.guarded(key, F.col("text")).alias("refused"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS rows, doc_id % 5 AS a, doc_id % 5 + doc_id % 3 - 1 AS b FROM documents)
+SELECT doc_id, CASE WHEN a >= 1 AND b >= a AND b <= len(rows) THEN array_to_string(rows[a:b], chr(10)) END AS span FROM d""")
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts by number; ranges that are not there are null."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "int(doc_id % 5) AS a", "int(doc_id % 5 + doc_id % 3 - 1) AS b")
+    return lines.spans(docs, "doc_id", "text", "a", "b").select("doc_id", "span")
+
+
+@query("""
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, reason FROM documents, LATERAL (SELECT 2 AS line_no, 'TEXT_BLOCK' AS reason UNION ALL SELECT 3, 'TEXT_BLOCK' UNION ALL SELECT 5, 'CONTINUED' UNION ALL SELECT 7, 'TEXT_BLOCK' WHERE doc_id % 2 = 0) v""")
+def protected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within text blocks of three quotes and lines that go on behind a backslash."""
+    text = F.concat(F.lit('a = """x\nin\n"""\nb = """one line"""\nc = 1 + \\\n2'), F.when(F.col("doc_id") % 2 == 0, '"""\nopen').otherwise("\nend")).alias("text")
+    return lines.protected(lines.exploded(table(spark, sf_dir, "documents").select("doc_id", text), "doc_id", "text"), "doc_id")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 2 THEN '# coding: latin-1' || chr(10) || 'caf' || chr(233) END AS text, CASE doc_id % 4 WHEN 1 THEN 'BINARY_SOURCE' WHEN 3 THEN 'UNSUPPORTED_ENCODING' END AS skipped FROM documents""")
+def decoded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources decoded by their own coding line; binary ones and other codings are skipped."""
+    kinds = F.array(F.encode("lang", "UTF-8"), F.lit(bytearray(b"a\x00b")), F.lit(bytearray("# coding: latin-1\ncafé".encode("latin-1"))), F.lit(bytearray(b"# coding: cp1252\nx")))
+    payload = F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", code.decoded(payload).alias("d")).select("doc_id", "d.*")
+
+
+#: Heading, what the section goes by, paragraph, its list items, text, the types that it declares; written by hand.
+WORDING = [
+    ("## ⑨ 八股讲解", "⑨", "前言 **其一，**甲 **其二，**乙", "前言|- **其一，**甲|- **其二，**乙", "public class Foo { enum Bar { A } }", "Foo,Bar"),
+    ("索引 A", "索引", "只有 **其一，**甲", None, "@interface Note {} interface lower {}", "Note"), ("## Plain ", "Plain", "no list", None, "subclass Foo", ""), ("### ① x", "### ① x", "**其三，**c **其四，**d **其五，**e", "**其三，**c|- **其四，**d|- **其五，**e", "record R(int a) class", "R"),
+]
+
+
+@query(f"""
+SELECT doc_id, section, items, types FROM documents JOIN (VALUES {", ".join(f"({i}, '{a}', " + ("NULL" if b is None else f"'{b}'") + f", '{c}')" for i, (_, a, _, b, _, c) in enumerate(WORDING))}) AS v(spot, section, items, types) ON spot = doc_id % {len(WORDING)}""")
+def wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sections go by, lists within paragraphs, and types that a text declares."""
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in WORDING)), (F.col("doc_id") % len(WORDING) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", code.section_key(pick(0)).alias("section"), F.array_join(code.enumeration(pick(2)), "|").alias("items"), F.array_join(code.declared_classes(pick(4)), ",").alias("types"))
+
+
+@query("""
+SELECT p_partkey AS unit, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS execution_state, CASE WHEN p_partkey % 3 = 1 THEN 'STATE_BINDING_INVALID' END AS finding FROM part""")
+def upgraded_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of a first-version state in the next version's form."""
+    attempt = F.when(F.col("p_partkey") % 3 == 0, "attempt-0001").when(F.col("p_partkey") % 3 == 1, "attempt-0002")
+    own = workflow.upgraded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), F.col("p_brand").alias("state"), attempt.alias("attempt_id")))
+    return own.select("unit", F.size("attempts").alias("attempts"), F.try_element_at("attempts", F.lit(1)).getField("execution_state").alias("execution_state"), "finding")

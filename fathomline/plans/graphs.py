@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
-from fathomline.operators import claims, graph
+from fathomline.operators import claims, graph, project
 from fathomline.plans.registry import query, table
 
 #: The containment of regions, nations, customers and suppliers as (src, dst) names.
@@ -216,3 +216,69 @@ def nearest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = files.select("doc_id", F.explode(paths.ancestors(F.col("path"))).alias("dir"))
     found = above.join(manifests, "dir").groupBy("doc_id").agg(F.max_by("dir", F.length("dir")).alias("manifest_dir"))
     return files.select("doc_id").join(found, "doc_id", "left")
+
+
+@query(f"""
+WITH {_RESOLVED}, m AS (SELECT DISTINCT CAST(claim AS VARCHAR) AS src, CAST(ref AS VARCHAR) AS dst, level FROM r WHERE resolved)
+SELECT 'node' AS part, CAST(o_orderkey AS VARCHAR) AS id, 'Claim' AS type, o_orderstatus AS label, CAST(NULL AS BOOLEAN) AS provisional FROM orders
+UNION ALL SELECT DISTINCT 'node', dst, 'Evidence', level, level = 'E6' FROM m
+UNION ALL SELECT 'edge', 'CLAIM-EVIDENCE-' || sha256('["claim-evidence","snap","' || src || '","' || dst || '"]'), src, dst, NULL FROM m""")
+def claim_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and the evidence that they resolve to, as nodes and edges with content-addressed ids."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), F.col("o_orderstatus").alias("text"))
+    nodes, edges = project.claim_overlay(own, resolved_citations(spark, sf_dir), "snap")
+    return nodes.select(F.lit("node").alias("part"), "*").union(edges.select(F.lit("edge"), "id", "src", "dst", F.lit(None).cast("boolean")))
+
+
+#: Symbols are parts, relations are lines of orders, roles are suppliers of parts; files are part types.
+_KINDS = "['IMPORTS', 'CALL_CANDIDATE', 'EXTENDS', 'GUESSES'][1 + l_linenumber % 4]"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    path = F.concat(F.when(F.col("p_partkey") % 41 == 0, "../").otherwise("src/"), F.col("p_size"))
+    symbols = part.select(F.concat(F.lit("S"), "p_partkey").alias("id"), path.alias("path"), F.array(F.concat(F.lit("E"), F.col("p_size") % 12)).alias("evidence_ids"))
+    symbols = symbols.union(part.filter("p_partkey % 50 = 7").select(F.concat(F.lit("S"), "p_partkey"), F.lit("src/1"), F.array(F.lit("E1"))))
+    kind = F.element_at(F.array(*map(F.lit, ("IMPORTS", "CALL_CANDIDATE", "EXTENDS", "GUESSES"))), F.col("l_linenumber") % 4 + 1)
+    relations = line.select(F.concat_ws(":", F.lit("R"), "l_orderkey", "l_linenumber").alias("id"), kind.alias("kind"), F.concat(F.lit("src/"), F.col("l_quantity").cast("int")).alias("path"), F.concat(F.lit("S"), "l_partkey").alias("source_id"), F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("S"), F.col("l_partkey") + F.col("l_suppkey"))).alias("target_id"), F.array(F.lit("E1")).alias("evidence_ids"))
+    roles = line.select(F.concat_ws(":", F.lit("O"), "l_partkey", "l_suppkey").alias("id"), F.when(F.col("l_suppkey") % 2 == 0, "page_candidate").otherwise("test_candidate").alias("kind"), F.lit("src/1").alias("path"), F.concat(F.lit("S"), "l_partkey").alias("symbol_id"), F.array(F.lit("E1")).alias("evidence_ids")).distinct()
+    files = spark.range(1, 46).select(F.concat(F.lit("src/"), "id").alias("path"))
+    return symbols, relations, roles, files, spark.range(10).select(F.concat(F.lit("E"), "id").alias("id"))
+
+
+@query(f"""
+WITH s AS (SELECT 'S' || p_partkey AS id, CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_size END AS size, p_size % 12 AS e FROM part),
+r AS (SELECT 'R:' || l_orderkey || ':' || l_linenumber AS id, {_KINDS} AS kind, CAST(l_quantity AS INTEGER) AS size, l_partkey AS a, CASE WHEN l_suppkey % 3 <> 0 THEN l_partkey + l_suppkey END AS b FROM lineitem)
+SELECT id, 'IDENTITY_CONFLICT' AS code FROM (SELECT 'S' || p_partkey AS id FROM part WHERE p_partkey % 50 = 7 AND NOT (p_size = 1 AND p_partkey % 41 <> 0))
+UNION SELECT id, 'IDENTITY_CONFLICT' FROM r GROUP BY id HAVING count(DISTINCT kind || '|' || size || '|' || a || '|' || coalesce(CAST(b AS VARCHAR), '')) > 1
+UNION SELECT id, 'SOURCE_PATH_INVALID' FROM s WHERE size IS NULL OR size > 45 UNION SELECT id, 'SOURCE_PATH_INVALID' FROM r WHERE size > 45 OR size < 1
+UNION SELECT id, 'EVIDENCE_MISSING' FROM s WHERE e > 9 UNION SELECT id, 'KIND_INVALID' FROM r WHERE kind = 'GUESSES'
+UNION SELECT id, 'SYMBOL_MISSING' FROM r WHERE a NOT IN (SELECT p_partkey FROM part) OR b NOT IN (SELECT p_partkey FROM part)""")
+def fact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols, relations and roles whose identity, path, evidence, kind or ends do not hold."""
+    return project.fact_findings(*_facts(spark, sf_dir))
+
+
+@query("SELECT 'S' || l_partkey AS symbol_id, array_to_string(list_sort(list(kind)), ',') AS kinds FROM (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'page_candidate' ELSE 'test_candidate' END AS kind FROM lineitem) GROUP BY l_partkey")
+def symbol_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of roles of each symbol."""
+    return project.roles_by_symbol(_facts(spark, sf_dir)[2]).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(f"""
+SELECT type, src, dst FROM (SELECT 'CONTAINS' AS type, 'FILE:' || CASE WHEN p_partkey % 41 = 0 THEN '../' ELSE 'src/' END || p_size AS src, 'S' || p_partkey AS dst FROM part
+UNION SELECT 'CONTAINS', 'FILE:src/1', 'S' || p_partkey FROM part WHERE p_partkey % 50 = 7
+UNION SELECT {_KINDS}, 'S' || l_partkey, 'S' || (l_partkey + l_suppkey) FROM lineitem WHERE l_suppkey % 3 <> 0)""")
+def fact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of files, symbols and their relations."""
+    symbols, relations, _, files, _ = _facts(spark, sf_dir)
+    return project.graph_projection(files, symbols, relations)[1]
+
+
+@query("""
+WITH n AS (SELECT o_custkey AS node, list_sort(list('P' || o_orderkey % 30)) AS refs FROM orders GROUP BY o_custkey)
+SELECT node, 'INPUT_INVALID' AS code FROM n WHERE len(refs) <> len(list_distinct(refs)) UNION SELECT node, 'REFERENCE_MISSING' FROM (SELECT node, unnest(refs) AS ref FROM n) WHERE ref IN ('P7', 'P9')""")
+def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of references that repeat one, and references that stand for nothing."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.array_sort(F.collect_list(F.concat(F.lit("P"), F.col("o_orderkey") % 30))).alias("refs"))
+    return project.reference_findings(own, "node", "refs", spark.range(30).filter("id NOT IN (7, 9)").select(F.concat(F.lit("P"), "id").alias("id")))
