@@ -90,3 +90,76 @@ def general_unit_error(origin: Column, scope: Column, unit_key: Column, has_refs
 def guarded(key: Column, value: Column) -> Column:
     """Why a fact of a trace may not be written, or null: a key that is not listed, a value that looks like a secret."""
     return F.when(~F.coalesce(key.isin(*FACT_KEYS), F.lit(False)), "KEY_UNKNOWN").when(F.coalesce(value.rlike(SECRET), F.lit(False)), "SECRET")
+
+
+def claim_references(claims: DataFrame) -> DataFrame:
+    """(claim, nodes, edges, evidence, paths): sorted and unique; cited symbols count as nodes, cited files as paths.
+
+    ``claims`` (claim, node_ids, edge_ids, evidence_ids, citations: array of (kind, value)); null arrays are empty.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(c), none)
+    cited = lambda kind: F.coalesce(F.transform(F.filter("citations", lambda x: x["kind"] == kind), lambda x: x["value"]), none)
+    clean = lambda c: F.array_sort(F.array_distinct(c))
+    return claims.select("claim", clean(F.concat(listed("node_ids"), cited("symbol"))).alias("nodes"), clean(listed("edge_ids")).alias("edges"), clean(listed("evidence_ids")).alias("evidence"), clean(cited("file")).alias("paths"))
+
+
+def book_selection(plan: DataFrame, state: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the plan with what was chosen for the book, and findings (unit, code) that forbid it.
+
+    ``plan`` (unit, position, route, plan_state, prerequisites), ``state`` the same columns and attempts (array of
+    attempt_id, execution_state), ``chosen`` (unit, attempt).
+    """
+    shared = ["position", "route", "plan_state", "prerequisites"]
+    bound = state.select("unit", F.struct(*shared).alias("_state"), "attempts")
+    picked = chosen.select("unit", F.col("attempt").alias("_attempt"))
+    rows = plan.join(bound, "unit", "left").join(picked, "unit", "left")
+    taken = F.filter("attempts", lambda a: a["attempt_id"] == F.col("_attempt"))
+    open_route = (F.col("plan_state") == "PLANNED") & F.col("route").isin("D2A_GENERAL_LEARNING", "PHASE6A_PROJECT_CLAIM")
+    code = (
+        F.when(~F.struct(*shared).eqNullSafe(F.col("_state")), "STATE_BINDING_INVALID")
+        .when(F.col("_attempt").isNull(), None)
+        .when(~open_route, "UNIT_NOT_SELECTABLE")
+        .when(F.coalesce(F.size(taken), F.lit(0)) != 1, "ATTEMPT_NOT_AVAILABLE")
+        .when(F.get(taken, 0)["execution_state"] != "REVIEWED_DRAFT", "ATTEMPT_NOT_REVIEWED")
+    )
+    answer = F.when(F.col("_attempt").isNull(), "NOT_SELECTED").when(F.col("route") == "D2A_GENERAL_LEARNING", "INCLUDED").otherwise("NOT_SUPPLIED")
+    lines = rows.select("unit", "position", F.when(F.col("_attempt").isNull(), "NOT_SELECTED").otherwise("SELECTED").alias("selection"), F.col("_attempt").alias("attempt"), answer.alias("answer"))
+    own = rows.select("unit", code.alias("code")).filter("code IS NOT NULL")
+    unknown = chosen.join(plan.select("unit"), "unit", "left_anti").select("unit", F.lit("UNIT_NOT_IN_PLAN").alias("code"))
+    wanted = plan.join(picked, "unit", "left_semi").select("unit", F.explode("prerequisites").alias("_need"))
+    missing = wanted.join(chosen.select(F.col("unit").alias("_need")), "_need", "left_anti").select("unit", F.lit("PREREQUISITE_NOT_SELECTED").alias("code")).distinct()
+    return lines, own.unionByName(unknown).unionByName(missing)
+
+
+def is_next_page(path: Column, root: Column) -> Column:
+    """Pages by their place below a package: ``app/**/page.*`` or ``pages/**`` without the API and names that begin with a mark."""
+    own = F.when(root == "", path).when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
+    suffix = r"\.(js|jsx|ts|tsx)$"
+    app = own.rlike(r"^(src/)?app/(.*/)?page" + suffix)
+    pages = own.rlike(r"(?i)^(src/)?pages/.*" + suffix) & ~own.rlike(r"^(src/)?pages/api(/|\.[^./]*$)") & ~own.rlike(r"(^|/)_[^/]*$")
+    return F.coalesce(app | pages, F.lit(False))
+
+
+def next_pages(files: DataFrame, declaring: DataFrame) -> DataFrame:
+    """(path, package): pages whose nearest package.json declares ``next``.
+
+    ``files`` (path), ``declaring`` (path: package.json files that do). The nearest one decides, whether it does or not.
+    """
+    from fathomline.functions.paths import ancestors
+
+    manifests = files.filter(F.col("path").rlike(r"(^|/)package\.json$")).select(F.regexp_replace("path", r"/?package\.json$", "").alias("package"), F.col("path").alias("_manifest")).distinct()
+    above = files.select("path", F.explode(ancestors(F.col("path"))).alias("package")).join(manifests, "package")
+    nearest = above.groupBy("path").agg(F.max_by(F.struct("package", "_manifest"), F.length("package")).alias("_m")).select("path", "_m.*")
+    return nearest.join(declaring.select(F.col("path").alias("_manifest")), "_manifest", "left_semi").filter(is_next_page(F.col("path"), F.col("package"))).select("path", "package")
+
+
+def families(files: DataFrame) -> DataFrame:
+    """(family, files) of classified files that a parser is there for: python, java, and frontend ones by surface; others are outside.
+
+    ``files`` (path, surface, secondary: array).
+    """
+    name = F.lower(F.regexp_extract("path", r"[^/.][^/]*(\.[^./]+)$", 1))
+    web = name.isin(".js", ".jsx", ".ts", ".tsx") & ((F.col("surface") == "frontend") | F.array_contains("secondary", "frontend"))
+    family = F.when(name == ".py", "python").when(name == ".java", "java").when(web, "frontend").otherwise("outside")
+    return files.groupBy(family.alias("family")).agg(F.count_distinct("path").alias("files"))

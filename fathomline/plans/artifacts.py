@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import code
 from fathomline.functions.ids import canonical_tuple, concept_label
-from fathomline.operators import contracts, extraction, lines, markdown, project, workflow
+from fathomline.operators import classify, contracts, extraction, lines, markdown, project, workflow
+from fathomline.plans.inventory import CASES_SQL, sample_files
 from fathomline.plans.registry import query, table
 from fathomline.sources import artifacts, manifests
 
@@ -285,3 +286,73 @@ def upgraded_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempt = F.when(F.col("p_partkey") % 3 == 0, "attempt-0001").when(F.col("p_partkey") % 3 == 1, "attempt-0002")
     own = workflow.upgraded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), F.col("p_brand").alias("state"), attempt.alias("attempt_id")))
     return own.select("unit", F.size("attempts").alias("attempts"), F.try_element_at("attempts", F.lit(1)).getField("execution_state").alias("execution_state"), "finding")
+
+
+@query("""
+SELECT l_orderkey AS claim, array_to_string(list_sort(list_distinct(list_concat(list('N' || l_partkey % 50), coalesce(list('N' || l_suppkey % 60) FILTER (l_linenumber % 2 = 0), [])))), ',') AS nodes,
+  coalesce(array_to_string(list_sort(list_distinct(list('f' || l_suppkey % 60) FILTER (l_linenumber % 2 = 1))), ','), '') AS paths FROM lineitem GROUP BY l_orderkey""")
+def claim_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of claims with cited symbols among the nodes and cited files among the paths."""
+    odd = F.col("l_linenumber") % 2 == 1
+    cited = F.struct(F.when(odd, "file").otherwise("symbol").alias("kind"), F.concat(F.when(odd, "f").otherwise("N"), F.col("l_suppkey") % 60).alias("value"))
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_list(F.concat(F.lit("N"), F.col("l_partkey") % 50)).alias("node_ids"), F.collect_list(cited).alias("citations"))
+    done = project.claim_references(own.withColumn("edge_ids", F.lit(None).cast("array<string>")).withColumn("evidence_ids", F.lit(None).cast("array<string>")))
+    return done.select("claim", F.array_join("nodes", ",").alias("nodes"), F.array_join("paths", ",").alias("paths"))
+
+
+def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    route = F.when(k % 3 == 0, "PHASE6A_PROJECT_CLAIM").when(k % 3 == 1, "D2A_GENERAL_LEARNING").otherwise("UPSTREAM_REQUIRED")
+    part = table(spark, sf_dir, "part")
+    plan = part.select(k.alias("unit"), k.alias("position"), route.alias("route"), F.when(k % 4 == 0, "BLOCKED").otherwise("PLANNED").alias("plan_state"), F.when(k > 1, F.array(F.expr("p_partkey div 2"))).otherwise(F.array().cast("array<bigint>")).alias("prerequisites"))
+    attempts = F.array(F.struct(F.lit("attempt-0001").alias("attempt_id"), F.when(F.col("unit") % 2 == 0, "BLOCKED_REVIEW").otherwise("REVIEWED_DRAFT").alias("execution_state")))
+    state = plan.withColumn("position", F.col("position") + (F.col("unit") % 29 == 0).cast("int")).withColumn("attempts", attempts)
+    chosen = part.filter("p_partkey % 5 = 0 OR p_partkey % 7 = 1").select(F.when(k % 211 == 0, -k).otherwise(k).alias("unit"), F.when(k % 10 == 5, "attempt-0002").otherwise("attempt-0001").alias("attempt"))
+    return project.book_selection(plan, state, chosen)
+
+
+_BOOK = """p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'PHASE6A_PROJECT_CLAIM' WHEN 1 THEN 'D2A_GENERAL_LEARNING' ELSE 'UPSTREAM_REQUIRED' END AS route FROM part),
+c AS (SELECT CASE WHEN p_partkey % 211 = 0 THEN -p_partkey ELSE p_partkey END AS k, CASE WHEN p_partkey % 10 = 5 THEN 'attempt-0002' ELSE 'attempt-0001' END AS attempt FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 1)"""
+
+
+@query(f"""
+WITH {_BOOK} SELECT p.k AS unit, p.k AS position, CASE WHEN attempt IS NULL THEN 'NOT_SELECTED' ELSE 'SELECTED' END AS selection, attempt, CASE WHEN attempt IS NULL THEN 'NOT_SELECTED' WHEN route = 'D2A_GENERAL_LEARNING' THEN 'INCLUDED' ELSE 'NOT_SUPPLIED' END AS answer FROM p LEFT JOIN c USING (k)""")
+def book_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All units of a plan with the attempts chosen for the book."""
+    return _book(spark, sf_dir)[0]
+
+
+@query(f"""
+WITH {_BOOK}, f AS (SELECT k AS unit, CASE WHEN k % 29 = 0 THEN 'STATE_BINDING_INVALID' WHEN attempt IS NULL THEN NULL WHEN k % 4 = 0 OR route = 'UPSTREAM_REQUIRED' THEN 'UNIT_NOT_SELECTABLE' WHEN attempt <> 'attempt-0001' THEN 'ATTEMPT_NOT_AVAILABLE' WHEN k % 2 = 0 THEN 'ATTEMPT_NOT_REVIEWED' END AS code FROM p LEFT JOIN c USING (k))
+SELECT * FROM f WHERE code IS NOT NULL UNION ALL SELECT k, 'UNIT_NOT_IN_PLAN' FROM c WHERE k < 0
+UNION ALL SELECT k, 'PREREQUISITE_NOT_SELECTED' FROM c WHERE k > 1 AND k // 2 NOT IN (SELECT k FROM c)""")
+def book_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forbids a selection: state against plan, routes, attempts, prerequisites."""
+    return _book(spark, sf_dir)[1]
+
+
+#: Path below a document's own folder, and whether it is a page of the package there; written by hand.
+PAGES = [
+    ("app/page.tsx", True), ("app/shop/[id]/page.js", True), ("src/app/page.mts", False), ("src/app/x/page.ts", True), ("app/page.test.tsx", False), ("app/Page.tsx", False), ("lib/app/page.tsx", False), ("pages/index.jsx", True), ("src/pages/a/b.ts", True), ("pages/api/x.ts", False), ("pages/api.ts", False),
+    ("pages/_app.tsx", False), ("pages/apiary.ts", True), ("pages/readme.md", False), ("sub/pages/x.ts", True), ("package.json", False), ("sub/package.json", False),
+]
+
+
+@query(f"""
+SELECT doc_id || '/' || path AS path, CASE WHEN path LIKE 'sub/%' THEN doc_id || '/sub' ELSE CAST(doc_id AS VARCHAR) END AS package FROM documents, (VALUES {", ".join(f"('{p}', {y})" for p, y in PAGES)}) AS v(path, page)
+WHERE page AND CASE WHEN path LIKE 'sub/%' THEN doc_id % 2 = 0 ELSE doc_id % 3 = 0 END""")
+def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose nearest package manifest declares the framework; a package below decides for itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    files = docs.select("doc_id", F.explode(F.array(*(F.lit(p) for p, _ in PAGES))).alias("p")).select("doc_id", "p", F.concat_ws("/", "doc_id", "p").alias("path"))
+    declaring = files.filter("(p = 'package.json' AND doc_id % 3 = 0) OR (p = 'sub/package.json' AND doc_id % 2 = 0)")
+    return project.next_pages(files.select("path"), declaring.select("path"))
+
+
+@query(f"""
+SELECT CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.java' THEN 'java' WHEN regexp_matches(path, '\\.(js|jsx|ts|tsx)$') AND (surface = 'frontend' OR list_contains(string_split(secondary, ','), 'frontend')) THEN 'frontend' ELSE 'outside' END AS family, count(*) AS files
+FROM (SELECT doc_id || '/' || path AS path, surface, secondary FROM ({CASES_SQL})) GROUP BY 1""")
+def parser_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the parser that is there for them."""
+    own = classify.classified(sample_files(spark, sf_dir)).withColumn("path", F.concat_ws("/", "doc_id", "path"))
+    return project.families(own)

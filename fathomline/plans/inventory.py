@@ -80,9 +80,9 @@ def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_CASES_SQL = f"""
+CASES_SQL = f"""
   SELECT doc_id, c.* EXCLUDE (spot) FROM documents JOIN (VALUES {", ".join(f"({i}, {_quoted(c)})" for i, c in enumerate(CASES))}) AS c(spot, path, rule_id, surface, classification, secondary, media, kind) ON spot = doc_id % {len(CASES)}"""
-_PATHS_SQL = f"SELECT doc_id, path, string_split(path, '/')[1:-2] AS dirs FROM ({_CASES_SQL})"
+_PATHS_SQL = f"SELECT doc_id, path, string_split(path, '/')[1:-2] AS dirs FROM ({CASES_SQL})"
 
 
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.element_at(listed, (F.col("doc_id") % len(CASES) + 1).cast("int")).alias("path"))
 
 
-@query(f"SELECT doc_id, path, rule_id, surface, classification, secondary, CASE WHEN classification IN ('CLASSIFIED', 'UNKNOWN') THEN 'LOCATED' ELSE 'NOT_APPLICABLE' END AS teaching FROM ({_CASES_SQL})")
+@query(f"SELECT doc_id, path, rule_id, surface, classification, secondary, CASE WHEN classification IN ('CLASSIFIED', 'UNKNOWN') THEN 'LOCATED' ELSE 'NOT_APPLICABLE' END AS teaching FROM ({CASES_SQL})")
 def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rules over file paths: first match, classification, other surfaces and teaching status."""
     done = classify.classified(sample_files(spark, sf_dir)).withColumn("secondary", F.array_join("secondary", ","))
@@ -100,7 +100,7 @@ def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT rule_id, surface, secondary, count(*) AS files, count(*) FILTER (classification = 'UNKNOWN') AS unknown FROM (
   SELECT CASE WHEN doc_id % 5 = 0 THEN 'override:exact-path' ELSE rule_id END AS rule_id, CASE WHEN doc_id % 5 = 0 THEN 'tooling' ELSE surface END AS surface,
-    CASE WHEN doc_id % 5 = 0 THEN '' ELSE secondary END AS secondary, CASE WHEN doc_id % 5 = 0 THEN 'CLASSIFIED' ELSE classification END AS classification FROM ({_CASES_SQL})) GROUP BY ALL""")
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE secondary END AS secondary, CASE WHEN doc_id % 5 = 0 THEN 'CLASSIFIED' ELSE classification END AS classification FROM ({CASES_SQL})) GROUP BY ALL""")
 def classify_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exact-path override wins over all rules and leaves no other surface."""
     files = sample_files(spark, sf_dir)
@@ -128,7 +128,7 @@ def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.override_findings(given, tracked)
 
 
-@query(f"SELECT media, kind, count(*) AS files FROM ({_CASES_SQL}) GROUP BY media, kind")
+@query(f"SELECT media, kind, count(*) AS files FROM ({CASES_SQL}) GROUP BY media, kind")
 def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media type by name and extension, and the content kind that follows."""
     media = sample_files(spark, sf_dir).select(classify.media_type(F.col("path")).alias("media"))

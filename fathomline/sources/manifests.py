@@ -18,7 +18,7 @@ def _named(files: DataFrame, pattern: str) -> DataFrame:
 
 def requirements(files: DataFrame) -> DataFrame:
     """Packages of requirement files; comments, options and blank lines are skipped."""
-    lines = _named(files, r"(^|/)requirements[^/]*\.txt$").select("path", F.explode(F.split("text", "\r?\n")).alias("line"))
+    lines = _named(files, r"(^|/)requirements([-_][a-z0-9_.-]+)?\.txt$").select("path", F.explode(F.split("text", "\r?\n")).alias("line"))
     wanted = lines.withColumn("line", F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""))).filter("line <> '' and not startswith(line, '-')")
     name = F.lower(F.regexp_extract("line", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1))
     return wanted.select("path", F.lit("requirements").alias("section"), name.alias("name"), F.regexp_extract("line", r"==\s*([^\s;]+)", 1).alias("version")).filter("name <> ''")
@@ -67,7 +67,7 @@ def pyproject(files: DataFrame) -> DataFrame:
 
 def is_manifest(path: Column) -> Column:
     """Files that the facts below come from."""
-    return F.lower(F.element_at(F.split(path, "/"), -1)).rlike(r"^(pyproject\.toml|pom\.xml|package\.json|package-lock\.json|requirements[^/]*\.txt)$")
+    return F.lower(F.element_at(F.split(path, "/"), -1)).rlike(r"^(pyproject\.toml|pom\.xml|package\.json|package-lock\.json|requirements([-_][a-z0-9_.-]+)?\.txt)$")
 
 
 def languages(files: DataFrame) -> DataFrame:
