@@ -1,10 +1,11 @@
-"""Substring deduplication by hashing lines and sentences.
+"""Substring deduplication by hashing paragraphs, lines and sentences.
 
-A unit is a line or a sentence of one: lower-cased, white space collapsed, at least ``MIN_WORDS`` words. So a repeated
-line of short sentences goes as a whole, and a long sentence goes from a line that is otherwise new. Units are grouped
-by a 128-bit digest over the whole corpus. The occurrence in the document with the smallest doc_id, at the smallest
-offset there, stays; all others are removed, with the code-point offsets of the original text and the keeper's doc_id
-on record. A sentence that goes with its line is not recorded on its own.
+A unit is a paragraph of several lines, a run of short lines, a line, or a sentence of one: lower-cased, white space
+collapsed, of at least ``MIN_WORDS`` words or ``MIN_UNSPACED`` characters of scripts that set no spaces. So a repeated line
+of short sentences goes as a whole, as does a verse or list of short lines, and a long sentence goes from a line that is
+otherwise new. Units are grouped by a 128-bit digest over the whole corpus. The occurrence in the document with the
+smallest doc_id, at the smallest offset there, stays; all others are removed, with the code-point offsets of the original
+text and the keeper's doc_id on record. A unit that goes with a longer one is not recorded on its own.
 
 The group-by is a partial minimum, so a line that every document has costs a row for each map task; only digests that
 more than one document has are joined back, which adaptive execution can split by skew.
@@ -21,27 +22,57 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import private, ranges, written
 
-MIN_WORDS = 6
+#: Shorter units are never compared (1 compares all).
+MIN_WORDS, MIN_UNSPACED = 6, 24
 #: A line without the white space around it.
 LINE = re.compile(r"\S(?:[^\n]*\S)?")
-#: White space between the sentences of a line.
-BORDER = re.compile(r"(?<=[.!?。！？])\s+")
+#: What stands between paragraphs: a line of white space alone.
+BLANK = re.compile(r"\n[^\S\n]*\n\s*")
+#: What stands between the sentences of a line; marks of unspaced scripts need no white space.
+BORDER = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])(?=[^\s。！？])")
+#: Characters of scripts without spaces: Thai to Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 UNITS = "doc_id bigint, body bigint, digest binary, begin int, end int, local boolean"
 NO_ID = (1 << 63) - 1
 
 
+def _normal(text: str, min_words: int) -> str | None:
+    """The normalised unit, or null if it is too short."""
+    words = text.lower().split()
+    if len(words) >= min_words or not text.isascii() and len(UNSPACED.findall(text)) >= MIN_UNSPACED:
+        return " ".join(words)
+    return None
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, begin, end) of the units of a text in order, a line before its sentences (if it has several)."""
+    """(digest, begin, end) of the units of a text by begin, longer ones first; none has the span of another."""
     import xxhash
 
-    for line in LINE.finditer(text):
-        begin, stop = line.span()
-        borders = [m.span() for m in BORDER.finditer(text, begin, stop)]
-        sentences = list(zip([begin, *(b for _, b in borders)], [*(a for a, _ in borders), stop], strict=True))
-        for lo, hi in [(begin, stop), *sentences] if borders else sentences:
-            words = text[lo:hi].lower().split()
-            if len(words) >= min_words:
-                yield xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), lo, hi
+    def found(lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
+        unit = _normal(text[lo:hi], min_words)
+        if unit is not None:
+            yield xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")), lo, hi
+
+    blanks = [m.span() for m in BLANK.finditer(text)]
+    for start, stop in zip([0, *(b for _, b in blanks)], [*(a for a, _ in blanks), len(text)], strict=True):
+        lines = [m.span() for m in LINE.finditer(text, start, stop)]
+        if len(lines) > 1:
+            yield from found(lines[0][0], lines[-1][1])
+        short = [_normal(text[a:b], min_words) is None for a, b in lines]
+        for k, (begin, end) in enumerate(lines):
+            if short[k]:
+                if k == 0 or not short[k - 1]:  # a run of short lines begins
+                    last = k
+                    while last + 1 < len(lines) and short[last + 1]:
+                        last += 1
+                    if k < last and last - k + 1 < len(lines):
+                        yield from found(begin, lines[last][1])
+                continue
+            yield from found(begin, end)
+            borders = [m.span() for m in BORDER.finditer(text, begin, end)]
+            if borders:
+                for lo, hi in zip([begin, *(b for _, b in borders)], [*(a for a, _ in borders), end], strict=True):
+                    yield from found(lo, hi)
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -274,22 +274,38 @@ def test_repetition(docs, none):
 
 
 def brute_units(text):
-    """(normalised unit, begin, end), lines before their sentences."""
-    out, base = [], 0
+    """(normalised unit, begin, end) of paragraphs, runs of short lines, lines and sentences, by begin, longer ones first."""
+    def enough(a, b):
+        return len(text[a:b].split()) >= substring.MIN_WORDS or sum("\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in text[a:b]) >= substring.MIN_UNSPACED
+
+    paragraphs, base = [[]], 0
     for line in text.split("\n"):
-        parts, at = [], 0
-        for m in re.finditer(r"(?<=[.!?。！？])\s+|$", line):
-            parts.append((base + at, base + m.start()))
-            at = m.end()
-        parts = [(base, base + len(line)), *parts]
-        here = []
-        for a, b in parts:
-            unit = " ".join(text[a:b].lower().split())
-            if len(unit.split()) >= substring.MIN_WORDS and unit not in [u for u, _, _ in here[:1]]:
-                here.append((unit, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())))
-        out += here
+        body = line.strip()
+        if body:
+            at = base + len(line) - len(line.lstrip())
+            paragraphs[-1].append((at, at + len(body)))
+        elif paragraphs[-1]:
+            paragraphs.append([])
         base += len(line) + 1
-    return out
+    spans = set()
+    for lines in filter(None, paragraphs):
+        spans.add((lines[0][0], lines[-1][1]))
+        run = []
+        for a, b in [*lines, (0, 0)]:
+            if a < b and not enough(a, b):
+                run.append((a, b))
+                continue
+            if run:
+                spans.add((run[0][0], run[-1][1]))
+            run = []
+            if a < b:
+                spans.add((a, b))
+                at = a
+                for m in re.finditer(r"[.!?。！？](\s+)|[。！？](?=[^\s。！？])", text[a:b]):
+                    spans.add((at, a + m.start() + 1))
+                    at = a + m.end()
+                spans.add((at, b))
+    return [(" ".join(text[a:b].lower().split()), a, b) for a, b in sorted(spans, key=lambda s: (s[0], -s[1])) if enough(a, b)]
 
 
 def brute_removed(doc_id, text, first):
@@ -319,6 +335,11 @@ def test_substring(spark, docs, none):
     short = "One two. Three four five. Six seven. Eight."
     spans = {r.doc_id: [(s.begin, s.end, s.kept_in) for s in r.removed_spans] for r in substring.dedup(spark.createDataFrame([(1, f"{short}\nown words"), (2, f"a\n  {short} \nb"), (3, short + " And more.")], "doc_id long, text string")).collect()}
     assert spans == {1: [], 2: [(4, 4 + len(short), 1)], 3: []}
+    verse = "\n".join("Rose is a rose number".split())
+    thai, han = "ก" * 40, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏。"
+    rows_of = [(1, f"intro words\n\n{verse}\n more\n\nend"), (2, f"{verse}\n more"), (3, f"A line of six words or more.\n{verse}\nAnother line of six words, or more."), (4, thai), (5, f"x {thai}\n{thai}"), (6, han + han), (7, f"开头。{han}结尾。")]
+    spans = {r.doc_id: [r.text[:0] + dict(rows_of)[r.doc_id][s.begin : s.end] for s in r.removed_spans] for r in substring.dedup(spark.createDataFrame(rows_of, "doc_id long, text string")).collect()}
+    assert spans == {1: [], 2: [f"{verse}\n more"], 3: [], 4: [], 5: [thai], 6: [han], 7: [han]}
     assert substring.dedup(none).count() == 0 and substring.dedup(none).columns == [*none.columns, "removed_spans"]
     assert substring.dedup(docs).count() == len(rows())
 
