@@ -608,6 +608,40 @@ def test_classifiers_on_held_out_rows(spark):
         assert {r.predicted for r in module.score(docs, one).collect()} == {1}
 
 
+def naive_line(line, seen):
+    """The features of one line by itself, counted byte by byte."""
+    raw = line.encode()
+    count = lambda members: sum(b in members for b in raw)
+    upper, lower = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz")
+    solid, letters, words = max(1, len(raw) - count(b" \t\r\x0b\x0c")), max(1, upper + lower), raw.split()
+    mark, shout = count(b"#*$%&|<>") / solid, count(b"!?") / solid
+    shares = [upper / letters, mark, count(b"|") / solid, shout, count(b".,;:") / solid, count(b"0123456789") / solid, sum(b > 127 for b in raw) / solid]
+    return [*shares, mark**0.5, shout**0.5, len(set(words)) / len(words) if words else 1.0, min(solid / max(1, len(words)), 20) / 10, np.log1p(len(words)) / 4, not words, bool(line) and line in seen]
+
+
+def test_quality_scores_equal_enumeration(spark):
+    from itertools import product
+
+    docs, table, _ = labelled(spark)
+    model = quality.train(docs, table)
+    texts = ["One line, that is all.", "Two lines:\n*** HERE!! ***", "a\n\na\nB4 | é\n", "", "x" * 400 + "\nshort"]
+    got = model.scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        lines = text.split("\n")
+        own = [naive_line(x, lines[:i]) for i, x in enumerate(lines)]
+        none = [0.0] * len(own[0])
+        features = np.array([[*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), i == 0, i == len(own) - 1, 1.0] for i in range(len(own))], float)
+        unary = (features - model.mean) / model.scale @ model.weights
+        good, total = np.zeros(len(own)), 0.0
+        for labels in product((0, 1), repeat=len(own)):
+            weight = np.exp(sum(u * y for u, y in zip(unary, labels, strict=True)) + sum(model.trans[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+            good += weight * np.array(labels)
+            total += weight
+        sizes = np.array([len(x.encode()) for x in lines]) + 1e-3
+        share = np.clip((good / total * sizes).sum() / sizes.sum(), 1e-6, 1 - 1e-6)
+        assert abs(score - 1 / (1 + np.exp(-(model.curve[0] * np.log(share / (1 - share)) + model.curve[1])))) < 1e-6
+
+
 def test_classifiers_on_long_and_repeated_texts(spark):
     docs, table, labels = labelled(spark)
     some = "A wretchling spoke of vermin at length. " + LONG
