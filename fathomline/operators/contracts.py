@@ -6,6 +6,9 @@ maxItems, minLength, maxLength, pattern, minimum, maximum. Documents are VARIANT
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,72 +35,79 @@ def check_schema(schema, path: str = "$") -> None:
             check_schema(child, f"{path}.{name}")
 
 
+def _no_finding() -> Column:
+    return F.array().cast(_NONE)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value and its kind, each computed once, whatever the number of places that use it."""
+    bound = F.array(F.struct(value.alias("v"), F.schema_of_variant(value).alias("k")))
+    return F.get(F.transform(bound, lambda x: body(x["v"], x["k"])), 0)
+
+
 def _finding(bad: Column, path: Column, code: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(code).alias("code")))).otherwise(F.array().cast(_NONE))
 
 
-def _is(value: Column, kinds: list[str]) -> Column:
-    kind = F.schema_of_variant(value)
-    out = F.lit(False)
-    for name in kinds:
-        for begin in TYPES[name]:
-            out = out | kind.startswith(begin)
-    return out
+def _is(kind: Column, names: list[str]) -> Column:
+    """Whether the kind of a value is one of these types."""
+    begins = [b for n in names for b in TYPES[n]]
+    return F.coalesce(kind.rlike("^(" + "|".join(begins) + ")"), F.lit(False))
 
 
-def _equals(value: Column, wanted) -> Column:
+def _equals(value: Column, kind: Column, wanted) -> Column:
     kinds = {bool: ("boolean", "boolean"), int: ("integer", "bigint"), float: ("number", "double"), str: ("string", "string")}
     if wanted is None:
-        return _is(value, ["null"])
-    name, kind = kinds[type(wanted)]
-    return _is(value, [name]) & (F.try_variant_get(value, "$", kind) == F.lit(wanted))
+        return _is(kind, ["null"])
+    name, sql = kinds[type(wanted)]
+    return _is(kind, [name]) & (F.try_variant_get(value, "$", sql) == F.lit(wanted))
 
 
-def _tests(value: Column, schema: dict, path: Column) -> Column:
+def _tests(value: Column, kind: Column, schema: dict, path: Column) -> Column:
     """Findings of one value that is there; what fails by constant, list or type is not looked into."""
     listed = [schema["const"]] if "const" in schema else schema.get("enum")
     declared = schema.get("type")
     kinds = [declared] if isinstance(declared, str) else declared
-    fits = F.lit(True)
-    if listed is not None:
-        same = F.lit(False)
-        for x in listed:
-            same = same | F.coalesce(_equals(value, x), F.lit(False))
-        fits = fits & same
-    right = _is(value, kinds) if kinds else F.lit(True)
-    first = F.when(~fits, F.array(F.struct(path.alias("path"), F.lit("VALUE_NOT_LISTED").alias("code")))).when(~right, F.array(F.struct(path.alias("path"), F.lit("TYPE").alias("code")))).otherwise(F.array().cast(_NONE))
+    one = lambda code: F.array(F.struct(path.alias("path"), F.lit(code).alias("code")))
     deeper = []
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    of_text, of_number = _is(value, ["string"]), _is(value, ["number"])
-    for word, bad in (("minLength", lambda n: of_text & (F.length(text) < n)), ("maxLength", lambda n: of_text & (F.length(text) > n)), ("pattern", lambda p: of_text & ~text.rlike(p)), ("minimum", lambda n: of_number & (number < n)), ("maximum", lambda n: of_number & (number > n))):
+    for word, of, bad in (("minLength", "string", lambda n: F.length(text) < n), ("maxLength", "string", lambda n: F.length(text) > n), ("pattern", "string", lambda p: ~text.rlike(p)), ("minimum", "number", lambda n: number < n), ("maximum", "number", lambda n: number > n)):
         if word in schema:
-            deeper.append(_finding(bad(schema[word]), path, word.upper()))
-    known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
+            deeper.append(_finding(_is(kind, [of]) & bad(schema[word]), path, word.upper()))
+    known, extra, required = schema.get("properties", {}), schema.get("additionalProperties", True), schema.get("required", [])
     child = lambda name: F.try_variant_get(value, f"$['{name}']", "variant")
-    deeper += [_finding(_is(value, ["object"]) & child(name).isNull(), F.concat(path, F.lit(f".{name}")), "REQUIRED") for name in schema.get("required", [])]
-    deeper += [F.when(child(name).isNotNull(), _tests(child(name), sub, F.concat(path, F.lit(f".{name}")))).otherwise(F.array().cast(_NONE)) for name, sub in known.items()]
+    for name in {**dict.fromkeys(required), **known}:
+        at, sub = F.concat(path, F.lit(f".{name}")), known.get(name)
+        missing = _is(kind, ["object"]) if name in required else F.lit(False)
+        deeper.append(_let(child(name), lambda v, k, at=at, sub=sub, missing=missing: F.when(v.isNull(), _finding(missing, at, "REQUIRED")).otherwise(_no_finding() if sub is None else _tests(v, k, sub, at))))
     if extra is not True:
-        members = F.coalesce(F.map_entries(F.when(_is(value, ["object"]), F.try_variant_get(value, "$", "map<string, variant>"))), F.array().cast("array<struct<key: string, value: variant>>"))
+        members = F.coalesce(F.map_entries(F.when(_is(kind, ["object"]), F.try_variant_get(value, "$", "map<string, variant>"))), F.array().cast("array<struct<key: string, value: variant>>"))
         others = F.filter(members, lambda m: ~m["key"].isin(*known)) if known else members
         at = lambda m: F.concat(path, F.lit("."), m["key"])
-        deeper.append(F.transform(others, lambda m: F.struct(at(m).alias("path"), F.lit("UNEXPECTED").alias("code"))) if extra is False else F.flatten(F.transform(others, lambda m: _tests(m["value"], extra, at(m)))))
+        deeper.append(F.transform(others, lambda m: F.struct(at(m).alias("path"), F.lit("UNEXPECTED").alias("code"))) if extra is False else F.flatten(F.transform(others, lambda m: _let(m["value"], lambda v, k: _tests(v, k, extra, at(m))))))
     if {"items", "minItems", "maxItems"} & schema.keys():
-        members = F.when(_is(value, ["array"]), F.try_variant_get(value, "$", "array<variant>"))
+        members = F.when(_is(kind, ["array"]), F.try_variant_get(value, "$", "array<variant>"))
         if "minItems" in schema:
             deeper.append(_finding(F.size(members) < schema["minItems"], path, "MINITEMS"))
         if "maxItems" in schema:
             deeper.append(_finding(F.size(members) > schema["maxItems"], path, "MAXITEMS"))
         if schema.get("items"):
-            each = F.transform(members, lambda x, i: _tests(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-            deeper.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
-    return F.when(F.size(first) > 0, first).otherwise(F.concat(*deeper)) if deeper else first
+            each = F.transform(members, lambda x, i: _let(x, lambda v, k: _tests(v, k, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+            deeper.append(F.coalesce(F.flatten(each), _no_finding()))
+    out = F.concat(*deeper) if len(deeper) > 1 else deeper[0] if deeper else _no_finding()
+    if kinds:
+        out = F.when(_is(kind, kinds), out).otherwise(one("TYPE"))
+    if listed is not None:
+        same = reduce(or_, (F.coalesce(_equals(value, kind, x), F.lit(False)) for x in listed))
+        out = F.when(same, out).otherwise(one("VALUE_NOT_LISTED"))
+    return out
 
 
 def findings(rows: DataFrame, key: str, document: str, schema: dict) -> DataFrame:
     """(key, path, code): what each document violates. A null document (no JSON, or a repeated key) is one finding, JSON."""
     check_schema(schema)
     value = F.col(document)
-    own = F.when(value.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("JSON").alias("code")))).otherwise(_tests(value, schema, F.lit("$")))
+    own = F.when(value.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("JSON").alias("code")))).otherwise(_let(value, lambda v, k: _tests(v, k, schema, F.lit("$"))))
     return rows.select(key, F.explode(own).alias("_f")).select(key, "_f.path", "_f.code")
 
 

@@ -1,12 +1,13 @@
 """Graph operators over edge tables (src, dst): containment, closure, levels, cycles and propagation.
 
-Iterations write what is new in each round through ``DataFrame.checkpoint`` into the folder that ``spark.checkpoint.dir``
-names, join it to the edges, and carry only counts to the driver. Only ``closure`` makes all pairs; reachability
+Iterations write what is new in each round as a table into the folder that ``spark.checkpoint.dir`` names, join it to the
+edges, and carry only counts to the driver. Only ``closure`` makes all pairs; reachability
 questions walk a frontier instead, whose rounds follow the longest way walked and whose rows are nodes.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,19 @@ from pyspark.sql import functions as F
 from fathomline.functions.ids import stable_id
 from fathomline.functions.storage import shared_root
 
-#: Rounds after which the frames of a walk are written as one.
+#: Rounds after which the tables of a walk are written as one.
 COMPACT = 32
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: computed once, and its lineage ends there."""
+    path = f"{shared_root(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    """One frame of all; a long list becomes one checkpoint, so that plans stay short."""
+    """One frame of all; a long list becomes one table, so that plans stay short."""
     if len(frames) > COMPACT:
         frames[:] = [_kept(reduce(DataFrame.unionByName, frames))]
     return reduce(DataFrame.unionByName, frames)
