@@ -77,9 +77,10 @@ def has_cjk(text: Column) -> Column:
 
 
 def version_at_least(version: Column, least: str) -> Column:
-    """Compare dotted numbers part by part (``2.10`` is above ``2.9``)."""
+    """Compare dotted numbers part by part (``2.10`` is above ``2.9``); null where a part is no number."""
     want = F.array(*(F.lit(int(x)) for x in least.split(".")))
-    return F.transform(F.split(version, r"\."), lambda x: x.cast("int")) >= want
+    parts = F.transform(F.split(version, r"\."), lambda x: F.when(x.rlike(r"^\d+$"), x.try_cast("int")))
+    return F.when(F.forall(parts, lambda x: x.isNotNull()), parts >= want)
 
 
 def slug(heading: Column) -> Column:

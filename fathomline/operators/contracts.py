@@ -6,6 +6,7 @@ maxItems, minLength, maxLength, pattern, minimum, maximum. Documents are VARIANT
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 KEYWORDS = {"type", "const", "enum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum"}
 ANNOTATIONS = {"$schema", "$id", "title", "description"}
-#: JSON types, and how the kind of a parsed value begins.
-TYPES = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "null": ("VOID",)}
+#: JSON types, and how the kind of a parsed value begins. Integers of 19 to 38 digits are decimals without a fraction; longer ones are read as doubles.
+TYPES = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "integer": ("BIGINT", r"DECIMAL\((19|2\d|3\d),0\)"), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "null": ("VOID",)}
 _NONE = "array<struct<path: string, code: string>>"
 
 
@@ -56,9 +57,13 @@ def _is(kind: Column, names: list[str]) -> Column:
 
 
 def _equals(value: Column, kind: Column, wanted) -> Column:
-    kinds = {bool: ("boolean", "boolean"), int: ("integer", "bigint"), float: ("number", "double"), str: ("string", "string")}
+    kinds = {bool: ("boolean", "boolean"), int: ("integer", "decimal(38,0)"), float: ("number", "double"), str: ("string", "string")}
     if wanted is None:
         return _is(kind, ["null"])
+    if isinstance(wanted, (list, dict)):  # the parser puts an object's keys in order, so equal values have equal texts
+        return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+    if isinstance(wanted, int) and not isinstance(wanted, bool):
+        return _is(kind, ["integer"]) & (F.try_variant_get(value, "$", "decimal(38,0)") == F.lit(str(wanted)).cast("decimal(38,0)"))
     name, sql = kinds[type(wanted)]
     return _is(kind, [name]) & (F.try_variant_get(value, "$", sql) == F.lit(wanted))
 
@@ -71,7 +76,11 @@ def _tests(value: Column, kind: Column, schema: dict, path: Column) -> Column:
     one = lambda code: F.array(F.struct(path.alias("path"), F.lit(code).alias("code")))
     deeper = []
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    for word, of, bad in (("minLength", "string", lambda n: F.length(text) < n), ("maxLength", "string", lambda n: F.length(text) > n), ("pattern", "string", lambda p: ~text.rlike(p)), ("minimum", "number", lambda n: number < n), ("maximum", "number", lambda n: number > n)):
+    exact, whole = F.try_variant_get(value, "$", "decimal(38,0)"), _is(kind, ["integer"])
+    bound = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    below = lambda n: F.when(whole, exact < bound(n)).otherwise(number < float(n)) if isinstance(n, int) else number < n
+    above = lambda n: F.when(whole, exact > bound(n)).otherwise(number > float(n)) if isinstance(n, int) else number > n
+    for word, of, bad in (("minLength", "string", lambda n: F.length(text) < n), ("maxLength", "string", lambda n: F.length(text) > n), ("pattern", "string", lambda p: ~text.rlike(p)), ("minimum", "number", lambda n: below(n)), ("maximum", "number", lambda n: above(n))):
         if word in schema:
             deeper.append(_finding(_is(kind, [of]) & bad(schema[word]), path, word.upper()))
     known, extra, required = schema.get("properties", {}), schema.get("additionalProperties", True), schema.get("required", [])
@@ -112,13 +121,23 @@ def findings(rows: DataFrame, key: str, document: str, schema: dict) -> DataFram
 
 
 def artifact_findings(rows: DataFrame, key: str, document: str, registry: dict[tuple[str, str], dict]) -> DataFrame:
-    """As ``findings``, each document by the schema of its artifact_kind and schema_version; a pair without one is KIND."""
+    """As ``findings``, each document by the schema of its artifact_kind and schema_version.
+
+    A version that is not of three numbers is VERSION, one of a major number that no schema has MAJOR, and another pair
+    without a schema KIND.
+    """
     named = rows.withColumn("_kind", F.try_variant_get(document, "$.artifact_kind", "string")).withColumn("_version", F.try_variant_get(document, "$.schema_version", "string"))
     which = [(F.coalesce((F.col("_kind") == k) & (F.col("_version") == v), F.lit(False)), schema) for (k, v), schema in registry.items()]
     none = F.lit(True)
     for match, _ in which:
         none = none & ~match
-    out = named.filter(none).select(key, F.when(F.col(document).isNull(), "$").otherwise("$.artifact_kind").alias("path"), F.when(F.col(document).isNull(), "JSON").otherwise("KIND").alias("code"))
+    version = F.coalesce("_version", F.lit(""))
+    code = (
+        F.when(F.col(document).isNull(), "JSON").when(~version.rlike(r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)$"), "VERSION")
+        .when(~F.substring_index(version, ".", 1).isin(*{v.split(".")[0] for _, v in registry}), "MAJOR").otherwise("KIND")
+    )
+    at = F.when(code == "JSON", "$").when(code == "KIND", "$.artifact_kind").otherwise("$.schema_version")
+    out = named.filter(none).select(key, at.alias("path"), code.alias("code"))
     for match, schema in which:
         out = out.unionByName(findings(named.filter(match), key, document, schema))
     return out

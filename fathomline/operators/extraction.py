@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Files over these sizes are skipped with a code; fixed values.
@@ -111,70 +111,58 @@ def planned(lines: DataFrame, plan: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("hits") == 1, "OK").when(F.col("hits") == 0, "ANCHOR_MISSING").otherwise("ANCHOR_AMBIGUOUS"))
 
 
-EDITS = ("append_section", "ensure_line", "insert_before_anchor", "replace_anchor_line", "update_line")
-EDITED = "text string, changed boolean, conflict string"
-
-
-def _edit(text: str, edit: dict) -> tuple[str, str | None]:
-    """The text after one edit, and the code of a conflict (the text is then as it was)."""
-    op, block = edit["op"], edit["block"] or ""
-    if edit["marker"] and edit["marker"] in text and op != "update_line":
-        return text, None
-    if op == "append_section":
-        return text + "\n" * (not text.endswith("\n")) + block.rstrip("\n") + "\n", None
-    rows = text.split("\n")
-    if op == "ensure_line":
-        wanted = block.strip()
-        return (text if wanted in map(str.strip, rows) else text.rstrip("\n") + "\n" + block.strip("\n") + "\n"), None
-    places = [i for i, row in enumerate(rows) if edit["anchor"] in row]
-    if len(places) != 1:
-        return text, "ANCHOR_MISSING" if not places else "ANCHOR_AMBIGUOUS"
-    at, expected = places[0], edit["expected"]
-    if op == "insert_before_anchor":
-        rows[at:at] = block.rstrip("\n").split("\n")
-    elif op == "replace_anchor_line":
-        if expected and expected not in rows[at]:
-            return text, "ANCHOR_CHANGED"
-        rows[at] = block.rstrip("\n")
-    elif op == "update_line":
-        line = block.strip("\n")
-        if rows[at].strip() == line.strip():
-            return text, None
-        if rows[at].strip() != (expected or "").strip():
-            return text, "ANCHOR_CHANGED"
-        rows[at] = line
-        if sum(edit["anchor"] in row for row in rows) != 1:
-            return text, "ANCHOR_LOST"
-    else:
-        return text, "EDIT_UNKNOWN"
-    return "\n".join(rows), None
+#: What an edit does: adds at the end, adds unless it is there, or acts on the one line that holds its anchor.
+ADDING, ANCHORED = ("append_section", "ensure_line"), ("insert_before_anchor", "replace_anchor_line", "update_line")
+_STATE = "struct<text: string, code: string>"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _after(state: Column, edit: Column, there: Column) -> Column:
+    """The state (text, code of the first conflict) after one edit, as an expression over the array of the text's lines."""
+    text, op, block, wanted = state["text"], edit["op"], F.coalesce(edit["block"], F.lit("")), F.coalesce(edit["expected"], F.lit(""))
+    rows = F.split(text, "\n", -1)
+    holding = lambda lines: F.size(F.filter(lines, lambda row: F.contains(row, edit["anchor"])))
+    at = F.array_position(F.transform(rows, lambda row: F.contains(row, edit["anchor"])), True)
+    line, anchored, update = F.get(rows, (at - 1).cast("int")), op.isin(*ANCHORED), op == "update_line"
+    put = F.split(F.when(update, F.regexp_replace(block, r"^\n+|\n+$", "")).otherwise(F.regexp_replace(block, r"\n+$", "")), "\n", -1)
+    taken = F.when(op == "insert_before_anchor", 0).otherwise(1)
+    spliced = F.concat(F.slice(rows, F.lit(1), at - 1), put, F.slice(rows, at + taken, F.size(rows)))
+    same = F.when(update, _stripped(line) == _stripped(block)).otherwise(F.contains(text, edit["marker"]))
+    idle = F.coalesce(same, F.lit(False)) & (update | (edit["marker"] != "")) | (op == "ensure_line") & F.exists(rows, lambda row: _stripped(row) == _stripped(block))
+    code = (
+        F.when(~there & (op != "append_section"), "TEXT_MISSING").when(~op.isin(*ADDING, *ANCHORED), "EDIT_UNKNOWN")
+        .when(~update & idle, None)
+        .when(anchored & (holding(rows) == 0), "ANCHOR_MISSING").when(anchored & (holding(rows) > 1), "ANCHOR_AMBIGUOUS")
+        .when((op == "replace_anchor_line") & ~F.contains(line, wanted), "ANCHOR_CHANGED")
+        .when(update & ~idle & (_stripped(line) != _stripped(wanted)), "ANCHOR_CHANGED")
+        .when(update & ~idle & (holding(spliced) != 1), "ANCHOR_LOST")
+    )
+    ended = F.concat(F.when(op == "ensure_line", F.regexp_replace(text, r"\n+$", "")).when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text), F.lit("\n"))
+    added = F.concat(ended, F.regexp_replace(block, F.when(op == "ensure_line", r"^\n+|\n+$").otherwise(r"\n+$"), F.lit("")), F.lit("\n"))
+    done = F.when(idle, text).when(anchored, F.array_join(spliced, "\n")).otherwise(added)
+    after = F.transform(F.array(code), lambda c: F.struct(F.when(c.isNull(), done).otherwise(text).alias("text"), c.alias("code")))
+    return F.when(state["code"].isNotNull(), state).otherwise(F.get(after, 0)).cast(_STATE)
 
 
 def edited(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """(doc, text, changed, conflict): each text after its edits, in order, each on the result of the one before.
 
     ``docs`` (doc, text), ``edits`` (doc, number, op, anchor, block, expected, marker). A text with a conflict stays as it
-    was, with the first conflict's code; edits of a text that is not there may only append a section to it. An edit whose
-    marker the text has is done already.
+    was, with the first conflict's code. A text that is null or has no row takes appended sections alone, whatever came
+    before. An edit whose marker the text has is done already; an update is done when the line is as it should be. The
+    edits are a fold over the lines of each text, so all runs in the JVM.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def run(texts, lists):
-        out = []
-        for text, todo in zip(texts, lists, strict=True):
-            now, conflict = text or "", None
-            for edit in todo if todo is not None else ():
-                now, conflict = (now, "TEXT_MISSING") if text is None and not now and edit["op"] != "append_section" else _edit(now, edit)
-                if conflict:
-                    break
-            out.append((text, False, conflict) if conflict else (now if todo is not None else text, todo is not None and now != (text or ""), None))
-        return pd.DataFrame(out, columns=["text", "changed", "conflict"])
-
-    run.__annotations__ = {"texts": pd.Series, "lists": pd.Series, "return": pd.DataFrame}
     order = F.array_sort(F.collect_list(F.struct("number", "op", "anchor", "block", "expected", "marker")))
     todo = edits.groupBy("doc").agg(order.alias("_edits"))
-    return docs.join(todo, "doc", "full_outer").withColumn("_done", pandas_udf(run, EDITED)("text", "_edits")).select("doc", "_done.*")
+    rows = docs.join(todo, "doc", "full_outer")
+    text = F.coalesce("text", F.lit(""))
+    first = F.struct(text.alias("text"), F.lit(None).cast("string").alias("code")).cast(_STATE)
+    rows = rows.withColumn("_done", F.when(F.col("_edits").isNotNull(), F.aggregate("_edits", first, lambda state, edit: _after(state, edit, F.col("text").isNotNull()))))
+    changed = F.col("_done.code").isNull() & F.coalesce(F.col("_done.text") != text, F.lit(False))
+    return rows.select("doc", F.when(changed, F.col("_done.text")).otherwise(F.col("text")).alias("text"), changed.alias("changed"), F.col("_done.code").alias("conflict"))
 
 
 def prose_findings(lines: DataFrame, fences: DataFrame, key: str, names: DataFrame) -> DataFrame:
@@ -188,13 +176,31 @@ def prose_findings(lines: DataFrame, fences: DataFrame, key: str, names: DataFra
     return found.join(names.select("name").distinct(), "name", "left_anti").select(key, "line_no", "name")
 
 
+#: Words that declare the name behind them.
+DECLARING = ["class", "def", "enum", "interface", "record"]
+
+
 def call_sites(lines: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """(key, line_no, name, kind) of lines that have a name: DECLARATION, USE (made, assigned or called) or MENTION.
+    """(key, line_no, name, kind) of lines that have a name: DECLARATION, USE or MENTION.
 
-    Lines are split into identifiers and meet the names by an equi-join.
+    A line is read as tokens, identifiers and single marks; a name is told by the tokens around it. It is declared behind
+    a word that declares, and used when made by ``new``, called, followed by a variable that is assigned, or in a line that
+    calls something of an object. Names meet the lines by an equi-join. Null lines have none.
     """
-    words = lines.select(key, "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
-    met = words.join(names.select("name").distinct(), "name")
-    declared = F.expr(r"regexp_like(line, concat('\\b(class|interface|record|enum)\\s+', name, '\\b')) OR regexp_like(line, concat('^\\s*def\\s+', name, '\\b'))")
-    used = F.expr(r"regexp_like(line, concat('\\b', name, '\\s+\\w+\\s*=[^;]*$')) OR contains(line, concat('new ', name)) OR regexp_like(line, '\\.\\w+\\s*[(]') OR regexp_like(line, concat('^[\\w.]*', name, '\\s*[(]'))")
-    return met.select(key, "line_no", "name", F.when(declared, "DECLARATION").when(used, "USE").otherwise("MENTION").alias("kind"))
+    tokens = F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*|[^\s\w]"), F.lit(0))
+    own = lines.select(key, "line_no", tokens.alias("tokens"))
+    at = lambda i, d: F.coalesce(F.get("tokens", (i + d).cast("int")), F.lit(""))
+    word = lambda t: t.rlike(r"^\w")
+    places = F.sequence(F.lit(0), F.size("tokens") - 1)
+    calls = F.exists(places, lambda i: (at(i, 0) == ".") & word(at(i, 1)) & (at(i, 2) == "("))
+    own = own.filter("size(tokens) > 0").withColumn("calls", calls)
+    told = F.transform(
+        F.filter(places, lambda i: word(at(i, 0))),
+        lambda i: F.struct(
+            at(i, 0).alias("name"), at(i, -1).isin(*DECLARING).alias("declared"),
+            ((at(i, -1) == "new") | (at(i, 1) == "(") | word(at(i, 1)) & (at(i, 2) == "=") & (at(i, 3) != "=")).alias("used"),
+        ),
+    )
+    met = own.select(key, "line_no", "calls", F.explode(told).alias("t")).select(key, "line_no", "calls", "t.*").join(names.select("name").distinct(), "name")
+    found = met.groupBy(key, "line_no", "name").agg(F.max("declared").alias("declared"), F.max(F.col("used") | F.col("calls")).alias("used"))
+    return found.select(key, "line_no", "name", F.when(F.col("declared"), "DECLARATION").when(F.col("used"), "USE").otherwise("MENTION").alias("kind"))

@@ -47,23 +47,25 @@ def contract_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT doc_id, doc_id % 5 AS kind FROM documents)
-SELECT doc_id || '/requirements-dev.txt' AS path, 'requirements' AS section, 'pkg' || doc_id AS name, '1.' || doc_id AS version FROM f WHERE kind = 0
-UNION ALL SELECT doc_id || '/requirements-dev.txt', 'requirements', 'other', '' FROM f WHERE kind = 0
-UNION ALL SELECT doc_id || '/package.json', s, n || doc_id, '^' || doc_id FROM f, (VALUES ('dependencies', 'a'), ('peerDependencies', 'b')) v(s, n) WHERE kind = 1
+SELECT doc_id || '/Requirements-Dev.TXT' AS path, 'requirements' AS section, 'pkg' || doc_id AS name, '1.' || doc_id AS version FROM f WHERE kind = 0
+UNION ALL SELECT doc_id || '/Requirements-Dev.TXT', 'requirements', 'other', '' FROM f WHERE kind = 0
+UNION ALL SELECT doc_id || '/package.json', s, n || doc_id, '^' || doc_id FROM f, (VALUES ('dependencies', 'a'), ('peerDependencies', 'b')) v(s, n) WHERE kind = 1 AND doc_id % 3 > 0
+UNION ALL SELECT doc_id || '/package.json', 'MALFORMED', '', '' FROM f WHERE kind = 1 AND doc_id % 3 = 0
 UNION ALL SELECT doc_id || '/pyproject.toml', s, n, x FROM f, LATERAL (SELECT 'dependencies' AS s, 'flask' AS n, CAST(doc_id AS VARCHAR) AS x UNION ALL SELECT 'build', 'hatchling', '') v WHERE kind = 2
-UNION ALL SELECT doc_id || '/pom.xml', 'dependencies', 'g' || doc_id || ':a', '' FROM f WHERE kind = 3
+UNION ALL SELECT doc_id || '/pom.xml', CASE doc_id % 4 WHEN 0 THEN 'MALFORMED' WHEN 1 THEN 'MALFORMED' ELSE 'dependencies' END, CASE WHEN doc_id % 4 > 1 THEN 'h' || doc_id || ':b' ELSE '' END, CASE WHEN doc_id % 4 > 1 THEN '1.' || doc_id ELSE '' END FROM f WHERE kind = 3
 UNION ALL SELECT doc_id || '/package-lock.json', s, n, x FROM f, LATERAL (SELECT 'lock' AS s, 'left' AS n, '2.' || doc_id AS x WHERE doc_id % 2 = 0 UNION ALL SELECT 'lock', '@s/deep', '' WHERE doc_id % 2 = 0 UNION ALL SELECT 'MALFORMED', '', '' WHERE doc_id % 2 = 1) v WHERE kind = 4""")
 def manifest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages of requirement files, package.json, pyproject, Maven and npm lock files, one of a kind for each document."""
+    """Packages of requirement files, package.json, pyproject, Maven and npm lock files, one of a kind for each document, some of them broken."""
     i = F.col("doc_id").cast("string")
     fill = lambda text: F.replace(F.lit(text), F.lit("#ID#"), i)
     kinds = [
-        ("requirements-dev.txt", "# a comment\npkg#ID#==1.#ID#  # pinned\n-r base.txt\n\nOther>=2\n"), ("package.json", '{"dependencies": {"a#ID#": "^#ID#"}, "peerDependencies": {"b#ID#": "^#ID#"}}'),
-        ("pyproject.toml", '[project]\ndependencies = ["Flask==#ID#"]\n[build-system]\nrequires = ["hatchling"]\n'), ("pom.xml", '<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies><dependency><groupId>g#ID#</groupId><artifactId>a</artifactId></dependency></dependencies></project>'),
+        ("Requirements-Dev.TXT", "# a comment\npkg#ID#==1.#ID#  # pinned\n-r base.txt\n\nOther>=2\n"), ("package.json", '{"dependencies": {"a#ID#": "^#ID#"}, "peerDependencies": {"b#ID#": "^#ID#"}}'),
+        ("pyproject.toml", '[project]\ndependencies = ["Flask==#ID#"]\n[build-system]\nrequires = ["hatchling"]\n'), ("pom.xml", '<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies><dependency><groupId>g#ID#</groupId></dependency><dependency><groupId>h#ID#</groupId><artifactId> b </artifactId><version>1.#ID#</version></dependency></dependencies></project>'),
     ]
     lock = F.when(F.col("doc_id") % 2 == 0, fill('{"lockfileVersion": 3, "packages": {"": {"name": "own"}, "node_modules/left": {"version": "2.#ID#"}, "node_modules/a/node_modules/@s/deep": {}}}')).otherwise(F.lit('{"lockfileVersion": 9}'))
     pick = lambda cells, last: F.element_at(F.array(*cells, last), (F.col("doc_id") % 5 + 1).cast("int"))
-    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", i, pick([F.lit(n) for n, _ in kinds], F.lit("package-lock.json"))).alias("path"), pick([fill(t) for _, t in kinds], lock).alias("text"))
+    broken = F.when((F.col("doc_id") % 5 == 1) & (F.col("doc_id") % 3 == 0), "[1]").when((F.col("doc_id") % 5 == 3) & (F.col("doc_id") % 4 == 0), "<!DocType p><project/>").when((F.col("doc_id") % 5 == 3) & (F.col("doc_id") % 4 == 1), "<project><dependencies>")
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", i, pick([F.lit(n) for n, _ in kinds], F.lit("package-lock.json"))).alias("path"), F.coalesce(broken, pick([fill(t) for _, t in kinds], lock)).alias("text"))
     return manifests.stack(files).unionByName(manifests.package_lock(files))
 
 
@@ -157,20 +159,23 @@ def _rows(*cells: str) -> str:
 
 
 @query(f"""
-SELECT doc_id AS doc, CASE doc_id % 7 WHEN 0 THEN {_rows("'a'", "own", "'c'", "'new'", "''")} WHEN 2 THEN {_rows("'a'", "'top'", "own", "'c'")} WHEN 3 THEN {_rows("'a'", "'B' || doc_id", "'c'")} WHEN 4 THEN {_rows("'a'", "own || ' done'", "'c'")}
-  WHEN 6 THEN {_rows("'a'", "own", "'c'", "'x'", "'y'", "''")} ELSE {_rows("'a'", "own", "'c'")} END AS text, doc_id % 7 NOT IN (1, 5) AS changed, CASE WHEN doc_id % 7 = 5 THEN 'ANCHOR_MISSING' END AS conflict FROM (SELECT doc_id, 'b' || doc_id AS own FROM documents)""")
+WITH d AS (SELECT doc_id, '§b' || doc_id AS own, coalesce(text, '') AS text FROM documents), e AS (SELECT *, {_rows("'a'", "own", "text")} AS body FROM d), f AS (SELECT *, body || CASE WHEN right(body, 1) = chr(10) THEN '' ELSE chr(10) END AS ended FROM e)
+SELECT doc_id AS doc, CASE doc_id % 7 WHEN 0 THEN ended || 'new' || chr(10) WHEN 2 THEN {_rows("'a'", "'top'", "own", "text")} WHEN 3 THEN {_rows("'a'", "'B' || doc_id", "text")} WHEN 4 THEN {_rows("'a'", "own || ' done'", "text")}
+  WHEN 6 THEN ended || {_rows("'x'", "'y'", "''")} ELSE body END AS text, doc_id % 7 NOT IN (1, 5) AS changed, CASE WHEN doc_id % 7 = 5 THEN 'ANCHOR_MISSING' END AS conflict FROM f
+UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 2 = 0 THEN {_rows("''", "'new'", "''")} END, doc_id % 2 = 0, CASE WHEN doc_id % 2 = 1 THEN 'TEXT_MISSING' END FROM d""")
 def anchored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of texts in order: sections and lines added, lines put before an anchor, replaced or repaired, and a conflict."""
+    """Edits of documents in order: sections and lines added, lines put before an anchor, replaced or repaired, a conflict; and of texts that are not there."""
     i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select(i.alias("doc"), F.concat(F.lit("a\nb"), i, F.lit("\nc")).alias("text"))
-    own = F.concat(F.lit("b"), i)
-    edit = lambda n, number, op, anchor, block, expected=None, marker=None: F.when(i % 7 == n, F.struct(F.lit(number).alias("number"), F.lit(op).alias("op"), anchor.alias("anchor"), block.alias("block"), (F.lit(None).cast("string") if expected is None else expected).alias("expected"), F.lit(marker).cast("string").alias("marker")))
-    nothing, text = F.lit(None).cast("string"), F.lit
+    own = F.concat(F.lit("§b"), i)
+    docs = table(spark, sf_dir, "documents").select(i.alias("doc"), F.concat_ws("\n", F.lit("a"), own, F.coalesce("text", F.lit(""))).alias("text"))
+    edit = lambda when, number, op, anchor, block, expected=None, marker=None, doc=i: F.when(when, F.struct(doc.alias("doc"), F.lit(number).alias("number"), F.lit(op).alias("op"), anchor.alias("anchor"), block.alias("block"), (F.lit(None).cast("string") if expected is None else expected).alias("expected"), F.lit(marker).cast("string").alias("marker")))
+    nothing, text, of = F.lit(None).cast("string"), F.lit, lambda n: i % 7 == n
     todo = [
-        edit(0, 1, "append_section", nothing, text("new\n\n")), edit(1, 1, "ensure_line", nothing, text(" a ")), edit(2, 1, "insert_before_anchor", own, text("top")), edit(3, 1, "replace_anchor_line", own, F.concat(F.lit("B"), i), text("b")),
-        edit(4, 1, "update_line", own, F.concat(own, F.lit(" done")), own), edit(5, 1, "append_section", nothing, text("lost")), edit(5, 2, "insert_before_anchor", text("zzz"), text("x")), edit(6, 2, "ensure_line", nothing, text("y")), edit(6, 1, "append_section", nothing, text("x")), edit(6, 3, "append_section", nothing, text("y"), None, "x\ny"),
+        edit(of(0), 1, "append_section", nothing, text("new\n\n")), edit(of(1), 1, "ensure_line", nothing, text(" a ")), edit(of(2), 1, "insert_before_anchor", own, text("top")), edit(of(3), 1, "replace_anchor_line", own, F.concat(F.lit("B"), i), text("b")),
+        edit(of(4), 1, "update_line", own, F.concat(own, F.lit(" done")), own), edit(of(5), 1, "append_section", nothing, text("lost")), edit(of(5), 2, "insert_before_anchor", text("§zzz"), text("x")), edit(of(6), 2, "ensure_line", nothing, text("y")), edit(of(6), 1, "append_section", nothing, text("x")), edit(of(6), 3, "append_section", nothing, text("y"), None, "x\ny"),
+        edit(i >= 0, 1, "append_section", nothing, text("new"), doc=-1 - i), edit(i % 2 == 1, 2, "ensure_line", nothing, text("q"), doc=-1 - i),
     ]
-    edits = table(spark, sf_dir, "documents").select(i.alias("doc"), F.explode(F.filter(F.array(*todo), lambda e: e.isNotNull())).alias("e")).select("doc", "e.*")
+    edits = table(spark, sf_dir, "documents").select(F.explode(F.filter(F.array(*todo), lambda e: e.isNotNull())).alias("e")).select("e.*")
     return extraction.edited(docs, edits)
 
 
@@ -183,14 +188,23 @@ def section_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.overlay(docs.select("doc", "section", F.concat(F.lit("base "), "source").alias("body")), parts)
 
 
-@query("""
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, 'Name' || (doc_id % 50) AS name, kind FROM documents, LATERAL (SELECT 1 AS line_no, 'DECLARATION' AS kind UNION ALL SELECT 2, 'USE' UNION ALL SELECT 3, 'USE' UNION ALL SELECT 4, 'MENTION') v WHERE doc_id % 50 < 30""")
+_WORD = "[A-Za-z_][0-9A-Za-z_]*"
+
+
+@query(f"""
+WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORD}')) AS name FROM benchmark UNION SELECT unnest(['track', 't', 'margin', 'script'])),
+l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages),
+t AS (SELECT page_id, line_no, regexp_extract_all(line, '{_WORD}|[^\\t\\n\\x0b\\f\\r 0-9A-Za-z_]') AS w FROM l),
+p AS (SELECT page_id, line_no, w, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM t),
+c AS (SELECT page_id, line_no, bool_or(name = '.' AND regexp_matches(coalesce(w[i + 1], ''), '^[0-9A-Za-z_]') AND coalesce(w[i + 2], '') = '(') AS calls FROM p GROUP BY ALL),
+m AS (SELECT page_id, line_no, name, bool_or(i > 1 AND w[i - 1] IN ('class', 'def', 'enum', 'interface', 'record')) AS declared,
+      bool_or(i > 1 AND w[i - 1] = 'new' OR coalesce(w[i + 1], '') = '(' OR regexp_matches(coalesce(w[i + 1], ''), '^[0-9A-Za-z_]') AND coalesce(w[i + 2], '') = '=' AND coalesce(w[i + 3], '') <> '=') AS used FROM p SEMI JOIN names USING (name) GROUP BY ALL)
+SELECT page_id, line_no, name, CASE WHEN declared THEN 'DECLARATION' WHEN used OR calls THEN 'USE' ELSE 'MENTION' END AS kind FROM m JOIN c USING (page_id, line_no)""")
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that declare, use or mention one of a set of names."""
-    name = F.concat(F.lit("Name"), F.col("doc_id") % 50)
-    text = F.concat(F.lit("public class "), name, F.lit(" {\n  "), name, F.lit(" x = make()\n  return new "), name, F.lit("(1);\n// see "), name, F.lit(" above\nNameless")).alias("text")
-    rows = lines.exploded(table(spark, sf_dir, "documents").select("doc_id", text), "doc_id", "text")
-    return extraction.call_sites(rows, "doc_id", spark.range(30).select(F.concat(F.lit("Name"), "id").alias("name")))
+    """Lines of pages that declare, use or mention one of the benchmark's words or of some names of scripts."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("name"))
+    names = words.union(words.sparkSession.createDataFrame([("track",), ("t",), ("margin",), ("script",)], "name string"))
+    return extraction.call_sites(lines.exploded(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html"), "page_id", names)
 
 
 @query("""

