@@ -8,16 +8,18 @@ and B with |A n B| >= t |A u B| leave at most ``spare(|A|)`` grams of A outside
 * under any total order of grams, the first ``spare + 1`` of A and of B share a gram. Three orders are used: by document
   frequency, by its magnitude, and by hash alone, each with grams of one class first and ties broken by another hash.
 
-Classes that share a gram of their first prefixes form a group. A group is never paired out: in each round a few of its
-members (one in the first round, then ``PIVOTS``, then eight times as many each time) are compared with all others that are not
-linked to them already, and leave it; the group ends when all its members have one root. So a group of thousands of near
-copies, of which a pivot links most, costs a few rows a member. A pair goes on only if its second and third prefixes
-share a gram too, and is then verified on the whole sets.
-
-What no member of another root has is a class's own. Own grams are counted anew in each round, among the groups left:
-classes with more than ``spare`` go, and as partners together have few, only classes with half of that become pivots. So
-thousands of texts that share a long passage, each with some words of its own, are not compared with each other. Only
-texts made of the same passages throughout and yet unlike are: they cost a comparison for each two.
+Classes that share a gram of their first prefixes form a group. A group is never paired out: in the first round all are
+compared with one of its members, and in each further round a few of them (``PIVOTS``, then eight times as many each time)
+become pivots, are compared with all members of their groups that are not linked to them already, and are done. So a group of thousands of near copies, of
+which a pivot links most, costs a few rows a member. From the
+second round on a pair is made once by the heads of its prefixes, and not if more comes before the place where the two
+meet than they may differ in; it goes on only if its second and third prefixes share a gram too, and is then verified on the whole sets.
+
+What no class of another root has is a class's own. Each round counts own grams and makes the first prefixes anew, among
+the classes left: those with more of their own than ``spare`` go, the others' prefixes have fewer grams that form groups,
+and as partners together have few of their own, only classes with half of that become pivots. So thousands of texts that
+share a long passage, each with some words of its own, are not compared with each other. Only texts made of the same
+passages throughout and yet unlike are: they cost a comparison for each two.
 
 Hashes decide: two different grams of one pair of texts have the same 64 bits with a chance of 2^-64, as have two sets.
 """
@@ -36,7 +38,9 @@ from fathomline.llm.common import ranges, written
 from fathomline.llm.simhash import components
 
 #: The first round has one pivot in each group, the second so many.
-PIVOTS = 32
+PIVOTS = 8
+#: Of two classes that share one of their first so many keys, the pair is made on the first such key alone.
+HEAD = 6
 #: One gram of so many (a power of two) is in the sample.
 SAMPLE = 4
 #: Bytes of text that are hashed at once, and the longest word in the table of byte values.
@@ -194,13 +198,25 @@ def verified(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: i
     return both.filter(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
 
 
-def with_own(members: DataFrame, whole: DataFrame) -> DataFrame:
-    """``members`` with ``own``: how many grams of the class no member of another root has."""
-    classes = written(members.select("class", "root").distinct())
-    grams = whole.join(classes, "class").select("class", "root", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
-    hits = grams.join(common, "gram").groupBy("class").agg(F.count("*").alias("hits"))
-    return members.join(hits, "class", "left").withColumn("own", F.col("n") - F.coalesce("hits", F.lit(0))).drop("hits")
+def _groups(classes: DataFrame) -> DataFrame:
+    """A row for each key of ``classes`` (class, n, root, own, keys in their order), with the first ``HEAD`` keys of the class.
+
+    ``ahead`` is how many grams of the class come before the key: those of its own and earlier keys.
+    """
+    return classes.select("class", "n", "root", "own", F.slice("keys", 1, HEAD).alias("head"), F.posexplode("keys").alias("place", "key")).withColumn("ahead", F.col("own") + F.col("place"))
+
+
+def keyed(classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(class, n, root, own, keys): the first prefixes anew, for the classes (class, n, root) alone.
+
+    Grams of one root come first, then rare ones; a class has ``own`` of the former, and the other ones in its prefix are keys.
+    """
+    classes = written(classes)
+    grams = whole.select("class", "grams").join(classes, "class").select("class", "n", "root", F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low < high").select("gram", "df")
+    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("gram").alias("tie"), "gram")))
+    found = grams.join(common, "gram").groupBy("class", "n", "root").agg(order.alias("shared")).withColumn("own", F.col("n") - F.size("shared"))
+    return found.filter(F.col("own") <= _spare(percent)).select("class", "n", "root", "own", F.slice("shared.gram", F.lit(1), (_spare(percent) + 1 - F.col("own")).cast("int")).alias("keys"))
 
 
 def joined(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -208,31 +224,33 @@ def joined(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     spark = whole.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    members = prefixes.select("class", "n", F.explode("a").alias("key"), F.col("class").alias("root"), "own")
-    most, few = 1, PIVOTS
+    members = _groups(prefixes.select("class", "n", F.col("class").alias("root"), "own", F.col("a").alias("keys")))
+    done, most, few = False, 1, PIVOTS
     rank = F.xxhash64("class")
-    # two partners together have at most (100 - percent) / percent of the smaller size as own grams, so one has half of that at most
-    low, fits = f"{2 * percent} * own <= {100 - percent} * n", f"{percent} * (own + pivot_own) <= {100 - percent} * least(n, pivot_n)"
+    # two partners differ in at most (100 - percent) / percent of the smaller size: so one has half of that at most as own grams,
+    # and no more than that comes before the first key on which they meet
+    low, fits = f"{2 * percent} * own <= {100 - percent} * n", f"{percent} * (%s + pivot_%s) <= {100 - percent} * least(n, pivot_n)"
     while True:
-        members = members.filter(F.col("own") <= _spare(percent))
         keys = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.expr(low)).alias("any")).filter("least < most AND any").select("key")
-        members = written(members.join(keys, "key").select("class", "n", "key", "root", "own"))
+        members = written(members.join(keys, "key").select("class", "n", "key", "root", "own", "ahead", "head"))
         if members.isEmpty():
             return roots
         first = Window.partitionBy("key").orderBy(rank, "class")
-        chosen = members.filter(low).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
-        chosen = written(chosen.select("key", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root"), F.col("own").alias("pivot_own")))
-        meet = members.join(chosen, "key").filter(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n) AND {fits}")
-        pairs = meet.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+        top = members.filter(low).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+        chosen = top.select("class").distinct()
+        pivots = (members.join(chosen, "class", "left_semi") if done else top).select("key", *(F.col(c).alias(f"pivot_{c}") for c in ("class", "n", "root", "own", "ahead", "head")))
+        met_before = F.get(F.array_intersect("head", "pivot_head"), 0) != F.col("key")  # they meet on an earlier key too
+        once = F.coalesce(~met_before, F.lit(True)) & F.expr(fits % ("ahead", "ahead")) if done else F.expr(fits % ("own", "own"))
+        meet = members.join(written(pivots), "key").filter(once & F.expr(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"))
+        pairs = meet.select(F.least("class", "pivot_class").alias("a"), F.greatest("class", "pivot_class").alias("b")).distinct()
         fresh = written(verified(pairs, prefixes, whole, percent))
         if not fresh.isEmpty():
             links = links.union(fresh)
             roots = components(links)
-        rest = members.drop("root", "own").join(chosen.select("key", F.col("pivot").alias("class")), ["key", "class"], "left_anti")
-        rest = rest.join(roots, rest["class"] == roots.node, "left").select("class", "n", "key", F.coalesce("root", "class").alias("root"))
-        several = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-        members = with_own(written(rest.join(several, "key")), whole)
-        most, few = few, 8 * few
+        rest = members.select("class", "n").distinct()
+        rest = rest.join(chosen, "class", "left_anti") if done else rest
+        members = _groups(keyed(rest.join(roots, rest["class"] == roots.node, "left").select("class", "n", F.coalesce("root", "class").alias("root")), whole, percent))
+        done, most, few = True, few, 8 * few
 
 
 def similar(docs: DataFrame, words_each: int = 4, percent: int = 85) -> DataFrame:
