@@ -27,6 +27,19 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_contents(spark: SparkSession, folder: str, pattern: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(file, content) of the files below ``folder``. One that ``manifest`` (file, ...) has and the folder has not is an error.
+
+    Only names are listed for that; files which are not in the manifest are the caller's to leave out.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    if manifest is not None:
+        lost = [r.file for r in manifest.select("file").join(found.select("file"), "file", "left_anti").limit(5).collect()]
+        if lost:
+            raise FileNotFoundError(f"files of the manifest are not in {folder}: {', '.join(lost)}")
+    return found.select("file", "content")
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, made of ``names``."""
     taken, tail = {c.lower() for c in df.columns}, ""

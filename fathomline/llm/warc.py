@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import shared_dir, written
+from fathomline.llm.common import file_contents, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -188,14 +188,17 @@ def read_archives(spark, folder: str, manifest: DataFrame | None = None, payload
     """A row for each record and for each quarantined gap (``gap`` tells the failed check; record columns are null there).
 
     A revisit's payload length is the Content-Length of its HTTP header. A response whose payload does not have the
-    digest it states is a gap as well. ``manifest`` limits the files to those of accepted task attempts.
+    digest it states is a gap as well. ``manifest`` limits the files to those of accepted task attempts: one of them that is
+    not there is an error, and one that is shorter than it was written ends in a gap.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in READ.split(", ")])
         for batch in batches:
-            for name, data in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for name, data, size in zip(*(batch.column(c).to_pylist() for c in ("file", "content", "bytes")), strict=True):
                 rows, held = [], 0
+                if size is not None and len(data) < size:
+                    rows.append({"file": name, "offset": len(data), "length": size - len(data), "gap": "file ends early"})
                 for x in salvage(data):
                     row = {"file": name, "offset": x.offset, "length": x.length} | ({"gap": x.reason} if isinstance(x, Gap) else _columns(x, payloads))
                     rows.append(row)
@@ -205,10 +208,9 @@ def read_archives(spark, folder: str, manifest: DataFrame | None = None, payload
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if manifest is not None:
-        files = files.join(manifest.select("file"), "file", "left_semi")
-    return files.mapInArrow(read, READ)
+    files = file_contents(spark, folder, "*.warc*", manifest)
+    files = files.withColumn("bytes", F.lit(None).cast("long")) if manifest is None else files.join(manifest.select("file", "bytes"), "file")
+    return files.select("file", "content", "bytes").mapInArrow(read, READ)
 
 
 def _columns(x: Record, payloads: bool) -> dict:
