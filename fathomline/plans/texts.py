@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import code
+from fathomline.operators import fidelity as fid
 from fathomline.operators import lines as L
 from fathomline.operators import scorecard
 from fathomline.plans.registry import query, table
@@ -211,3 +212,34 @@ def triage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by class and disposition."""
     kind = F.when(F.col("event_type") == "error", "EVIDENCE").when(F.col("event_type") == "view", "STYLE").otherwise("BEGINNER")
     return table(spark, sf_dir, "events").groupBy(kind.alias("class"), F.when(F.col("value") > 50, "REPAIR").otherwise("NOTE").alias("disposition")).agg(F.count("*").alias("findings"))
+
+
+#: Normalised code lines of the SQL below: notes off, white space collapsed; blank lines and comments are left out.
+_NORM = r"trim(regexp_replace(regexp_replace(line, '[\t\n\x0b\f\r ]*(//|#|--)[\t\n\x0b\f\r ]*:L?[0-9]+(-[0-9]+)?[ \t]*.*$', ''), '[\t\n\x0b\f\r ]+', ' ', 'g'))"
+_PIECES = "unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), 1) AS i"
+
+
+@query(f"""
+WITH q AS (SELECT * FROM (SELECT item_id AS block, i, {_NORM} AS line FROM (SELECT item_id, {_PIECES} FROM benchmark)) WHERE line <> '' AND NOT regexp_matches(line, '^(//|/\\*|\\*|#|--)')),
+o AS (SELECT DISTINCT doc_id AS owner, line FROM (SELECT doc_id, {_NORM} AS line FROM (SELECT doc_id, {_PIECES} FROM documents)) WHERE line <> '' AND NOT regexp_matches(line, '^(//|/\\*|\\*|#|--)')),
+b AS (SELECT block, count(*) AS lines, count(DISTINCT line) AS kinds FROM q GROUP BY block HAVING count(*) >= 2),
+named AS (SELECT block, doc_id AS owner FROM b JOIN documents ON block % 5 = 0 AND doc_id IN (block, block + 1)),
+votes AS (SELECT block, owner, count(*) AS hits FROM (SELECT DISTINCT block, line FROM q) JOIN o USING (line) WHERE block NOT IN (SELECT block FROM named) GROUP BY ALL),
+voted AS (SELECT block, owner FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY hits DESC, owner) AS spot FROM votes JOIN b USING (block) WHERE hits >= ceil(kinds * 0.85 - 1e-9)) WHERE spot = 1),
+pairs AS (SELECT * FROM named UNION ALL SELECT * FROM voted),
+bare AS (SELECT doc_id AS owner, regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]+', '', 'g') AS bare FROM documents),
+forms AS (SELECT block, owner, i, line, unnest(list_distinct([line, CASE WHEN trim(split_part(line, '//', 1)) <> '' THEN trim(split_part(line, '//', 1)) ELSE line END])) AS form FROM q JOIN pairs USING (block)),
+met AS (SELECT f.block, f.owner, f.i, f.line, bool_or(o.line IS NOT NULL OR length(replace(f.form, ' ', '')) >= 8 AND contains(bare, replace(f.form, ' ', ''))) AS known FROM forms f LEFT JOIN o ON o.owner = f.owner AND o.line = f.form JOIN bare ON bare.owner = f.owner GROUP BY ALL),
+lost AS (SELECT block, owner, count(*) FILTER (NOT known) AS lost FROM met GROUP BY ALL),
+best AS (SELECT block, arg_min(owner, struct_pack(l := lost, o := owner)) AS owner, min(lost) AS lost FROM lost GROUP BY block),
+gone AS (SELECT block, count(*) AS n FROM met JOIN best USING (block, owner) WHERE NOT known AND line NOT IN (SELECT line FROM o WHERE owner % 2 = 0) GROUP BY block)
+SELECT b.block, b.lines, owner, lost, CASE WHEN lost IS NOT NULL THEN coalesce(n, 0) END AS snapshot_lost, lost - coalesce(n, 0) AS evolved FROM b LEFT JOIN best USING (block) LEFT JOIN gone USING (block)""")
+def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as blocks of sentences against all documents: the owner, by a named document or by votes, the lost lines, and those that documents of even ids lack too."""
+    split = F.replace("text", F.lit(". "), F.lit(".\n"))
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    sources = docs.select(F.col("doc_id").alias("owner"), F.concat(F.lit("D"), "doc_id").alias("class"), split.alias("text"))
+    named = items.filter("item_id % 5 = 0").select(F.col("item_id").alias("block"), F.explode(F.array("item_id", F.col("item_id") + 1)).alias("id")).select("block", F.concat(F.lit("D"), "id").alias("class"))
+    blocks = L.exploded(items.select(F.col("item_id").alias("block"), split.alias("text")), "block", "text")
+    old = fid.code_lines(L.exploded(sources.filter("owner % 2 = 0").select("owner", "text"), "owner", "text"), "owner").select("line")
+    return fid.fidelity(blocks, named, sources, old, least_lines=2)

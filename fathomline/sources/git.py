@@ -12,7 +12,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -204,3 +204,58 @@ def worktree(spark: SparkSession, root: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, pa.schema([("path", pa.string()), ("mode", pa.string()), ("byte_count", pa.int64()), ("sha256", pa.string()), ("sample", pa.binary()), ("problem", pa.string())]))
 
     return listed.mapInArrow(read, "path string, mode string, byte_count bigint, sha256 string, sample binary, problem string")
+
+
+def revisions(root: str, span: str = "HEAD") -> list[str]:
+    """The commits of a range along first parents, oldest first."""
+    return git(root, "rev-list", "--first-parent", "--reverse", span).decode().split()
+
+
+def history(spark: SparkSession, root: str, commits: list[str]) -> DataFrame:
+    """(path, object_id, mode, since, until): which blob a path has from commit number ``since`` to before ``until`` (null: to the last).
+
+    The first commit is listed in full; of every further one only what ``git diff-tree`` tells against the one before is
+    read, in tasks of their own. A moved file is one path that ends and one that begins.
+    """
+    if not commits:
+        return spark.createDataFrame([], "path string, object_id string, mode string, since bigint, until bigint")
+    first = snapshot(spark, root, commits[0]).filter("object_type = 'blob'").select(F.lit(0).cast("long").alias("since"), "path", "object_id", "mode")
+    steps = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(commits, commits[1:], strict=False), 1)], "since bigint, before string, after string").repartition(min(PARTS, len(commits)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("since", pa.int64()), ("path", pa.string()), ("object_id", pa.string()), ("mode", pa.string())])
+        for batch in batches:
+            for step in batch.to_pylist():
+                fields = iter(git(root, "diff-tree", "-r", "-z", "--no-renames", step["before"], step["after"]).split(b"\0"))
+                rows = []
+                for head in filter(None, fields):
+                    _, mode, _, object_id, status = head.decode().split(" ")
+                    kept = status != "D" and mode != "160000"
+                    rows.append({"since": step["since"], "path": next(fields).decode(), "object_id": object_id if kept else None, "mode": mode if kept else None})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    changes = first.unionByName(steps.mapInArrow(read, "since bigint, path string, object_id string, mode string"))
+    following = F.lead("since").over(Window.partitionBy("path").orderBy("since"))
+    return changes.withColumn("until", following).filter("object_id IS NOT NULL").select("path", "object_id", "mode", "since", "until")
+
+
+def at(told: DataFrame, number: int) -> DataFrame:
+    """The files of commit ``number`` of a history: path, object_id, mode."""
+    return told.filter((F.col("since") <= number) & (F.col("until").isNull() | (F.col("until") > number))).select("path", "object_id", "mode")
+
+
+def snapshot_lines(told: DataFrame, root: str, suffix: str, numbers: list[int] | None = None) -> DataFrame:
+    """(number, line): the different code lines of the files that end in ``suffix``, of the commits ``numbers`` (null: of all, as number null).
+
+    A blob is read once, however many commits and paths have it; bytes that are no UTF-8 become replacement marks.
+    """
+    from fathomline.operators.fidelity import code_lines
+
+    files = told.filter(F.endswith("path", F.lit(suffix)) & F.col("mode").isin("100644", "100755"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    read = blobs(files, root, keep_content=True).filter("content IS NOT NULL").select("object_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = code_lines(read, "object_id").select("object_id", "line").distinct()
+    if numbers is None:
+        return lines.select(F.lit(None).cast("bigint").alias("number"), "line").distinct()
+    wanted = files.select("object_id", "since", "until").join(F.broadcast(told.sparkSession.createDataFrame([(n,) for n in numbers], "number bigint")), F.expr("since <= number AND (until IS NULL OR until > number)"))
+    return wanted.select("number", "object_id").distinct().join(lines, "object_id").select("number", "line").distinct()
