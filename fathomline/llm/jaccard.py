@@ -44,7 +44,7 @@ HEAD = 6
 #: One gram of so many (a power of two) is in the sample.
 SAMPLE = 4
 #: Bytes of text that are hashed at once, and the longest word in the table of byte values.
-PIECE, LONGEST = 4 << 20, 256
+PIECE, LONGEST = 1 << 20, 256
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -211,7 +211,6 @@ def keyed(classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
     Grams of one root come first, then rare ones; a class has ``own`` of the former, and the other ones in its prefix are keys.
     """
-    classes = written(classes)
     grams = whole.select("class", "grams").join(classes, "class").select("class", "n", "root", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low < high").select("gram", "df")
     order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("gram").alias("tie"), "gram")))
@@ -241,7 +240,7 @@ def joined(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
         pivots = (members.join(chosen, "class", "left_semi") if done else top).select("key", *(F.col(c).alias(f"pivot_{c}") for c in ("class", "n", "root", "own", "ahead", "head")))
         met_before = F.get(F.array_intersect("head", "pivot_head"), 0) != F.col("key")  # they meet on an earlier key too
         once = F.coalesce(~met_before, F.lit(True)) & F.expr(fits % ("ahead", "ahead")) if done else F.expr(fits % ("own", "own"))
-        meet = members.join(written(pivots), "key").filter(once & F.expr(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"))
+        meet = members.join(pivots, "key").filter(once & F.expr(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"))
         pairs = meet.select(F.least("class", "pivot_class").alias("a"), F.greatest("class", "pivot_class").alias("b")).distinct()
         fresh = written(verified(pairs, prefixes, whole, percent))
         if not fresh.isEmpty():
