@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
-from fathomline.operators import claims, graph, project
+from fathomline.operators import claims, graph, order, project
 from fathomline.plans.registry import query, table
 
 #: The containment of regions, nations, customers and suppliers as (src, dst) names.
@@ -282,3 +282,14 @@ def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of references that repeat one, and references that stand for nothing."""
     own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.array_sort(F.collect_list(F.concat(F.lit("P"), F.col("o_orderkey") % 30))).alias("refs"))
     return project.reference_findings(own, "node", "refs", spark.range(30).filter("id NOT IN (7, 9)").select(F.concat(F.lit("P"), "id").alias("id")))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS node, l_partkey AS rank FROM lineitem),
+t AS (SELECT *, max(rank * 10000000000 + node) OVER (PARTITION BY k ORDER BY node) AS top FROM l)
+SELECT node, row_number() OVER (ORDER BY top, node) AS position FROM t""")
+def heap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in the order of a heap on their parts, where each line of an order has the one before as its prerequisite."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + place).alias("node"), F.col("l_partkey").alias("rank"), F.lit("").alias("key"), place.alias("place"))
+    return order.heap_order(own.drop("place"), own.filter("place > 1").select((F.col("node") - 1).alias("src"), F.col("node").alias("dst")))
