@@ -1,11 +1,11 @@
-"""Python sources made of the orders' lines: nested functions and classes whose names, calls and parameters follow the columns."""
+"""Python sources made of the orders' lines, nested functions and classes whose names, calls and parameters follow the columns; spans of bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import scopes
+from fathomline.operators import scopes, spans
 from fathomline.plans.registry import query, table
 
 #: Lines of an order as scopes: each is defined in the one before (the first in the module, 0), a class where it was returned,
@@ -36,3 +36,17 @@ def scope_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of nested functions and classes with the definition that each one means, by the rules of lexical scopes."""
     found = scopes.facts(scopes.rows(order_sources(spark, sf_dir))).filter("kind = 'CALL_CANDIDATE'")
     return found.select("path", "source", "target", "unresolved", F.col("line_start").alias("line"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)) AS text FROM documents),
+s AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '(\r\n|\r|\n)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ls FROM t),
+n AS (SELECT doc_id, text, ls, len(ls) AS n, len(ls) // 3 + 1 AS a, len(ls) // 2 + 1 AS b FROM s)
+SELECT doc_id, CAST(n AS BIGINT) AS lines, CASE WHEN b <= n THEN CAST(strlen(array_to_string(ls[1:a - 1], '')) AS BIGINT) END AS begin, CASE WHEN b <= n THEN CAST(strlen(array_to_string(ls[a:b], '')) AS BIGINT) END AS bytes,
+       CASE WHEN b <= n THEN sha256(array_to_string(ls[a:b], '')) END AS sha256 FROM n""")
+def byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, with line ends of three kinds: the number of lines, and the bytes and digest of its middle lines."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\r"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text, "UTF-8").alias("payload")).withColumn("lines", F.size(spans.byte_lines(F.col("payload"))).cast("long"))
+    span = spans.byte_span(F.col("payload"), F.expr("lines div 3 + 1"), F.expr("lines div 2 + 1"))
+    return docs.withColumn("span", span).select("doc_id", "lines", F.col("span.begin").cast("long").alias("begin"), F.octet_length("span.bytes").cast("long").alias("bytes"), F.sha2("span.bytes", 256).alias("sha256"))
