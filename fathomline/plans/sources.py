@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import scopes, spans
+from fathomline.operators import audit, scopes, spans
 from fathomline.plans.registry import query, table
 
 #: Lines of an order as scopes: each is defined in the one before (the first in the module, 0), a class where it was returned,
@@ -50,3 +50,32 @@ def byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text, "UTF-8").alias("payload")).withColumn("lines", F.size(spans.byte_lines(F.col("payload"))).cast("long"))
     span = spans.byte_span(F.col("payload"), F.expr("lines div 3 + 1"), F.expr("lines div 2 + 1"))
     return docs.withColumn("span", span).select("doc_id", "lines", F.col("span.begin").cast("long").alias("begin"), F.octet_length("span.bytes").cast("long").alias("bytes"), F.sha2("span.bytes", 256).alias("sha256"))
+
+
+@query("""
+WITH d AS (SELECT doc_id AS k, CASE WHEN doc_id % 43 = 12 THEN '../' || doc_id ELSE source || '/' || doc_id || '.md' END AS path, doc_id % 11 <> 3 AS covered, doc_id % 29 <> 8 AS indexed FROM documents),
+f AS (SELECT k, path, covered, indexed, indexed AND k % 31 <> 9 AND k % 43 <> 12 AS looked FROM d)
+SELECT code, path FROM (
+  SELECT 'UNSAFE_PATH' AS code, path FROM f WHERE k % 43 = 12 AND (covered OR indexed)
+  UNION ALL SELECT 'PATH_SET_MISMATCH', path FROM f WHERE (covered <> indexed) OR NOT indexed
+  UNION ALL SELECT 'CLASSIFICATION_POLICY_MISMATCH', path FROM f WHERE covered AND k % 23 = 7
+  UNION ALL SELECT 'SURFACE_INVALID', path FROM f WHERE covered AND k % 19 = 6
+  UNION ALL SELECT 'REASON_MISSING', path FROM f WHERE covered AND k % 7 = 2 AND k % 3 = 0
+  UNION ALL SELECT 'UNKNOWN_REMAINS', path FROM f WHERE covered AND k % 7 = 2
+  UNION ALL SELECT 'VCS_OBJECT_MISMATCH', path FROM f WHERE indexed AND k % 31 = 9
+  UNION ALL SELECT 'CONTENT_KIND_MISMATCH', path FROM f WHERE indexed AND k % 37 = 10
+  UNION ALL SELECT 'SNAPSHOT_FILE_MISSING', path FROM f WHERE looked AND k % 41 = 11
+  UNION ALL SELECT 'SNAPSHOT_SIZE_MISMATCH', path FROM f WHERE looked AND k % 41 <> 11 AND k % 17 = 5
+  UNION ALL SELECT 'SNAPSHOT_HASH_MISMATCH', path FROM f WHERE looked AND k % 41 <> 11 AND k % 17 <> 5 AND k % 13 = 4
+  UNION ALL SELECT 'COUNT_MISMATCH', NULL UNION ALL SELECT 'UNKNOWN_COUNT_MISMATCH', NULL UNION ALL SELECT 'REVISION_MISMATCH', NULL)""")
+def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their index and coverage against the listing and the payloads, with defects of every kind."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 43 == 12, F.concat(F.lit("../"), k)).otherwise(F.concat("source", F.lit("/"), k, F.lit(".md"))).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    own = docs.select("doc_id", "path", F.octet_length("payload").cast("long").alias("byte_count"), F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("object_id"))
+    index = own.filter(k % 29 != 8).select("path", F.when(k % 31 == 9, "0").otherwise(F.col("object_id")).alias("object_id"), (F.col("byte_count") + (k % 17 == 5).cast("long")).alias("byte_count"), F.when(k % 13 == 4, "0").otherwise(F.col("sha256")).alias("sha256"), F.lit("text").alias("content_kind"), F.lit(True).alias("tracked"))
+    unknown = k % 7 == 2
+    coverage = own.filter(k % 11 != 3).select("path", F.when(unknown, "UNKNOWN").otherwise("CLASSIFIED").alias("classification"), F.lit("other").alias("surface"), F.when(k % 19 == 6, F.array(F.lit("other"))).otherwise(F.array(F.lit("docs"))).alias("secondary"), F.when(k % 23 == 7, "none").otherwise("rule").alias("rule_id"), F.when(unknown & (k % 3 > 0), "not yet").alias("reason"))
+    truth = own.select("path", F.when(k % 37 == 10, "120000").otherwise("100644").alias("mode"), "object_id")
+    payload = own.select("path", "byte_count", "sha256", F.when(k % 41 == 11, "MISSING").alias("problem"))
+    return audit.coverage_findings(index, coverage, truth, payload, audit.Declared(-1, -1, -1, "a", "b", "a"), ["rule"], ["docs", "other"], complete=True)

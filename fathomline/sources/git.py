@@ -259,3 +259,11 @@ def snapshot_lines(told: DataFrame, root: str, suffix: str, numbers: list[int] |
         return lines.select(F.lit(None).cast("bigint").alias("number"), "line").distinct()
     wanted = files.select("object_id", "since", "until").join(F.broadcast(told.sparkSession.createDataFrame([(n,) for n in numbers], "number bigint")), F.expr("since <= number AND (until IS NULL OR until > number)"))
     return wanted.select("number", "object_id").distinct().join(lines, "object_id").select("number", "line").distinct()
+
+
+def tree_payload(spark: SparkSession, root: str, revision: str = "HEAD") -> DataFrame:
+    """(path, byte_count, sha256, problem) of a commit's files; a submodule's payload is its commit, a blob that is not there a problem."""
+    listed = snapshot(spark, root, revision)
+    joined = listed.join(blobs(listed.filter("object_type = 'blob'"), root), "object_id", "left")
+    link = F.col("mode") == "160000"
+    return joined.select("path", F.when(link, F.length("object_id")).otherwise(F.col("byte_count")).cast("long").alias("byte_count"), F.when(link, F.sha2("object_id", 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(~link & F.col("sha256").isNull(), "MISSING").alias("problem"))
