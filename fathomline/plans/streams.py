@@ -13,8 +13,8 @@ from fathomline.streaming import statelog
 @query(ORACLES["state_transitions"])
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State transitions over a stream, with keyed state."""
-    found = statelog.bad_steps(statelog.events(spark, f"{sf_dir}/events.parque[t]"), ALLOWED)
-    return statelog.run(found, statelog.folder(spark)).drop("batch")
+    found, where = statelog.bad_steps(statelog.events(spark, f"{sf_dir}/events.parque[t]"), ALLOWED), statelog.folder(spark)
+    return statelog.run(found, where).drop("batch").unionByName(statelog.waiting_steps(spark, where, ALLOWED))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

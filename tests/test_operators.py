@@ -175,10 +175,32 @@ def test_stream_keeps_state_between_runs(spark, tmp_path):
     schema = "event_id bigint, user_id bigint, event_type string, ts timestamp"
     put = lambda n, some: spark.createDataFrame([(i, 7, k, None) for i, k in some], schema).selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(event_id) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # noqa: E731, ARG005
     put(1, rows[:2])
-    step = lambda: statelog.run(statelog.bad_steps(statelog.events(spark, f"{tmp_path}/in"), {"view": ["purchase"], "purchase": ["view"]}), f"{tmp_path}/log")
-    assert step().count() == 0
+    allowed = {"view": ["purchase"], "purchase": ["view"]}
+    step = lambda: statelog.run(statelog.bad_steps(statelog.events(spark, f"{tmp_path}/in"), allowed, "0 seconds"), f"{tmp_path}/log")
+    found = lambda df: {(r.event_id, r.before, r.event_type) for r in df.collect()}
+    assert found(step()) == set() == found(statelog.waiting_steps(spark, f"{tmp_path}/log", allowed))
     put(2, rows[2:])
-    assert {(r.event_id, r.before, r.event_type) for r in step().collect()} == {(3, "purchase", "purchase"), (5, "view", "error")}
+    assert found(step()) | found(statelog.waiting_steps(spark, f"{tmp_path}/log", allowed)) == {(3, "purchase", "purchase"), (5, "view", "error")}
+
+
+def test_stream_files_in_reverse_order(spark, tmp_path):
+    allowed = {"signup": ["view"], "view": ["view"]}
+    schema = "event_id bigint, user_id bigint, event_type string, at long"
+    put = lambda *rows: spark.createDataFrame(rows, schema).selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(at) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    where = f"{tmp_path}/log"
+    found = lambda df: {(r.event_id, r.user_id, r.before, r.event_type) for r in df.drop("batch").collect()}
+    step = lambda: found(statelog.run(statelog.bad_steps(statelog.events(spark, f"{tmp_path}/in"), allowed, "1 hour"), where))
+    put((2, 1, "view", 2), (None, 1, "view", None))
+    assert step() == set()
+    put((1, 1, "signup", 1))  # earlier, but in a later file
+    assert step() == set() == found(statelog.waiting_steps(spark, where, allowed))
+    put((3, 2, "error", 9000), (4, 1, "signup", 8000))  # the watermark passes 2
+    put((5, 2, "view", 9001))
+    assert step() == set()
+    assert found(statelog.waiting_steps(spark, where, allowed)) == {(4, 1, "view", "signup"), (5, 2, "error", "view")}
+    put((6, 1, "view", 1), (7, 3, "view", 20000))  # too late for 6
+    assert step() == {(4, 1, "view", "signup"), (5, 2, "error", "view")}
+    assert found(statelog.waiting_steps(spark, where, allowed)) == set()
 
 
 def test_overlaps_by_reference_count_every_pair(spark):
