@@ -1,8 +1,8 @@
 """Lexical scopes of Python sources as tables, and what calls, base classes, decorators and routes refer to.
 
-One pass over each file gives rows only: scopes with their parents, what each scope binds, and where names are used. Which
-binding a use means is found by joins: the ways from scope to scope are doubled until every scope knows all around it,
-and a use takes the nearest of these that binds its name, classes left out unless the use stands in the class body itself.
+One pass over each file gives rows only: scopes with their parents, what each scope binds, and where names are used, with
+the scopes that are searched from there: its own and those around it, classes left out unless the use stands in the class
+body itself. Which binding a use means is found by joins: it takes the nearest of these scopes that binds its name.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators.extraction import MAX_BYTES, MAX_NODES
 from fathomline.operators.graph import _kept
 
-ROWS = "path string, item string, scope bigint, kind string, name string, tail string, subject bigint, detail string, line_start bigint, line_end bigint"
+ROWS = "path string, item string, scope bigint, kind string, name string, tail string, subject bigint, detail string, line_start bigint, line_end bigint, searched array<bigint>"
+#: Rows that a task hands over at once, and nodes of a tree that a character can make at most: texts too short for MAX_NODES are not walked.
+BATCH, NODES_A_CHAR = 50_000, 4
 # Constructors of applications that routes hang on, bases and decorators that mark a role, methods of routes.
 ROUTERS = {"fastapi.FastAPI": "fastapi", "fastapi.APIRouter": "fastapi", "flask.Flask": "flask", "flask.Blueprint": "flask"}
 MODEL_BASES = ["pydantic.BaseModel", "sqlalchemy.orm.DeclarativeBase"]
@@ -43,17 +45,19 @@ class _Reader(ast.NodeVisitor):
     """Rows of one file. The scope of a comprehension or a lambda has the symbol of the scope around it."""
 
     def __init__(self, path: str, every_name: bool):
-        self.path, self.every_name, self.rows, self.scope, self.kinds, self.parents, self.names = path, every_name, [], 0, ["module"], [None], [""]
+        self.path, self.every_name, self.rows, self.scope, self.kinds, self.parents, self.names, self.searched = path, every_name, [], 0, ["module"], [None], [""], [[0]]
         self.row("SCOPE", "module", MODULE, None, None, 0, None)
 
-    def row(self, item: str, kind: str, name: str | None, tail: str | None, subject: int | None, scope: int | None = None, node: ast.AST | None = None, detail: str | None = None) -> None:
-        self.rows.append((self.path, item, self.scope if scope is None else scope, kind, name, tail, subject, detail, getattr(node, "lineno", None), getattr(node, "end_lineno", None)))
+    def row(self, item: str, kind: str, name: str | None, tail: str | None, subject: int | None, scope: int | None = None, node: ast.AST | None = None, detail: str | None = None, searched: list[int] | None = None) -> None:
+        self.rows.append((self.path, item, self.scope if scope is None else scope, kind, name, tail, subject, detail, getattr(node, "lineno", None), getattr(node, "end_lineno", None), searched))
 
     def opened(self, kind: str, name: str | None, node: ast.AST) -> int:
         number, outer = len(self.kinds), self.names[self.scope]
         self.kinds.append(kind)
         self.parents.append(self.scope)
         self.names.append(outer if name is None else f"{outer}.{name}".lstrip("."))
+        around = self.searched[self.scope]
+        self.searched.append([number, *(around[1:] if self.kinds[self.scope] == "class" else around)])
         self.row("SCOPE", kind, self.names[number] or MODULE, None, self.scope, number, node)
         return number
 
@@ -69,7 +73,7 @@ class _Reader(ast.NodeVisitor):
     def use(self, kind: str, expression: ast.AST, node: ast.AST, subject: int | None = None, detail: str | None = None) -> None:
         name, tail = _dotted(expression)
         last = tail.rsplit(".", 1)[-1] if isinstance(expression, ast.Attribute) else None
-        self.row("USE", kind, name, tail if name else last and f".{last}", subject, None, node, detail)
+        self.row("USE", kind, name, tail if name else last and f".{last}", subject, None, node, detail, self.searched[self.scope] if name else None)
 
     def arguments(self, args: ast.arguments, scope: int) -> None:
         for arg in [*args.posonlyargs, *args.args, *args.kwonlyargs, args.vararg, args.kwarg]:
@@ -185,14 +189,14 @@ def _methods(call: ast.Call) -> str:
 
 
 def _file_rows(path: str, text: str, every_name: bool) -> list[tuple]:
-    skipped = lambda code: [(path, "SKIPPED", None, code, None, None, None, None, None, None)]
+    skipped = lambda code: [(path, "SKIPPED", None, code, None, None, None, None, None, None, None)]
     if len(text.encode("utf-8", "surrogatepass")) > MAX_BYTES:
         return skipped("SOURCE_TOO_LARGE")
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return skipped("SYNTAX_ERROR")
-    if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
+    if NODES_A_CHAR * (len(text) + 4) > MAX_NODES and sum(1 for _ in ast.walk(tree)) > MAX_NODES:
         return skipped("TOO_MANY_NODES")
     reader = _Reader(path, every_name)
     try:
@@ -208,28 +212,21 @@ def rows(files: DataFrame, every_name: bool = False) -> DataFrame:
     Uses are CALL, EXTENDS and DECORATOR; with ``every_name`` also every other reading of a name. A null text is empty. The
     rows are written to the shared folder, since all that follows reads them several times.
     """
-    names = [x.split()[0] for x in ROWS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ROWS.split(", "))])
+        batched = lambda held: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        held: list[tuple] = []
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                made = pd.DataFrame(_file_rows(path, text or "", every_name), columns=names)
-                yield made.astype({"scope": "Int64", "subject": "Int64", "line_start": "Int64", "line_end": "Int64"})
-
-    return _kept(files.filter(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, ROWS))
-
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held += _file_rows(path, text or "", every_name)
+                if len(held) >= BATCH:
+                    yield batched(held)
+                    held = []
+        if held:
+            yield batched(held)
 
-def around(raw: DataFrame) -> DataFrame:
-    """(path, scope, outer, steps): every scope with itself and all scopes around it, by doubling the steps."""
-    jump = raw.filter("item = 'SCOPE' AND subject IS NOT NULL").select("path", "scope", F.col("subject").alias("outer"))
-    known, step = raw.filter("item = 'SCOPE'").select("path", "scope", F.col("scope").alias("outer"), F.lit(0).cast("long").alias("steps")), 1
-    jump = _kept(jump)
-    while not jump.isEmpty():
-        over = jump.select("path", F.col("scope").alias("outer"), F.col("outer").alias("far"))
-        met = lambda df, over=over: df.join(over, ["path", "outer"]).drop("outer").withColumnRenamed("far", "outer")
-        known = _kept(known.unionByName(met(known).withColumn("steps", F.col("steps") + F.lit(step))))
-        jump, step = _kept(met(jump)), 2 * step
-    return known
+    return _kept(files.filter(F.col("path").endswith(".py")).select("path", "text").mapInArrow(run, ROWS))
 
 
 def resolved(raw: DataFrame) -> DataFrame:
@@ -238,17 +235,15 @@ def resolved(raw: DataFrame) -> DataFrame:
     ``binding`` is null where the owner binds the name more than once; ``refers`` is the scope of the definition or the
     full name of the import. A name that a scope declares global or nonlocal is bound there as ``dynamic``.
     """
-    scopes = raw.filter("item = 'SCOPE'").select("path", F.col("scope").alias("outer"), F.col("kind").alias("outer_kind"))
     bound = raw.filter("item = 'BIND'").groupBy("path", F.col("scope").alias("outer"), "name").agg(
         F.count("*").alias("times"), F.min(F.struct("kind", "subject", "detail", "tail")).alias("first")
     )
     uses = raw.filter("item = 'USE'").drop("item")
-    asked = uses.filter("name IS NOT NULL").select("path", "scope", "name").distinct()
-    met = asked.join(around(raw), ["path", "scope"]).join(scopes, ["path", "outer"]).filter("steps = 0 OR outer_kind <> 'class'").join(bound, ["path", "outer", "name"])
-    nearest = met.groupBy("path", "scope", "name").agg(F.min(F.struct("steps", "outer", "times", "first")).alias("n"))
+    asked = uses.filter("name IS NOT NULL").select("path", "scope", "name", F.posexplode("searched").alias("steps", "outer"))
+    nearest = asked.join(bound, ["path", "outer", "name"]).groupBy("path", "scope", "name").agg(F.min(F.struct("steps", "outer", "times", "first")).alias("n"))
     one = lambda c: F.when(F.col("n.times") == 1, F.col(f"n.first.{c}"))
     found = nearest.select("path", "scope", "name", F.col("n.outer").alias("owner"), one("kind").alias("binding"), one("subject").alias("refers"), one("detail").alias("means"), one("tail").alias("means_tail"))
-    return uses.join(found, ["path", "scope", "name"], "left")
+    return uses.drop("searched").join(found, ["path", "scope", "name"], "left")
 
 
 def _kept_names(raw: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Scopes against the standard library's symbol tables, and facts of small files."""
 
+import ast
 import symtable
 import sysconfig
 from pathlib import Path
@@ -142,3 +143,17 @@ def test_facts_of_frameworks(spark):
     assert {g[1:] for g in got if g[0] == "EXTENDS"} == {("Model", None, "attribute:BaseModel"), ("Model", None, "name:Base"), ("Case", None, "attribute:TestCase"), ("Other", "Point", None), ("Other", None, "attribute:Y"), ("Other", None, "dynamic-base-expression")}
     assert {("CALL_CANDIDATE", "c", "helper", None), ("CALL_CANDIDATE", "c", None, "attribute:go"), ("CALL_CANDIDATE", "c", None, "dynamic-call-target"), ("CALL_CANDIDATE", "Case.test_one", "helper", None), ("CALL_CANDIDATE", "helper2", None, "name:helper")} <= got
     assert scopes.facts(scopes.rows(spark.createDataFrame([], "path string, text string"))).count() == 0
+
+
+def test_tables_written_do_not_grow_with_depth_and_short_texts_are_not_walked(spark, monkeypatch):
+    """A name is looked for through 60 scopes, one of them a class, with one table of rows and one of uses."""
+    written = []
+    real = scopes._kept
+    monkeypatch.setattr(scopes, "_kept", lambda df: (written.append(1), real(df))[1])
+    deep = "def top(): pass\n" + "".join(" " * i + (f"class c{i}:\n" if i == 30 else f"def f{i}():\n") for i in range(60)) + " " * 60 + "top(), f29(), f31(), f40()\n"
+    raw = scopes.rows(spark.createDataFrame([(f"{n}.py", deep) for n in range(3)], "path string, text string"))
+    got = {(r.path, r.unresolved or r.target.split(".")[-1]) for r in scopes.facts(raw).filter("kind = 'CALL_CANDIDATE'").collect()}
+    assert got == {(f"{n}.py", t) for n in range(3) for t in ("top", "f29", "name:f31", "f40")}
+    assert len(written) == 2
+    dense = ["", "a", "a=b=c", "-~-~a", "a;" * 50, "f'{a:}{b:}'", "a<b<c<d", "[[[[]]]]", "a[:,:,:]", "x:y;z:w", "lambda:0", "import a,b,c", "def f(a,b):0", "{**a,**b}"]
+    assert all(sum(1 for _ in ast.walk(ast.parse(t))) <= scopes.NODES_A_CHAR * (len(t) + 4) for t in dense)
