@@ -292,4 +292,5 @@ def heap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines in the order of a heap on their parts, where each line of an order has the one before as its prerequisite."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + place).alias("node"), F.col("l_partkey").alias("rank"), F.lit("").alias("key"), place.alias("place"))
+    own = graph._kept(own)  # nodes and edges are read several times
     return order.heap_order(own.drop("place"), own.filter("place > 1").select((F.col("node") - 1).alias("src"), F.col("node").alias("dst")))
