@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.ids import tuple_sha256
 from fathomline.functions.paths import normalized
+from fathomline.operators.graph import _kept
 
 # Fixed values.
 RELATION_KINDS = ["CALL_CANDIDATE", "DEFINES", "EXPORTS", "EXTENDS", "IMPLEMENTS", "IMPORTS", "ROUTE_TO", "USES_API"]
@@ -16,6 +17,8 @@ ROLE_KINDS = ["api_client_candidate", "component_candidate", "data_model_candida
 FACT_KEYS = ["batch_files", "batch_lines", "contract_version", "gate_failed_rules", "gate_ms", "gate_version", "injected_lines", "model", "model_calls", "model_chars", "repair_count", "source_files", "source_lines", "tool_calls", "verify_cmd", "verify_ms"]
 SECRET = r"(?i)sk-[A-Za-z0-9]|api[_-]?key|secret|passwd|password|BEGIN [A-Z ]*PRIVATE KEY|ghp_"
 # End of fixed values.
+#: Rows of a path and a folder above it that a task joins.
+ROWS_A_TASK = 500_000
 
 
 def claim_overlay(claims: DataFrame, resolved: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
@@ -141,17 +144,36 @@ def is_next_page(path: Column, root: Column) -> Column:
     return F.coalesce(app | pages, F.lit(False))
 
 
-def next_pages(files: DataFrame, declaring: DataFrame) -> DataFrame:
+def may_be_next_page(path: Column) -> Column:
+    """Whether there may be a package below which the path is a page."""
+    suffix = r"\.(js|jsx|ts|tsx)$"
+    return path.rlike(r"(^|/)app/(.*/)?page" + suffix) | path.rlike(r"(?i)(^|/)pages/.*" + suffix) & ~path.rlike(r"(^|/)_[^/]*$")
+
+
+def next_pages(files: DataFrame, declaring: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """(path, package): pages whose nearest package.json declares ``next``.
 
     ``files`` (path), ``declaring`` (path: package.json files that do). The nearest one decides, whether it does or not.
+    Only paths that are a page below some folder are looked up. Tasks are as many as paths and folders ask for, since the
+    compressed size of such rows, by which Spark would choose, tells little of the memory that they take. Folders above
+    more than ``rows_a_task`` paths, as the root is, are few and meet their manifests where the paths are.
     """
     from fathomline.functions.paths import ancestors
 
-    manifests = files.filter(F.col("path").rlike(r"(^|/)package\.json$")).select(F.regexp_replace("path", r"/?package\.json$", "").alias("package"), F.col("path").alias("_manifest")).distinct()
-    above = files.select("path", F.explode(ancestors(F.col("path"))).alias("package")).join(manifests, "package")
-    nearest = above.groupBy("path").agg(F.max_by(F.struct("package", "_manifest"), F.length("package")).alias("_m")).select("path", "_m.*")
-    return nearest.join(declaring.select(F.col("path").alias("_manifest")), "_manifest", "left_semi").filter(is_next_page(F.col("path"), F.col("package"))).select("path", "package")
+    manifests = files.filter(F.col("path").rlike(r"(^|/)package\.json$")).select("path").distinct()
+    marked = manifests.join(declaring.select("path", F.lit(1).alias("_declares")).distinct(), "path", "left")
+    roots = marked.select(F.regexp_replace("path", r"/?package\.json$", "").alias("package"), F.coalesce("_declares", F.lit(0)).alias("_declares"))
+    above = files.select("path").filter(may_be_next_page(F.col("path"))).select("path", F.explode(ancestors(F.col("path"))).alias("package"))
+    often = _kept(above.groupBy("package").agg(F.count("*").alias("_often")).filter(F.col("_often") > rows_a_task))
+    tasks = files.agg(F.sum(F.length("path") - F.length(F.replace("path", F.lit("/"))) + 1)).first()[0] or 0
+    tasks = -(-tasks // rows_a_task) + 1
+    hot = F.broadcast(often.select("package"))
+    seldom = above.join(hot, "package", "left_anti").repartition(tasks, "package").join(roots.hint("merge"), "package")
+    above = seldom.unionByName(above.join(F.broadcast(_kept(roots.join(hot, "package", "left_semi"))), "package"))
+    # one number, so that groups are hashed and not sorted: the length of the package, then whether it declares
+    found = above.select("path", (2 * F.length("package") + F.col("_declares")).alias("_n")).repartition(tasks, "path").groupBy("path").agg(F.max("_n").alias("_n"))
+    nearest = found.filter("_n % 2 = 1").select("path", F.expr("substring(path, 1, _n div 2)").alias("package"))
+    return nearest.filter(is_next_page(F.col("path"), F.col("package")))
 
 
 def families(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import code, paths
-from fathomline.operators import claims, classify, extraction, graph, intervals, lines, reconcile, scorecard, sequence
+from fathomline.operators import claims, classify, extraction, graph, intervals, lines, project, reconcile, scorecard, sequence
 from fathomline.sources import artifacts, git, manifests
 from fathomline.streaming import statelog
 
@@ -301,3 +301,16 @@ def test_long_walks_and_cycles(spark):
     assert {r.node for r in graph.cyclic(loops).collect()} == {1, 2, 3, 4, 6}
     assert {r.node for r in graph.reached(loops, frame(spark, [(2,)], "node long")).collect()} == {1, 2, 3, 4, 5}
     assert {r.node: r.position for r in graph.ordered(frame(spark, [(3,), (1,), (2,)], "node long"), frame(spark, [(3, 1)], "src long, dst long")).collect()} == {2: 1, 3: 2, 1: 3}
+
+
+@pytest.mark.parametrize("rows_a_task", [2, 500_000])
+def test_next_pages_below_a_root_that_all_files_share(spark, rows_a_task):
+    """The root's manifest is above every file and decides where no nearer one does; few rows a task give the same."""
+    files = ["package.json", "a/package.json", "b/c/package.json", *(f"src/app/p{i}/page.tsx" for i in range(9)), "a/pages/x.ts", "a/pages/api/x.ts", "b/c/app/page.js", "b/app/page.js", "pages/_x.ts", "app/page.md"]
+    declaring = ["package.json", "b/c/package.json"]
+    table = lambda rows: spark.createDataFrame([(x,) for x in rows], "path string")
+    got = {(r.path, r.package) for r in project.next_pages(table(files + files[:4]), table(declaring * 2), rows_a_task).collect()}
+    assert got == {(f"src/app/p{i}/page.tsx", "") for i in range(9)} | {("b/c/app/page.js", "b/c")}
+    assert project.next_pages(table([]), table([]), rows_a_task).count() == 0
+    plan = project.next_pages(table(files), table(declaring), rows_a_task)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
