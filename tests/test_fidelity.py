@@ -59,3 +59,21 @@ def test_history_of_four_commits(spark, tmp_path, monkeypatch):
     assert [len(x) for x in asked] == [4]  # four different blobs in nine pairs of commit and path
     assert {r.line for r in git.snapshot_lines(told, str(tmp_path), ".java").collect()} == set().union(*lines.values())
     assert git.history(spark, str(tmp_path), []).count() == 0 and git.history(spark, str(tmp_path), commits[:1]).filter(F.col("until").isNotNull()).count() == 0
+
+
+def test_sources_are_read_for_lines_once_and_for_texts_once(spark):
+    """Rows of sources that are computed: for their classes, for the lines that blocks ask for, and for the texts of owners that lack a line."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    own = [("a", "Alpha", ALPHA), ("b", "Beta", BETA), *((f"z{i}", f"Z{i}", f"only {i}\n" * 3) for i in range(30))]
+    sources = spark.createDataFrame(own, "owner string, class string, text string").mapInPandas(counted, "owner string, class string, text string")
+    lines = {"voted": ["int two = 2;", "int three = 3; // old", "int four = 4;", "int five = 5;"], "named": ["class Alpha {", "int one = 1;", "gone", "call(first, second);"]}
+    blocks = spark.createDataFrame([(k, i, line) for k, ls in lines.items() for i, line in enumerate(ls)], "block string, line_no long, line string")
+    got = fidelity.fidelity(blocks, spark.createDataFrame([("named", "Alpha")], "block string, class string"), sources, spark.createDataFrame([("gone",)], "line string"), share=0.7, least_lines=2)
+    assert {tuple(r) for r in got.collect()} == {("voted", 4, "b", 0, 0, 0), ("named", 4, "a", 1, 0, 1)}
+    assert seen.value <= 4 * len(own)
