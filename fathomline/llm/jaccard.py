@@ -13,7 +13,9 @@ compared with one of its members, and in each further round a few of them (``PIV
 become pivots, are compared with all members of their groups that are not linked to them already, and are done. So a group of thousands of near copies, of
 which a pivot links most, costs a few rows a member. From the
 second round on a pair is made once by the heads of its prefixes, and not if more comes before the place where the two
-meet than they may differ in; it goes on only if its second and third prefixes share a gram too, and is then verified on the whole sets.
+meet than they may differ in, nor if the parities of their sets differ in more places than that: each gram flips one of
+``PLACES`` bits of its set, so two sets' bits differ in no more places than the sets have grams apart, and for sets of
+some hundred grams in hardly fewer. A pair goes on only if its second and third prefixes share a gram too, and is then verified on the whole sets.
 
 What no class of another root has is a class's own. Each round counts own grams and makes the first prefixes anew, among
 the classes left: those with more of their own than ``spare`` go, the others' prefixes have fewer grams that form groups,
@@ -41,6 +43,8 @@ from fathomline.llm.simhash import components
 PIVOTS = 8
 #: Of two classes that share one of their first so many keys, the pair is made on the first such key alone.
 HEAD = 6
+#: Bits of a set's parities (a power of two, 64 at least).
+PLACES = 512
 #: One gram of so many (a power of two) is in the sample.
 SAMPLE = 4
 #: Bytes of text that are hashed at once, and the longest word in the table of byte values.
@@ -135,8 +139,14 @@ def _listed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """For each of ``PLACES`` places, by the grams' highest bits, whether an odd number of grams falls there; 64 places a number."""
+    places = np.bincount((grams >> np.uint64(65 - PLACES.bit_length())).astype(np.int64), minlength=PLACES)
+    return np.packbits((places & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def sets(docs: DataFrame, words_each: int, sampled: bool) -> DataFrame:
-    """Per row: doc_id, class (null without a gram), n, grams (all of them, or those in the sample)."""
+    """Per row: doc_id, class (null without a gram), n, grams (those in the sample, or all of them and then their parities too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _byte_values()
@@ -145,12 +155,13 @@ def sets(docs: DataFrame, words_each: int, sampled: bool) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 found = list(gram_sets(part.column("text"), words_each, values))
                 held = [x[x & np.uint64(SAMPLE - 1) == 0] for x in found] if sampled else found
+                more = [] if sampled else [_listed([parities(x) for x in found])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([class_of(x) if x.size else None for x in found], pa.int64()), pa.array([x.size for x in found], pa.int64()), _listed(held)],
-                    names=["doc_id", "class", "n", "grams"],
+                    [part.column("doc_id"), pa.array([class_of(x) if x.size else None for x in found], pa.int64()), pa.array([x.size for x in found], pa.int64()), _listed(held), *more],
+                    names=["doc_id", "class", "n", "grams", "bits"][: 4 + len(more)],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, class bigint, n bigint, grams array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, class bigint, n bigint, grams array<bigint>{'' if sampled else ', bits array<bigint>'}")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -199,23 +210,32 @@ def verified(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: i
 
 
 def _groups(classes: DataFrame) -> DataFrame:
-    """A row for each key of ``classes`` (class, n, root, own, keys in their order), with the first ``HEAD`` keys of the class.
+    """A row for each key of ``classes`` (class, n, root, own, keys in their order, others).
 
     ``ahead`` is how many grams of the class come before the key: those of its own and earlier keys.
     """
-    return classes.select("class", "n", "root", "own", F.slice("keys", 1, HEAD).alias("head"), F.posexplode("keys").alias("place", "key")).withColumn("ahead", F.col("own") + F.col("place"))
+    others = [c for c in classes.columns if c != "keys"]
+    return classes.select(*others, F.posexplode("keys").alias("place", "key")).withColumn("ahead", F.col("own") + F.col("place")).drop("place")
+
+
+def _apart(percent: int) -> Column:
+    """Whether the parities of two sets allow a link: it leaves (100 - percent) of 100 + percent grams of both outside the overlap."""
+    differ = " + ".join(f"bit_count(bits[{k}] ^ pivot_bits[{k}])" for k in range(PLACES // 64))
+    return F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n + pivot_n)")
 
 
 def keyed(classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(class, n, root, own, keys): the first prefixes anew, for the classes (class, n, root) alone.
+    """(class, n, root, own, keys, head, bits): the first prefixes anew, for the classes (class, n, root) alone.
 
-    Grams of one root come first, then rare ones; a class has ``own`` of the former, and the other ones in its prefix are keys.
+    Grams of one root come first, then rare ones; a class has ``own`` of the former, and the other ones in its prefix are
+    keys, the first ``HEAD`` of them its head.
     """
     grams = whole.select("class", "grams").join(classes, "class").select("class", "n", "root", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low < high").select("gram", "df")
     order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("gram").alias("tie"), "gram")))
     found = grams.join(common, "gram").groupBy("class", "n", "root").agg(order.alias("shared")).withColumn("own", F.col("n") - F.size("shared"))
-    return found.filter(F.col("own") <= _spare(percent)).select("class", "n", "root", "own", F.slice("shared.gram", F.lit(1), (_spare(percent) + 1 - F.col("own")).cast("int")).alias("keys"))
+    left = found.filter(F.col("own") <= _spare(percent)).select("class", "n", "root", "own", F.slice("shared.gram", F.lit(1), (_spare(percent) + 1 - F.col("own")).cast("int")).alias("keys"))
+    return left.withColumn("head", F.slice("keys", 1, HEAD)).join(whole.select("class", "bits"), "class")
 
 
 def joined(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -231,16 +251,17 @@ def joined(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     low, fits = f"{2 * percent} * own <= {100 - percent} * n", f"{percent} * (%s + pivot_%s) <= {100 - percent} * least(n, pivot_n)"
     while True:
         keys = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.expr(low)).alias("any")).filter("least < most AND any").select("key")
-        members = written(members.join(keys, "key").select("class", "n", "key", "root", "own", "ahead", "head"))
+        members = written(members.join(keys, "key"))
         if members.isEmpty():
             return roots
         first = Window.partitionBy("key").orderBy(rank, "class")
         top = members.filter(low).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
         chosen = top.select("class").distinct()
-        pivots = (members.join(chosen, "class", "left_semi") if done else top).select("key", *(F.col(c).alias(f"pivot_{c}") for c in ("class", "n", "root", "own", "ahead", "head")))
-        met_before = F.get(F.array_intersect("head", "pivot_head"), 0) != F.col("key")  # they meet on an earlier key too
-        once = F.coalesce(~met_before, F.lit(True)) & F.expr(fits % ("ahead", "ahead")) if done else F.expr(fits % ("own", "own"))
-        meet = members.join(pivots, "key").filter(once & F.expr(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"))
+        pivots = (members.join(chosen, "class", "left_semi") if done else top).select("key", *(F.col(c).alias(f"pivot_{c}") for c in members.columns if c != "key"))
+        able = F.expr(f"root != pivot_root AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
+        met_before = F.get(F.array_intersect("head", "pivot_head"), 0) != F.col("key") if done else None  # they meet on an earlier key too
+        able &= F.expr(fits % ("ahead", "ahead")) & _apart(percent) & F.coalesce(~met_before, F.lit(True)) if done else F.expr(fits % ("own", "own"))
+        meet = members.join(pivots, "key").filter(able)
         pairs = meet.select(F.least("class", "pivot_class").alias("a"), F.greatest("class", "pivot_class").alias("b")).distinct()
         fresh = written(verified(pairs, prefixes, whole, percent))
         if not fresh.isEmpty():
@@ -267,7 +288,7 @@ def similar(docs: DataFrame, words_each: int = 4, percent: int = 85) -> DataFram
     left = written(classes.join(hits, "class", "left").withColumn("open", F.col("sampled") - F.coalesce("hits", F.lit(0)) <= _spare(percent)).drop("hits", "sampled"))
     again = left.filter("open").select(F.col("first").alias("doc_id")).distinct()
     source = docs.select("doc_id", "text").join(again, docs.doc_id.eqNullSafe(again.doc_id), "left_semi")
-    whole = sets(source, words_each, False).join(left.filter("open").select("class"), "class", "left_semi").select("class", "n", "grams").dropDuplicates(["class"])
+    whole = sets(source, words_each, False).join(left.filter("open").select("class"), "class", "left_semi").select("class", "n", "grams", "bits").dropDuplicates(["class"])
     whole = written(whole)
     roots = joined(written(ranked(whole, percent)), whole, percent)
     homes = left.join(roots, left["class"] == roots.node, "left").withColumn("root", F.coalesce("root", "class"))

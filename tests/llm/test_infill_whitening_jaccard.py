@@ -222,6 +222,32 @@ def test_jaccard_large_groups_take_several_rounds(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == brute(rows, percent=80)
 
 
+def test_jaccard_compares_few_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Each is near the text that all come from, hardly any two are near each other: only sets whose parities are near are compared."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, 4, replace=False):
+            words[at] = f"e{rng.integers(0, 3)}"
+        rows.append((i, " ".join(words)))
+    made, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == brute(rows)
+    assert len(made) > 1 and sum(made[1:]) < 100
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 300, 3000):
+        both, a, b = (np.unique(rng.integers(0, 1 << 64, k, np.uint64)) for k in (n, n // 7, n // 5))
+        bits = [jaccard.parities(np.union1d(both, x)) for x in (a, b)]
+        assert len(bits[0]) == jaccard.PLACES // 64
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_grams_do_not_depend_on_pieces(monkeypatch):
     texts = pa.array(["x" * 300 + " " + "y" * 900, None, "a b\x0bc\x0cd e f", "word " * 700, "", "Ünï çødé tëxt hère ok " * 40, "z" * 300 + " q r s"])
     whole = [x.tolist() for x in jaccard.gram_sets(texts, 4, jaccard._byte_values())]
