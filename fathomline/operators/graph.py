@@ -18,6 +18,8 @@ from fathomline.functions.storage import shared_root
 
 #: Rounds after which the tables of a walk are written as one.
 COMPACT = 32
+#: Hashes whose least ones tell nodes apart, and steps of marks that are taken in one job.
+MARKS, STEPS = 4, 4
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -63,13 +65,50 @@ def _core(edges: DataFrame) -> DataFrame:
     return now
 
 
+def _marked(edges: DataFrame) -> DataFrame:
+    """(side, node, marks): of all nodes that are reached from a node (side 0) or reach it (side 1), itself included, the least, and the least hashes.
+
+    Marks go one edge a step, ``STEPS`` steps a table, until a step moves none. Rows are nodes and edges, never pairs.
+    """
+    names = [f"mark{k}" for k in range(MARKS + 1)]
+    nodes = edges.select("src").union(edges.select("dst")).distinct().toDF("node")
+    sides = F.explode(F.array(F.lit(0), F.lit(1)))
+    own = nodes.select(sides.alias("side"), F.col("node").alias("at"), F.col("node").alias("to"))
+    arcs = _kept(edges.select(F.lit(0).alias("side"), F.col("dst").alias("at"), F.col("src").alias("to")).union(edges.select(F.lit(1), "src", "dst")).union(own))
+    now = nodes.select(sides.alias("side"), "node", F.col("node").alias(names[0]), *(F.xxhash64("node", F.lit(k)).alias(names[k]) for k in range(1, MARKS + 1)))
+    while True:
+        for step in range(STEPS):
+            least = [F.min(c).alias(c) for c in names]
+            if step == STEPS - 1:
+                least += [F.max(F.when(F.col("at") == F.col("to"), F.col(c))).alias(f"was_{c}") for c in names]
+            now = arcs.join(now.withColumnRenamed("node", "at"), ["side", "at"]).groupBy("side", "to").agg(*least).withColumnRenamed("to", "node")
+        moved = reduce(Column.__or__, (F.col(c) < F.col(f"was_{c}") for c in names))
+        now = _kept(now.select("side", "node", *names, moved.alias("moved")))
+        if now.filter("moved").isEmpty():
+            return now.select("side", "node", F.struct(*names).alias("marks"))
+        now = now.drop("moved")
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves.
 
-    Nodes outside all cycles are peeled off first; pairs are made only of what is then left, cycles and ways between
-    them, which in a valid graph is nothing.
+    Nodes outside all cycles are peeled off first. Nodes of one cycle reach the same nodes and are reached from the same
+    ones, so an edge between nodes whose marks differ is on no cycle and goes. When none goes any more, all nodes that
+    edges join have one least node, which each of them reaches and is reached from: what is left are cycles. The
+    hashes only make more edges differ at once.
     """
-    return closure(_core(edges)).filter("src = dst").select(F.col("src").alias("node")).distinct()
+    left = _core(edges)
+    size = left.count()
+    while size:
+        marks = _marked(left)
+        both = marks.groupBy("node").agg(F.max(F.when(F.col("side") == 0, F.col("marks"))).alias("ahead"), F.max(F.when(F.col("side") == 1, F.col("marks"))).alias("behind"))
+        both = both.select("node", F.struct("ahead", "behind").alias("marks"))
+        ends = left.join(both.toDF("src", "from"), "src").join(both.toDF("dst", "into"), "dst")
+        left = _core(ends.filter(F.col("from") == F.col("into")))
+        size, before = left.count(), size
+        if size == before:
+            break
+    return left.select(F.col("src").alias("node")).distinct()
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

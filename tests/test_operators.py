@@ -303,6 +303,25 @@ def test_long_walks_and_cycles(spark):
     assert {r.node: r.position for r in graph.ordered(frame(spark, [(3,), (1,), (2,)], "node long"), frame(spark, [(3, 1)], "src long, dst long")).collect()} == {2: 1, 3: 2, 1: 3}
 
 
+def test_cyclic_makes_no_pairs(spark, monkeypatch):
+    """Thirty cycles lead to a cycle in the middle and that to thirty others and to a node between them; tables grow with edges alone."""
+    pairs = [(2 * i, 2 * i + 1) for i in range(61)]
+    edges = [*pairs, *((b, a) for a, b in pairs), *((2 * i, 60) for i in range(30)), *((61, 2 * i) for i in range(31, 61)), (61, 500), (500, 70), (500, 71), (3, 501), (None, 3), (3, None)]
+    kept, sizes = graph._kept, []
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_kept", counted)
+    got = [r.node for r in graph.cyclic(frame(spark, edges, "src long, dst long")).collect()]
+    assert sorted(got) == list(range(122))
+    assert max(sizes) < 4 * len(edges)
+    named = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "e"), ("f", "f")], "src string, dst string")
+    assert sorted(r.node for r in graph.cyclic(named).collect()) == ["a", "b", "c", "e", "f"]
+
+
 @pytest.mark.parametrize("rows_a_task", [2, 500_000])
 def test_next_pages_below_a_root_that_all_files_share(spark, rows_a_task):
     """The root's manifest is above every file and decides where no nearer one does; few rows a task give the same."""
