@@ -470,6 +470,46 @@ def test_rangecoder_beats_order_0_and_zlib():
     assert bits < -(share * np.log2(share)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
 
 
+def test_rangecoder_order_0_learns_what_occurs_together():
+    """Two languages, each id as frequent as any other of its language: only what is near tells which ids come."""
+    rng = np.random.default_rng(7)
+    ids = (rng.integers(0, 300, 400 * 1000) + np.repeat(np.arange(400) % 2 * 300, 1000)).astype(np.uint32)
+    data = rangecoder.pack_file([1], [len(ids)], ids)
+    assert (rangecoder.unpack_file(data)[2] == ids).all()
+    assert 8 * len(data) / len(ids) < np.log2(600)  # what ids cost if all are alike
+
+
+@pytest.mark.parametrize("symbols", [1, 200, 8192, 8193, 70_000])
+def test_rangecoder_lines(symbols):
+    """Classes and tables of files with few and many ids, one of which is most of the file, in parts of several sizes."""
+    rng = np.random.default_rng(symbols)
+    ids = np.concatenate([np.arange(symbols), np.where(rng.random(30_000) < 0.9, symbols - 1, rng.integers(0, symbols, 30_000))]).astype(np.uint32)
+    line, order = rangecoder.Line.made_of(np.bincount(ids), np.arange(symbols) % rangecoder.GROUPS)
+    assert sorted(order) == list(range(symbols)) and len(line.ends) <= rangecoder.CLASSES and line.mass.max() < 1 << 20
+    assert (rangecoder.unpack_file(rangecoder.pack_file([1], [len(ids)], ids))[2] == ids).all()
+
+
+def test_piece_cache_keeps_what_came_first(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_PIECES", 60)
+    monkeypatch.setattr(tokens, "KEEP", 40, raising=False)
+    monkeypatch.setattr(tokens, "RENEW", 3, raising=False)
+    own, library, kept, cuts = tokens.PieceEncoder(WORD), Tokenizer.from_file(WORD), [], []
+    for k in range(12):
+        texts = [f"the first words stay w{k}x{j} an'd Word{j}.\u0085É{k}  " for j in range(9)] + ["", " \n", f"a{k}\x1cb <unk>"[: 4 + 9 * (k % 2)]]
+        ids, edges = own.encode(texts)
+        cuts.append(own.cuts)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        kept.append("the" in own.first and f"w{k}x0" in own.first and len(own.begin) == len(own.size) == len(own.first) and own.chars == sum(map(len, own.first)))
+    assert all(kept) and 0 < max(cuts) <= 3
+
+
+def test_split_words_is_that_of_python():
+    odd = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    texts = [f"a{c}b{c}{c}" for c in odd] + ["", odd, "one", " x y  x "]
+    words, order, edges = tokens.split_words(texts)
+    assert [[words[k] for k in order[a:b]] for a, b in zip(edges, edges[1:], strict=False)] == [t.split() for t in texts]
+
+
 def test_rangecoder(docs, none):
     library = Tokenizer.from_file(WORD)
     got = sorted(rangecoder.round_trip(docs, WORD).collect(), key=lambda r: r.start)
@@ -706,6 +746,7 @@ def test_pieces_of_word_files_have_the_library_ids():
         texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(4000)]
         texts += ["it's we'll they've I'd can't 's'S 'Ll", "", "a" * 3000, "<|startoftext|> hi <|endoftext|>"]
         ids, edges = own.encode(texts)
+        cuts.append(own.cuts)
         assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
